@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import fingerprint, language_id, mixing, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,20 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op4_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op7_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op4_document_fingerprint, op7_url_filter, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (
