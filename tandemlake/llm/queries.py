@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, url_filter
+from . import fingerprint, language_id, mixing, packing, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(read(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(read(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op4_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(read(spark, sf_dir, "documents"))
 
@@ -30,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op4_document_fingerprint, op7_url_filter, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op7_url_filter, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (

@@ -39,3 +39,8 @@ def encode(text: str) -> np.ndarray:
     if "<|" in text:
         return np.array(library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     return fast_library().encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+
+
+def encode_ordinary(text: str) -> np.ndarray:
+    """Ids of a text in which a special token's string is text like any other."""
+    return fast_library().encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
