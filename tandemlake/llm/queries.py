@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, packing, token_counts, url_filter
+from . import fingerprint, jaccard_join, language_id, mixing, packing, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op7_url_filter, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op7_url_filter, op9_jaccard_join, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (
