@@ -28,15 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
 from .common import checkpointed, components, mix, shingle_sets, signed
 
 WIDTH, PERCENT = 4, 85
 #: Counters of the frequency table: one byte each while they are gathered and broadcast.
-BINS, CHUNK, SALTS = 1 << 24, 1 << 16, 16
+BINS = 1 << 24
 #: Up to so many ids (8 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -69,9 +69,9 @@ def measured(docs: DataFrame, how: Join) -> DataFrame:
 def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     """For each bin, the logarithm of how often the corpus has its shingles: a table of fixed size.
 
-    Each task counts its documents into a table and sends the parts that hold anything; parts are summed in two steps.
+    Each task counts its documents into a table of its own.
     """
-    bins, chunk = how.bins, min(CHUNK, how.bins)
+    bins = how.bins
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(bins, np.uint32)
@@ -79,27 +79,10 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
             for _, found in shingle_sets(batch.column(0), how.width):
                 np.add.at(table, found & np.uint64(bins - 1), 1)
         # one byte a counter: what a task sees more than 255 times is frequent anyhow
-        table = np.minimum(table, 255).astype(np.uint8).reshape(-1, chunk)
-        for number in np.flatnonzero(table.any(axis=1)).tolist():
-            arrays = [pa.array([number], pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([table[number].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "salt", "counts"])
+        yield from tables.sent(np.minimum(table, 255).astype(np.uint8))
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(chunk, np.uint32)
-        for batch in batches:
-            for part in batch.column("counts"):
-                raw = part.as_py()
-                total += np.frombuffer(raw, np.uint8 if len(raw) == chunk else np.uint32)
-        arrays = [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "counts"])
-
-    parts = docs.select("text").mapInArrow(count, "chunk int, salt int, counts binary")
-    parts = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros(bins, np.uint8)
-    for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
-        counts = np.frombuffer(bytes(r["counts"]), np.uint32)
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.log2(counts + 1.0).astype(np.uint8)
-    return out
+    counts = tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1")
+    return np.log2(counts + 1.0).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, rare: np.ndarray, how: Join) -> DataFrame:
@@ -212,10 +195,17 @@ def joined(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The rows of docs that stay, one of each component (its smallest doc_id) with docs' columns; empty texts all stay."""
-    columns = docs.columns
-    kept = joined(docs, how).where("component_id = doc_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    if kept.count() <= BROADCAST_IDS:
-        kept = F.broadcast(kept)
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return one.select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of docs that stay, with docs' columns: of each component one row, of its smallest doc_id.
+
+    Rows with null ids stay. Texts are moved only for ids that come more than once.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = checkpointed(joined(docs, how).where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    kept = found
+    if found.count() <= BROADCAST_IDS:
+        kept = F.broadcast(found)
+    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
+    stay = one.where("doc_id is null or __n = 1").select(*columns)
+    if found.where("__n > 1").isEmpty():
+        return stay
+    return stay.unionByName(one.where("__n > 1").dropDuplicates(["__id"]).select(*columns))

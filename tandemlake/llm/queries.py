@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, language_id, mixing, packing, token_counts, url_filter
+from . import fingerprint, jaccard_join, language_id, lm_scoring, mixing, packing, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op4_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents labelled as of good quality."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.difference(read(spark, sf_dir, "documents"), good)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -43,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op7_url_filter, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op7_url_filter, op9_jaccard_join, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (
