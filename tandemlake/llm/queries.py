@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, language_id, lm_scoring, mixing, packing, token_counts, url_filter
+from . import fingerprint, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files named source/lang/doc_id, a null source or language as `-`."""
+    docs = read(spark, sf_dir, "documents")
+    part = [F.coalesce(F.translate(c, "/", "_"), F.lit("-")) for c in ("source", "lang")]
+    files = docs.select(F.concat_ws("/", *part, F.col("doc_id").cast("string")).alias("path"), "text").withColumn("path", F.when(F.col("path").rlike("/.*/"), F.col("path")))
+    out = license_scan.scanned(files)
+    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "license", "score", "origin", "license_dir")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(read(spark, sf_dir, "documents"))
 
@@ -49,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op7_url_filter, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op7_url_filter, op8_license_scan, op9_jaccard_join, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (
