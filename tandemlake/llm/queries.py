@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filter
+from . import fingerprint, jaccard_join, language_id, license_scan, lm_scoring, mixing, nn_descent, packing, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.difference(read(spark, sf_dir, "documents"), good)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.linked(read(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op7_url_filter, op8_license_scan, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op6_embedding_near_dedup, op7_url_filter, op8_license_scan, op9_jaccard_join, op10_language_id)}
 
 OP2_SQL = r"""
 with d as (
