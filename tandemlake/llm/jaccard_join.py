@@ -81,8 +81,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
         # one byte a counter: what a task sees more than 255 times is frequent anyhow
         yield from tables.sent(np.minimum(table, 255).astype(np.uint8))
 
-    counts = tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1")
-    return np.log2(counts + 1.0).astype(np.uint8)
+    return tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1", lambda counts: np.log2(counts + 1.0).astype(np.uint8))
 
 
 def prefixes(docs: DataFrame, rare: np.ndarray, how: Join) -> DataFrame:
