@@ -93,7 +93,7 @@ def gene_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def anchors(spark: SparkSession, path: str, start: int = 0, end: int = 1) -> DataFrame:
     """line_no, g_start, g_end: the genes in the given fields; lines count from 0, short and blank ones too."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     fields = lines.select(F.col("line_no").cast("long").alias("line_no"), F.split(F.trim("line"), r"\s+").alias("f"))
     return fields.where(F.size("f") >= max(4, start + 1, end + 1)).select("line_no", F.col("f")[start].alias("g_start"), F.col("f")[end].alias("g_end"))
 
