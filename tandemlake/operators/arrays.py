@@ -115,3 +115,17 @@ def n50(arrays: DataFrame, keys: list[str]) -> DataFrame:
 def largest_per_reference(arrays: DataFrame, n: int = 2) -> DataFrame:
     best = Window.partitionBy("Reference").orderBy(F.desc("ArraySize"), "Chromosome", "Start", "End")
     return arrays.withColumn("Rank", F.row_number().over(best)).where(F.col("Rank") <= n)
+
+
+def displayed(arrays: DataFrame, chromosomes: DataFrame, least: int = 80_000) -> DataFrame:
+    """arrays with display_start and display_end: short ones widened around their middle, all kept on the chromosome."""
+    out = arrays.join(chromosomes, "Chromosome")
+    width, middle = F.col("End") - F.col("Start"), (F.col("Start") + F.col("End")) / 2
+    narrow = width < least
+    start = F.when(narrow, middle - least / 2).otherwise(F.col("Start").cast("double"))
+    end = F.when(narrow, middle + least / 2).otherwise(F.col("End").cast("double"))
+    # what would stick out on one side goes to the other
+    left, right = F.greatest(-start, F.lit(0.0)), F.greatest(end - F.col("ChromosomeLengthBp"), F.lit(0.0))
+    return out.select(
+        *arrays.columns, F.greatest(start - right, F.lit(0.0)).alias("display_start"), F.least(end + left, F.col("ChromosomeLengthBp").cast("double")).alias("display_end")
+    )

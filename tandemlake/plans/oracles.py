@@ -105,6 +105,11 @@ numbered as (select *, sum(starts) over (partition by "Chromosome" order by "Sta
 select "Chromosome", min("Start") as "Start", max("End") as "End", string_agg(distinct "Reference", ',' order by "Reference") as "References", count(distinct "Reference") as "NumReferences", max("End") - min("Start") + 1 as "ArraySize" from numbered group by "Chromosome", region""",
     "array_n50_l50": f"""with {ARRAYS}, {n50('"Reference"')} select * from n50s""",
     "top_n_arrays": f"""with {ARRAYS}, r as (select "Reference", "Chromosome", "Start", "End", "ArraySize", row_number() over (partition by "Reference" order by "ArraySize" desc, "Chromosome", "Start", "End") as "Rank" from arrays) select * from r where "Rank" <= 2""",
+    "display_intervals": f"""with {ARRAYS}, {CHROMS}, w as (select a.*, c."ChromosomeLengthBp"::double as n, case when a."End" - a."Start" < 5000 then (a."Start" + a."End") / 2.0::double - 2500 else a."Start"::double end as s,
+  case when a."End" - a."Start" < 5000 then (a."Start" + a."End") / 2.0::double + 2500 else a."End"::double end as e from arrays a join chroms c using ("Chromosome"))
+select "Chromosome", "Reference", "Start", "End", round(greatest(s - greatest(e - n, 0), 0) + 1e-9, 6) as display_start, round(least(e + greatest(-s, 0), n) + 1e-9, 6) as display_end from w""",
+    "chromosome_offsets": f"""with {SEQUENCES}, b as (select seq_idx // 1000 as index, 'block' || seq_idx // 1000 as "Chromosome", sum(length(seq))::bigint as "ChromosomeLengthBp" from seqs group by all)
+select index, "Chromosome", "ChromosomeLengthBp", coalesce(sum("ChromosomeLengthBp") over (order by index rows between unbounded preceding and 1 preceding), 0)::bigint as "Offset" from b""",
     "nonoverlap_segments": f"with {SEGMENTS} select * from segments",
     "composition_long": f"with {COMPOSITION} {rounded('composition', 'PercentChromosome')}",
     "composition_with_genome": f"""with {COMPOSITION}, total as (select sum("ChromosomeLengthBp")::bigint as n from chroms),
@@ -141,6 +146,10 @@ select *, round(case when "TotalSatellitomeBpRaw" > 0 then 100.0 * "TotalArrayBp
     "density_total": f"""with {COVERAGE} select "Chromosome", "Start", "End", sum("Coverage_bp")::bigint as "Coverage_bp" from coverage group by all""",
     "gc_track": f"""with {SEQUENCES}, bins as (select id, seq, unnest(range(0, length(seq), 100)) as s from seqs), parts as (select id, s, substr(seq, s::int + 1, 100) as p from bins)
 select id as "Chromosome", s::bigint as "Start", (s + length(p))::bigint as "End", round((length(p) - length(translate(p, 'GC', ''))) / nullif(length(p) - length(translate(p, 'ACGT', '')), 0)::double + 1e-9, 6) as "GC_fraction" from parts""",
+    "gc_plot_track": f"""with {SEQUENCES}, bins as (select id, seq, unnest(range(0, length(seq), 100)) as s from seqs), parts as (select id, s, substr(seq, s::int + 1, 100) as p from bins),
+t as (select id as "Chromosome", s::bigint as "Start", (s + length(p))::bigint as "End", (length(p) - length(translate(p, 'GC', ''))) / nullif(length(p) - length(translate(p, 'ACGT', '')), 0)::double as g from parts),
+m as (select quantile_cont(g, 0.5) as mid, min(g) as lo, max(g) as hi from t)
+select "Chromosome", "Start", "End", round(g + 1e-9, 6) as "GC_fraction", round(greatest(least(coalesce((coalesce(g, mid) - lo) / nullif(hi - lo, 0), 0.5), 1), 0) + 1e-9, 6) as "GC_plot" from t, m""",
     "blocks_from_anchors": f"with {BLOCKS} select * from blocks",
     "sat_inside": f"""with {BLOCKS} select "Chromosome", "Start", "End", family, species from repeats where id in (select id from inner_ids)""",
     "sat_outside": f"""with {BLOCKS} select "Chromosome", "Start", "End", family, species from repeats where id not in (select id from inner_ids)""",
@@ -168,3 +177,5 @@ select "Sequence", coalesce(species, 'Unknown') as "Species" from l left join s
 for name, what in (("heatmap_bp_pivot", 'coalesce(sum("ArraySize") filter ("Reference" = \'{r}\'), 0)::bigint'), ("heatmap_count_pivot", 'count(*) filter ("Reference" = \'{r}\')')):
     columns = ", ".join(f'{what.format(r=r)} as "{r}"' for r in ("AF", "AO", "NF", "NO", "RF", "RO"))
     ORACLE_SQL[name] = f"""with {ARRAYS}, {CHROMS} select c."Chromosome", {columns} from chroms c left join arrays a on a."Chromosome" = c."Chromosome" group by 1"""
+columns = ", ".join(f"""round(log10(coalesce(sum("ArraySize") filter ("Reference" = '{r}'), 0) + 1) + 1e-9, 6) as "{r}\"""" for r in ("AF", "AO", "NF", "NO", "RF", "RO"))
+ORACLE_SQL["heatmap_log10"] = f"""with {ARRAYS}, {CHROMS} select c."Chromosome", {columns} from chroms c left join arrays a on a."Chromosome" = c."Chromosome" group by 1"""

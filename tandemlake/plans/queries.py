@@ -89,6 +89,19 @@ def top_n_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.largest_per_reference(_arrays(spark, sf_dir)).select("Reference", "Chromosome", "Start", "End", "ArraySize", F.col("Rank").cast("long").alias("Rank"))
 
 
+@query
+def display_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = arrays.displayed(_arrays(spark, sf_dir), views.chromosomes(spark, sf_dir), least=5_000)
+    return rounded(shown.select("Chromosome", "Reference", "Start", "End", "display_start", "display_end"))
+
+
+@query
+def chromosome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sequence would begin in a plot of all, in blocks of a thousand sequences."""
+    lengths = views.sequences(spark, sf_dir).groupBy(F.floor(F.col("seq_idx") / 1000).alias("index")).agg(F.sum(F.length("seq")).alias("ChromosomeLengthBp"))
+    return density.offsets(lengths.withColumn("Chromosome", F.concat(F.lit("block"), F.col("index").cast("string"))))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition.segments(checkpointed(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir))
 
@@ -184,6 +197,17 @@ def gc_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(density.gc_track(contigs, 100))
 
 
+@query
+def gc_plot_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = views.sequences(spark, sf_dir).select(F.col("id").alias("Chromosome"), "seq")
+    return rounded(density.plot_track(density.gc_track(contigs, 100)))
+
+
+@query
+def heatmap_log10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(heatmap_bp_pivot(spark, sf_dir).select("Chromosome", *[F.log10(F.col(r) + 1).alias(r) for r in REFERENCES]))
+
+
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as 0-based half-open intervals of three species."""
     hits = views.hits(spark, sf_dir)
@@ -355,3 +379,21 @@ def frame_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchored_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     monomers, held = views.monomers(spark, sf_dir), checkpointed(_families(spark, sf_dir))
     return families.anchored(checkpointed(families.frames(monomers, held)), monomers)
+
+
+@query
+def superfamily_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.superfamilies(superfamily_links(spark, sf_dir))
+
+
+@query
+def family_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once, scores = _scores(spark, sf_dir)
+    return families.proofs(scores, once)
+
+
+@query
+def rescue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once, scores = _scores(spark, sf_dir)
+    held = checkpointed(families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores))
+    return families.rescue_groups(families.strict_families(scores, _shared(spark, sf_dir), held), held)
