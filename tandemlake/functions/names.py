@@ -88,3 +88,17 @@ def highlighted(chromosome: Column, wanted: list[str]) -> Column:
 def motif_label(library: Column, number: Column) -> Column:
     """The library's first three letters, its first digit and a running number."""
     return F.concat(F.substring(library, 1, 3), F.regexp_extract(library, r"\d", 0), number.cast("string"))
+
+
+def is_whole_number(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^[0-9]+$"), F.lit(False))
+
+
+def species_query(name: Column) -> Column:
+    """A species' name as a search term."""
+    return F.replace(name, F.lit(" "), F.lit("+"))
+
+
+def species_file(gene: Column, name: Column) -> Column:
+    """The file of a gene of a species."""
+    return F.concat(F.upper(gene), F.lit("_"), F.replace(name, F.lit(" "), F.lit("_")), F.lit(".fasta"))

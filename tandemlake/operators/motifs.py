@@ -80,3 +80,8 @@ def annotated(motifs: DataFrame, species: DataFrame, id: Column | None = None) -
     names = species.groupBy("code").agg(F.max_by("species", "order").alias("species")) if "order" in species.columns else species.dropDuplicates(["code"])
     out = motifs.withColumn("code", species_code(label)).join(names, "code", "left")
     return out.select(F.col("motif_id").alias("Sequence"), F.coalesce("species", F.lit("Unknown")).alias("Species"))
+
+
+def per_library(motifs: DataFrame) -> DataFrame:
+    """library, motifs, reads: how many motifs and reads with motifs each library has."""
+    return motifs.groupBy("library").agg(F.count("*").alias("motifs"), F.count_distinct("read_idx").alias("reads"))

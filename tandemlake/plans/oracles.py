@@ -172,6 +172,7 @@ r as (select *, row_number() over (partition by i order by shared desc, j) as n
 s as (select 'src' as code, n_name as species from nation where n_nationkey = 3),
 l as (select substr(library, 1, 3) || regexp_extract(library, '\d') || k as "Sequence" from n where regexp_matches(upper(motif), '^[ACGT]*$'))
 select "Sequence", coalesce(species, 'Unknown') as "Species" from l left join s on regexp_extract("Sequence", '^([a-zA-Z]+)', 1) = code""",
+    "motif_counts": f"with {MOTIFS} select library, count(*) as motifs, count(distinct read_idx) as reads from motifs group by 1",
     "motif_copies": f"with {MOTIFS} select motif, count(*) as copies from motifs group by 1 having count(*) > 2",
 }
 for name, what in (("heatmap_bp_pivot", 'coalesce(sum("ArraySize") filter ("Reference" = \'{r}\'), 0)::bigint'), ("heatmap_count_pivot", 'count(*) filter ("Reference" = \'{r}\')')):

@@ -310,6 +310,11 @@ def motif_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.annotated(motifs.numbered(_motifs(spark, sf_dir)), species)
 
 
+@query
+def motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.per_library(_motifs(spark, sf_dir))
+
+
 @query
 def motif_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.repeated(_motifs(spark, sf_dir), 2)

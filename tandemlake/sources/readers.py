@@ -116,3 +116,8 @@ def mapping(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
 def names(spark: SparkSession, path: str) -> DataFrame:
     """name: one for each line that isn't blank."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
+
+
+def hit_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Hits as the engine writes them: tab-separated with a header in each file."""
+    return spark.read.csv(path, sep="\t", schema=schemas.HITS, header=True)

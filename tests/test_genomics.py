@@ -194,6 +194,9 @@ def test_scalar_functions(spark):
     assert [one(spark, names.base_pairs(lit(float(x)))) for x in (12, 1500, 2_500_000, 3_200_000_000)] == ["12 bp", "1.5 kb", "2.50 Mb", "3.20 Gb"]
     assert one(spark, names.highlighted(lit("Chr12"), ["x", " chr1 "])) is True
     assert one(spark, names.highlighted(lit("Chr12"), [""])) is False
+    assert [one(spark, names.is_whole_number(lit(x))) for x in ("12", "1.2", "", None)] == [True, False, False, False]
+    assert one(spark, names.species_query(lit("Danio rerio"))) == "Danio+rerio"
+    assert one(spark, names.species_file(lit("hbb"), lit("Danio rerio"))) == "HBB_Danio_rerio.fasta"
 
 
 def test_natural_order(spark):

@@ -30,6 +30,8 @@ def test_hits(spark, tmp_path):
     kept = readers.valid_hits(found).collect()
     assert [(r.Reference, r.Query, r.Start, r.End, r.Strand, r.Pident) for r in kept] == [("ref", "q", 21, 30, "-", 98.5)]
     assert readers.valid_hits(found, 99.0).collect() == []
+    writers.tsv(found.where("Pident is not null"), str(tmp_path / "table"))
+    assert readers.hit_table(spark, str(tmp_path / "table")).collect() == found.where("Pident is not null").collect()
     text = spark.createDataFrame([("c", "1", "5", "r", "90.5", "5"), ("c", "x", "5", "r", "90", "5"), ("c", "9", "5", "r", "90", "5")], "Chromosome string, Start string, End string, Reference string, Pident string, HitLength string")
     assert [(r.Start, r.Pident) for r in readers.valid_hits(text).collect()] == [(1, 90.5)]
     with pytest.raises(ValueError, match="Pident"):
