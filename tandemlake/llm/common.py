@@ -69,7 +69,7 @@ _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text whose hashes are made at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _powers_to(n: int) -> list[np.ndarray]:

@@ -79,7 +79,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
             for _, found in shingle_sets(batch.column(0), how.width):
                 np.add.at(table, found & np.uint64(bins - 1), 1)
         # one byte a counter: what a task sees more than 255 times is frequent anyhow
-        yield from tables.sent(np.minimum(table, 255).astype(np.uint8))
+        yield from tables.sent(np.minimum(table, 255, out=table).astype(np.uint8))
 
     return tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1", lambda counts: np.log2(counts + 1.0).astype(np.uint8))
 
