@@ -1,8 +1,7 @@
-"""Helpers shared by the training-data operators: checkpoints, hashing, graph components."""
+"""Helpers shared by the training-data operators: stored tables and hashes of words and shingles."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,26 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed, components, shared_folder
+
+__all__ = ["ascii_lower", "checkpointed", "components", "mix", "read", "shared_folder", "shingle_sets", "signed", "stored", "text_buffers", "unit_interval", "word_count", "word_hashes"]
+
 #: The white space that separates words, as a regular expression class and as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one is set here only where none is named."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut df's lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: for rows with texts, of which later steps read columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -157,31 +145,3 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-# --- graph components --------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for each node that has an edge to another node.
-
-    Alternates large-star and small-star until the edges are stars around the smallest nodes. The hub of a large
-    group meets its edges in joins, which adaptive execution splits, and in aggregates, which combine before they
-    shuffle. Self-loops, nulls and repeated edges are ignored.
-    """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        pairs = checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now == before and now[0] == now[2]:
-            break
-        before = now
-    roots = pairs.select(F.col("v").alias("node")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
