@@ -7,8 +7,14 @@ joins compare the neighbours of each class with one another, until few lists cha
 
 A list is saturated if all its places are links, that is, reach the threshold: more links may exist than it has room for.
 Saturated lists are enlarged to the whole component of links that they are in, compared in blocks of BLOCK classes, so
-that links are counted where they arise and no list of all pairs is made. A bounded sample of AUDITED classes is compared
-with every vector; while less than RECALL of their links are found, more sorted lists are added, up to ATTEMPTS times.
+that links are counted where they arise and no list of all pairs is made. Links between two components with saturated
+lists have no place in any list: such components are held against one another as balls (blocks of classes with a centre
+and an angle), and the classes of balls that a link can span are compared; components that a link joins become one. The
+angles are a triangle inequality, so this is exact.
+
+A bounded sample of AUDITED classes is compared with every vector; while less than RECALL of their links are found, more
+sorted lists are added, up to ATTEMPTS times. If that isn't enough, all components are treated as saturated ones are: then
+every link is found.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component, or whose label is null, links
 with nothing and is its own component. A null vec_id links with nothing, has a null component and isn't kept. Rows equal
@@ -32,6 +38,8 @@ NEIGHBOURS, TABLES, BITS, NEAR = 12, 10, 30, 32
 ROUNDS, SETTLED = 4, 0.002
 BLOCK = 256
 AUDITED, RECALL, ATTEMPTS = 256, 0.95, 3
+#: Balls compared with as many others at once, and what rounding may add to an angle.
+TILE, SLACK = 1024, 1e-6
 EDGE = "a long, b long, cosine double"
 
 
@@ -169,14 +177,78 @@ def descended(graph: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
     return graph
 
 
-def enlarged(graph: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
-    """id, links: for classes in components with a saturated list, their links to all of the component, in vectors."""
+def saturated(graph: DataFrame, groups: DataFrame, how: Descent) -> DataFrame:
+    """The components that hold a saturated list."""
     full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).where((F.col("n") >= how.neighbours) & (F.col("least") >= how.threshold))
-    held = full.join(groups, F.col("a") == F.col("node")).select("component").distinct()
-    members = groups.join(held, "component")
+    return full.join(groups, F.col("a") == F.col("node")).select("component").distinct()
+
+
+def in_blocks(members: DataFrame, how: Descent) -> DataFrame:
+    """members with the number of blocks of their component and their own block."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "unit", "copies"), "node")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def bridges(members: DataFrame, how: Descent) -> DataFrame:
+    """a, b: the pairs of components between which there is a link; members has component, node, space, unit."""
+    members = checkpointed(in_blocks(members, how).select("component", "own", "node", "space", "unit"))
+    reach = float(np.arccos(how.threshold)) + SLACK
+
+    def ball(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = matrix(pa.Table.from_batches(list(batches)).combine_chunks().column("unit").chunk(0))  # one block
+        middle = points.sum(axis=0)
+        norm = float(np.sqrt((middle * middle).sum()))
+        centre = middle / norm if norm > SLACK else points[0]
+        radius = float(np.arccos(np.clip(points @ centre, -1, 1)).max())
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int64(), pa.int32()), strict=True)] + [pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], names=["space", "component", "own", "unit", "radius"])
+
+    balls = checkpointed(members.groupBy("space", "component", "own").applyInArrow(ball, "space string, component long, own int, unit binary, radius double"))
+    tiles = balls.groupBy("space").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    spread = balls.join(tiles, "space").withColumn("tile", F.pmod(F.xxhash64("component", "own"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("space", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "component", "own", "unit", "radius")
+
+    def near(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()  # two tiles at most
+        tile, component, own, radius = (table.column(c).to_numpy() for c in ("tile", "component", "own", "radius"))
+        points = matrix(table.column("unit").chunk(0))
+        for at in range(0, len(points), how.block):
+            rows = np.arange(at, min(at + how.block, len(points)))
+            close = np.arccos(np.clip(points[rows] @ points.T, -1, 1)) <= radius[rows, None] + radius[None, :] + reach
+            close &= component[rows, None] < component[None, :]
+            if key[1].as_py() != key[2].as_py():
+                close &= tile[rows, None] != tile[None, :]
+            i, j = np.nonzero(close)
+            i = rows[i]
+            yield pa.RecordBatch.from_arrays([pa.array(component[i]), pa.array(own[i]), pa.array(component[j]), pa.array(own[j])], names=["a", "own_a", "b", "own_b"])
+
+    pair = ["a", "own_a", "b", "own_b"]
+    pairs = checkpointed(spread.groupBy("space", "low", "high").applyInArrow(near, "a long, own_a int, b long, own_b int"))
+    sides = [pairs.join(members.select(F.col("component").alias(c), F.col("own").alias(f"own_{c}"), "unit"), [c, f"own_{c}"]).select(*pair, F.lit(c == "a").alias("first"), "unit") for c in ("a", "b")]
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()  # two blocks
+        first, points = table.column("first").to_numpy(), matrix(table.column("unit").chunk(0))
+        if (points[first] @ points[~first].T >= how.threshold).any():
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int64())], names=["a", "b"])
+
+    return checkpointed(sides[0].unionByName(sides[1]).groupBy(*pair).applyInArrow(meet, "a long, b long").distinct())
+
+
+def bridged(groups: DataFrame, held: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
+    """groups, with those of the held components as one between which there is a link."""
+    members = groups.join(held, "component").join(classes.select(F.col("id").alias("node"), "space", "unit"), "node")
+    found = bridges(members, how)
+    if found.isEmpty():
+        return groups
+    merged = components(found).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return checkpointed(groups.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
+def enlarged(held: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
+    """id, links: for classes in the held components, their links to all of the component, in vectors."""
+    members = groups.join(held, "component")
+    dealt = in_blocks(members, how).join(classes.select(F.col("id").alias("node"), "unit", "copies"), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "unit", "copies")
 
     def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +265,7 @@ def enlarged(graph: DataFrame, groups: DataFrame, classes: DataFrame, how: Desce
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(graph: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent) -> float:
+def audit(graph: DataFrame, held: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent) -> float:
     """The share of links found, of a sample of classes compared with every vector."""
     n = classes.count()
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
@@ -221,8 +293,7 @@ def audit(graph: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent)
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     one = groups.select(F.col("node").alias("a"), F.col("component").alias("x"))
     two = groups.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).where((F.col("n") >= how.neighbours) & (F.col("least") >= how.threshold))
-    saturated = full.join(groups, F.col("a") == F.col("node")).select(F.col("component").alias("x")).distinct().withColumn("all", F.lit(True))
+    saturated = held.select(F.col("component").alias("x"), F.lit(True).alias("all"))
     seen = true.join(links.withColumn("listed", F.lit(True)), ["a", "b"], "left").join(one, "a", "left").join(two, "b", "left").join(saturated, "x", "left")
     hit = F.coalesce("listed", F.lit(False)) | F.coalesce(F.col("all") & (F.col("x") == F.col("y")), F.lit(False))
     total, found = seen.agg(F.count("*"), F.sum(hit.cast("long"))).first()
@@ -241,11 +312,18 @@ def linked(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
         graph = descended(checkpointed(_top(edges, how.neighbours)), classes, how)
         links = graph.where(F.col("cosine") >= how.threshold).select("a", "b")
         groups = checkpointed(components(links))
-        if audit(graph, groups, classes, how) >= how.recall:
+        groups = bridged(groups, saturated(graph, groups, how), classes, how)
+        held = checkpointed(saturated(graph, groups, how))
+        if audit(graph, held, groups, classes, how) >= how.recall:
             break
+    else:
+        alone = classes.select(F.col("id").alias("node"), F.col("id").alias("component")).join(groups, "node", "left_anti")
+        groups = checkpointed(groups.unionByName(alone))
+        groups = bridged(groups, groups.select("component").distinct(), classes, how)
+        held = groups.select("component").distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     listed = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("listed")).withColumnRenamed("a", "id")
-    counted = checkpointed(enlarged(graph, groups, classes, how))
+    counted = checkpointed(enlarged(held, groups, classes, how))
     known = classes.select("same", "id", "copies").join(listed, "id", "left").join(counted, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("same", (F.coalesce("links", "listed", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("least"))
     out = rows.select("vec_id", F.when(F.col("space").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")

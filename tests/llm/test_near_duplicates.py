@@ -129,6 +129,45 @@ def test_nn_descent(spark):
     assert nn_descent.linked(frame.limit(0)).collect() == []
 
 
+def near_groups(seed, sizes, dim=32):
+    """Tight groups around centres whose cosines with the first are above the threshold, and as many rows far from them."""
+    rng = np.random.default_rng(seed)
+    first = rng.standard_normal(dim)
+    first /= np.linalg.norm(first)
+    rows = []
+    for size in sizes:
+        aside = rng.standard_normal(dim)
+        aside -= aside @ first * first
+        centre = first + 0.2 * aside / np.linalg.norm(aside)
+        rows += [centre + 0.004 * rng.standard_normal(dim) for _ in range(size)]
+    rows += list(rng.standard_normal((sum(sizes), dim)))
+    return [(i, x.tolist(), 0) for i, x in enumerate(rows)]
+
+
+def links_of(rows, threshold=0.93):
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1).tolist(), union(np.argwhere(linked).tolist(), range(len(rows)))
+
+
+def test_links_between_saturated_groups(spark):
+    rows = near_groups(4, (20, 20, 40))
+    degree, want = links_of(rows)
+    assert min(degree[:40]) >= 39
+    found = nn_descent.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), nn_descent.Descent(block=16)).collect()
+    assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(found)] == [(i, degree[i], want[i]) for i in range(len(rows))]
+
+
+def test_exact_where_recall_stays_low(spark):
+    rows = near_groups(5, (3, 20, 20))
+    degree, want = links_of(rows)
+    how = nn_descent.Descent(tables=1, near=1, rounds=0, recall=1.1, block=16)
+    found = nn_descent.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), how).collect()
+    assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(found)] == [(i, degree[i], want[i]) for i in range(len(rows))]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
