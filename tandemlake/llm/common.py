@@ -126,9 +126,10 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
     A text of fewer words is one shingle, a text without words has none.
     """
     for first, last, words, bounds in word_hashes(column):
-        sums = np.zeros(max(0, len(words) - width + 1), np.uint64)
+        count = max(0, len(words) - width + 1)
+        sums = np.zeros(count, np.uint64)
         for k in range(width):
-            sums += words[k : len(words) - width + 1 + k] * _MULTIPLIERS[k % 4] * np.uint64(2 * (k // 4) + 1)
+            sums += words[k : k + count] * _MULTIPLIERS[k % 4] * np.uint64(2 * (k // 4) + 1)
         sums = mix(sums)
         for row in range(first, last):
             a, b = int(bounds[row - first]), int(bounds[row - first + 1])

@@ -18,7 +18,7 @@ order. Hot lists are split by adaptive joins, and never gathered.
 Defined results: null texts and texts without a word have no shingle, link with nothing and are their own component; a
 text with fewer words than a shingle is one shingle. Equal texts link. A row with a null doc_id links with nothing and has
 a null component. Rows with equal ids and texts are one; rows with equal ids and different texts connect what either
-links. Other columns aren't read.
+links and have one component, those without a shingle as well. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -183,12 +183,16 @@ def joined(docs: DataFrame, how: Join = Join()) -> DataFrame:
     rows = checkpointed(measured(docs, how))
     sets = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = checkpointed(sets)
-    found = components(links(docs.where("doc_id is not null"), sets, how))
+    named = rows.where("doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("rows"), F.count("node").alias("full"))
+    several = checkpointed(several.where("first <> last or full > 0 and full < rows").select("doc_id", "first"))
+    same = named.join(several, "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = components(links(docs.where("doc_id is not null"), sets, how).unionByName(same))
     # one class for equal sets and for rows of one id, then the smallest id of each component
     classes = sets.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")
-    out = rows.join(named, "node", "left")
+    out = rows.join(several, "doc_id", "left").withColumn("node", F.coalesce("node", "first")).join(named, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -196,7 +200,7 @@ def joined(docs: DataFrame, how: Join = Join()) -> DataFrame:
 def deduplicated(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of each component one row, of its smallest doc_id.
 
-    Rows with null ids stay. Texts are moved only for ids that come more than once.
+    Rows with null ids stay. Texts are moved only for ids that come more than once, of which the longest stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found = checkpointed(joined(docs, how).where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
@@ -207,4 +211,5 @@ def deduplicated(docs: DataFrame, how: Join = Join()) -> DataFrame:
     stay = one.where("doc_id is null or __n = 1").select(*columns)
     if found.where("__n > 1").isEmpty():
         return stay
-    return stay.unionByName(one.where("__n > 1").dropDuplicates(["__id"]).select(*columns))
+    longest = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text"))
+    return stay.unionByName(one.where("__n > 1").groupBy("__id").agg(longest.alias("__row")).select("__row.*"))

@@ -129,6 +129,23 @@ def test_nn_descent(spark):
     assert nn_descent.linked(frame.limit(0)).collect() == []
 
 
+def test_shingles_of_few_words():
+    import pyarrow as pa
+
+    for width in (4, 5):
+        for n in range(width + 2):
+            ((row, found),) = common.shingle_sets(pa.array([" ".join("abcdefg"[:n])]), width)
+            assert (row, len(found)) == (0, len(shingles(" ".join("abcdefg"[:n]), width)))
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    frame = docs(spark, [(3, x), (5, x), (5, y), (8, y), (6, None), (6, x), (9, z), (9, None), (10, z), (11, None)])
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_join.joined(frame).collect())
+    assert found == [(3, 3), (5, 3), (5, 3), (6, 3), (6, 3), (8, 3), (9, 9), (9, 9), (10, 9), (11, 11)]
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.deduplicated(frame).collect()) == [(3, x), (9, z), (11, None)]
+
+
 def near_groups(seed, sizes, dim=32):
     """Tight groups around centres whose cosines with the first are above the threshold, and as many rows far from them."""
     rng = np.random.default_rng(seed)
