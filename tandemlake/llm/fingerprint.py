@@ -11,7 +11,8 @@ The edited text of `edited` needs the next document's text. Documents are dealt
 of each range goes to the range before it as well, and each range is sorted and read as a stream; text moves once.
 
 Defined results: null text is empty, and an empty text's slots are all empty; two empty texts are alike (1), an empty and
-another text are not (0). A text shorter than the window is its own window. Null ids come first; rows with equal ids are
+another text are not (0). A text's fingerprint takes windows of a width by its length, so fingerprints of texts of unlike
+width share nothing; likeness takes both texts at the width of the shorter. Null ids come first; rows with equal ids are
 ordered by text. With one row, the next document is the row itself. Other columns aren't read.
 """
 
@@ -120,12 +121,12 @@ def window_of(length: int, window: int = WINDOW) -> int:
     return width
 
 
-def sketch(points: np.ndarray, slots: int = SLOTS, window: int = WINDOW) -> np.ndarray:
-    """The least window hash in each slot as 32 bits, 0 for an empty slot."""
+def sketch(points: np.ndarray, slots: int = SLOTS, window: int = WINDOW, width: int | None = None) -> np.ndarray:
+    """The least window hash in each slot as 32 bits, 0 for an empty slot; windows of the given or the text's own width."""
     kept = np.zeros(slots, np.uint32)
     if len(points) == 0:
         return kept
-    width = window_of(len(points), window)
+    width = width or window_of(len(points), window)
     hashes = mix(PrefixHash(points).windows(width) + np.uint64(width))
     slot = (hashes >> np.uint64(32)) % np.uint64(slots)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -150,6 +151,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * same / (1 + same)
 
 
+def alike(a: np.ndarray, own: np.ndarray, b: np.ndarray, other: np.ndarray) -> float:
+    """The likeness of two texts with their sketches, both at the width of the shorter text."""
+    shorter = min(len(a), len(b))
+    if shorter == 0:
+        return likeness(own, other)
+    width = window_of(shorter)
+    first, second = (kept if window_of(len(points)) == width else sketch(points, width=width) for points, kept in ((a, own), (b, other)))
+    return likeness(first, second)
+
+
 def ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(inner bounds of about equal ranges of doc_id, the numbers of the ranges that hold rows, with their least ids).
 
@@ -231,7 +242,7 @@ def _compare(doc_id, points: np.ndarray, own: np.ndarray, following: np.ndarray,
     changed = np.concatenate([points[: len(points) - cut], following[:cut]])
     digest = hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
     after = sketch(changed)
-    return (None if pd.isna(doc_id) else int(doc_id), len(points), digest, as_text(own), as_text(after), likeness(own, after), likeness(own, other))
+    return (None if pd.isna(doc_id) else int(doc_id), len(points), digest, as_text(own), as_text(after), alike(points, own, changed, after), alike(points, own, following, other))
 
 
 def edited(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:

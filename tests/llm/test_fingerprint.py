@@ -51,6 +51,18 @@ def test_edited_texts(spark):
     assert len(prints) == 2  # "tie a" twice, "tie b"
 
 
+def test_likeness_across_widths(spark):
+    text = "of all the windows in this text of one hundred code points some must stay when its end is cut away!!"
+    for size in (128, 100, 64, 40, 20):
+        for following in (None, "", "0123456789"):
+            long = (text * 2)[:size]
+            near = {r.doc_id: r.near_edited for r in fp.edited(docs(spark, [(1, long), (2, following)])).collect()}
+            assert near[1] > 0.3, (size, following)
+    data = [(1, text[:66]), (2, text[:63]), (3, text[:31]), (4, "0123456789" * 7)]
+    near = [r.near_next for r in sorted(fp.edited(docs(spark, data)).collect())]
+    assert near[0] > 0.8 and near[1] > 0.4 and near[2] == 0.0
+
+
 def test_one_row_and_none(spark):
     assert fp.edited(spark.createDataFrame([], DOCS)).collect() == []
     (r,) = fp.edited(docs(spark, [(1, "abcd")])).collect()
