@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one is set here only where none is named."""
+    """The session's spark.checkpoint.dir. In local mode a temporary folder stands in for it; a cluster has to name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 

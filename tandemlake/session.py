@@ -6,18 +6,27 @@ import os
 
 from pyspark.sql import SparkSession
 
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def session(app: str = "tandemlake", master: str | None = None, **conf: str) -> SparkSession:
-    """Adaptive execution, UTC, and shuffle partitions by cores; a cluster's own settings win over the defaults here."""
+    """A session with conf; adaptive execution and UTC where neither conf nor the cluster's own settings say otherwise.
+
+    In local mode there are two shuffle partitions for each core; a cluster's number is its own.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    defaults = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(2 * (os.cpu_count() or 4)),
-    }
-    for key, value in (defaults | conf).items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    named = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    for key, value in (DEFAULTS | ({"spark.sql.shuffle.partitions": str(2 * (os.cpu_count() or 4))} if local else {})).items():
+        if named.get(key) is None:
+            spark.conf.set(key, value)
+    return spark
