@@ -8,7 +8,9 @@ task meets more than STRIPE blocks or one row for each stripe of a file.
 
 Defined results: each separator ends one document, which may have no token; ids after a file's last separator are one
 more document, marked as not ended. An empty file has no document. A block's bytes that don't fill an id raise an error.
-`flatten` writes a null text as an empty document and repeated rows as often as they come; a null doc_id stays null.
+`flatten` writes a null text as an empty document and repeated rows as often as they come; a null doc_id stays null. A
+very long text is encoded whole and then cut into blocks. An empty table gives an empty result. Other columns, of whatever
+name, aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import checkpointed
 
 #: Bytes of a block, blocks of a stripe, and numpy's name for an id's type.
 BLOCK, STRIPE, IDS = 1 << 18, 1024, "<u2"
@@ -110,5 +113,9 @@ def documents(found: DataFrame, stripe: int = STRIPE) -> DataFrame:
 
 
 def counted(docs: DataFrame, block: int = BLOCK, stripe: int = STRIPE) -> DataFrame:
-    """doc_id, n_tokens, file, doc_index, start, ended of every document: docs flattened, scanned and stitched."""
-    return documents(scan(flatten(docs, block)), stripe).select("doc_id", "n_tokens", "file", "doc_index", "start", "ended")
+    """doc_id, n_tokens, file, doc_index, start, ended of every document: docs flattened, scanned and stitched.
+
+    What the scan finds, a few numbers for each document, is checkpointed: texts are encoded once, and the files keep
+    their numbers, however often the stitching reads them.
+    """
+    return documents(checkpointed(scan(flatten(docs, block))), stripe).select("doc_id", "n_tokens", "file", "doc_index", "start", "ended")
