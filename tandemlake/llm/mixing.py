@@ -5,11 +5,13 @@ within a source the smallest keys come first. A source's target is met by comple
 by a fraction of one more: the documents in key order as far as the prefix sum of their sizes reaches the rest.
 
 No source is sorted as a whole: documents are counted into key ranges, ranges are summed, and only the one range of each
-source in which the budget ends is sorted. The text is read for its size and never shuffled.
+source in which the budget ends is sorted. Rows equal in key and size are counted there as one with their number; where
+the budget ends among them, as many are taken as fit. The text is read for its size and never shuffled.
 
 Defined results: null text has size 0; null is a source of its own, last in order; documents of size 0 are taken with
-their place in the key order and count nothing; rows with equal ids and sizes have equal keys and are taken together, as
-is a null id's. An empty table gives an empty result. Columns of the input with other names pass through `mixed`.
+their place in the key order and count nothing. Rows with equal ids have equal keys and come in order of size; among rows
+equal in both it is rows, not ids, that are taken. A very long text is counted whole, and may overshoot a target by half
+its size. An empty table gives an empty result. All columns of the input, of whatever name, pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from .common import checkpointed, unit_interval, word_count
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS, SEED = 1.5, 2.0, "mix-1"
-#: Key ranges of a source; the one where its budget ends is sorted.
-RANGES = 4096
+#: Documents of a key range of a source, on average, and the least and the most ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4_096, 1 << 10, 1 << 24
 #: Plans of up to so many sources (some 100 bytes each) are broadcast to the documents; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Equal rows that one task makes of their number.
+CHUNK = 10_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ class Mix:
     share: float = SHARE
     most_epochs: float = MOST_EPOCHS
     seed: str = SEED
-    ranges: int = RANGES
+    range_rows: int = RANGE_ROWS
 
 
 def quality(size: Column, characters: Column) -> Column:
@@ -45,15 +49,12 @@ def quality(size: Column, characters: Column) -> Column:
     return F.when((mean >= 3) & (mean <= 10), F.lit(1.0)).when((mean >= 2) & (mean <= 16), F.lit(0.75)).otherwise(F.lit(0.5))
 
 
-def sized(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with struct column __mix: id, size, source, key, range."""
-    size = word_count(F.col("text"))
-    uniform = unit_interval(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("null")))
-    out = docs.withColumn("__size", size)
-    out = out.withColumn("__key", -F.log(uniform) / quality(F.col("__size"), F.coalesce(F.char_length("text"), F.lit(0))))
-    # 1 - exp(-key) lies in 0 to 1, grows with the key and is uniform for weight 1
-    bucket = F.least(F.floor((1 - F.exp(-F.col("__key"))) * mix.ranges), F.lit(mix.ranges - 1)).cast("int")
-    return out.withColumn("__mix", F.struct(F.col("doc_id").alias("id"), F.col("__size").alias("size"), F.col("source").alias("source"), F.col("__key").alias("key"), bucket.alias("range"))).drop("__size", "__key")
+def sized(docs: DataFrame, columns: list[str], mix: Mix) -> DataFrame:
+    """row (a struct of the columns), id, size, source, key."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    measured = docs.select(kept, F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.md5("text").alias("digest"))
+    uniform = unit_interval(F.lit(mix.seed), F.coalesce(F.col("id").cast("string"), F.col("digest"), F.lit("null")))
+    return measured.select("row", "id", "size", "source", (-F.log(uniform) / quality(F.col("size"), F.col("chars"))).alias("key"))
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -80,60 +81,84 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return listed.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
+def _range(key: Column, ranges: Column) -> Column:
+    """A key's range: 1 - exp(-key) lies in 0 to 1, grows with the key and is uniform for weight 1."""
+    return F.least(F.floor((1 - F.exp(-key)) * ranges), ranges - 1).cast("int")
+
+
 def budgets(measured: DataFrame, mix: Mix) -> DataFrame:
-    """One row for each source: source, source_size, target, epochs, last_key (the last key of the fraction; null: none)."""
-    m = measured.select("__mix.*")
-    ranges = m.groupBy("source", "range").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    plan = targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
-    size = F.col("source_size")
-    plan = plan.withColumn("epochs", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * size)
-    summed = ranges.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("range")))
+    """One row for each source: source, source_size, target, epochs, the range in which the fraction ends (null: nowhere)
+    of how many, and last: the last rows that it takes of this range as key, size, their number n and how many of them are
+    taken, k (null: it takes none of the range)."""
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, measured.count() // mix.range_rows))
+    m = measured.select("source", "size", "key", _range(F.col("key"), F.lit(ranges)).alias("range"))
+    held = m.groupBy("source", "range").agg(F.sum("size").alias("size"))
+    plan = targets(held.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
+    whole = F.col("source_size")
+    plan = plan.withColumn("epochs", F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * whole)
+    summed = held.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("range")))
     split = (
         plan.alias("p").join(summed.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")))
         .where("upto > rest").groupBy("p.source").agg(F.min(F.struct("range", (F.col("upto") - F.col("r.size")).alias("before"))).alias("at"), F.first("rest").alias("rest"))
         .select("source", "at.range", "at.before", "rest")
     )
     near = m.alias("m").join(split.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")) & (F.col("m.range") == F.col("s.range")))
-    keys = near.groupBy("s.source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key"))
-    # the document on the border is taken if more than half of it fits
-    last = keys.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max("key").alias("key"))
-    ends = split.alias("s").join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left")
-    ends = ends.select(F.col("s.source").alias("source"), "range", F.col("l.key").alias("key"))
+    equal = near.groupBy("s.source", "key", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    upto = F.col("before") + F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source").orderBy("key", "size"))
+    left = F.col("rest") - (upto - F.col("size") * F.col("n"))
+    # the row on the border is taken if at least half of it fits
+    fit = F.when(left < 0, F.lit(0)).when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor(left / F.col("size") + 0.5))).cast("long")
+    last = equal.select("source", "key", "size", "n", fit.alias("k")).where("k > 0").groupBy("source").agg(F.max(F.struct("key", "size", "n", "k")).alias("last"))
+    ends = split.alias("s").join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.source", "range", "last")
     joined = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-    return joined.select("p.source", "source_size", "target", "epochs", "range", "key")
-
+    return joined.select("p.source", "source_size", "target", "epochs", "range", F.lit(ranges).alias("ranges"), "last")
 
-def planned(docs: DataFrame, mix: Mix = Mix(), keep: DataFrame | None = None) -> DataFrame:
-    """docs with __mix and __plan: its source's budget, and copies: how often the mix takes the document.
 
-    Without keep, the measured columns are checkpointed, so that texts are read once; with it, docs are measured anew.
-    """
-    measured = sized(docs, mix)
-    small = checkpointed(measured.select("__mix"))
-    plan = checkpointed(budgets(small, mix))
-    base = small if keep is None else measured
-    plan = plan.select(F.col("source").alias("__source"), F.struct("source_size", "target", "epochs", "range", "key").alias("__plan"))
+def planned(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """row, id, size, source, key, plan, copies: how often the mix takes each row."""
+    plan = plan.select(F.col("source").alias("of"), F.struct("source_size", "target", "epochs", "range", "ranges", "last").alias("plan"))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = base.join(plan, F.col("__mix.source").eqNullSafe(F.col("__source"))).drop("__source")
-    mine, ends = F.col("__mix"), F.col("__plan")
-    part = F.when(ends["range"].isNull(), F.lit(0)).when(mine["range"] < ends["range"], F.lit(1)).when((mine["range"] == ends["range"]) & (mine["key"] <= ends["key"]), F.lit(1)).otherwise(F.lit(0))
-    return joined.withColumn("__copies", ends["epochs"] + part)
+    joined = measured.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    p, mine = F.col("plan"), F.struct("key", "size")
+    last = F.struct(p["last"]["key"].alias("key"), p["last"]["size"].alias("size"))
+    inside = F.when(p["range"].isNull(), F.lit(0)).when(p["last"].isNull(), (_range(F.col("key"), p["ranges"]) < p["range"]).cast("int")).otherwise((mine <= last).cast("int"))
+    out = joined.withColumn("copies", p["epochs"] + inside)
+    divided = p["last"].isNotNull() & (p["last"]["k"] < p["last"]["n"]) & (mine == last)
+    if plan.where("plan.last.k < plan.last.n").isEmpty():
+        return out
+    return out.where(~F.coalesce(divided, F.lit(False))).unionByName(_numbered(out.where(divided)))
+
+
+def _numbered(equal: DataFrame) -> DataFrame:
+    """Rows equal in source, key and size of which only k are taken, each with its copies.
+
+    They are counted before they move, numbered by runs of equal rows, and made again in tasks of CHUNK rows.
+    """
+    runs = equal.groupBy("row", "id", "size", "source", "key", "plan").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("id", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("k", F.col("plan.last.k") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    chunks = runs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})"))).repartition(F.xxhash64("row", "id", "chunk"))
+    each = chunks.withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK} + 1, least(n, (chunk + 1) * {CHUNK}))")))
+    return each.select("row", "id", "size", "source", "key", "plan", (F.col("plan.epochs") + (F.col("i") <= F.col("k")).cast("int")).alias("copies"))
 
 
 def report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies for each row of docs."""
-    d = planned(docs.select("doc_id", "text", "source"), mix)
+    measured = checkpointed(sized(docs, ["doc_id"], mix))
+    d = planned(measured, checkpointed(budgets(measured, mix)))
     return d.select(
-        F.col("__mix.id").alias("doc_id"), F.col("__mix.size").alias("size"), F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"),
-        (F.col("__mix.size") * F.col("__copies")).alias("taken"), F.col("__mix.source").alias("source"), F.col("__copies").alias("copies"),
+        F.col("id").alias("doc_id"), "size", F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"),
+        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
     )
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with docs' columns."""
-    columns = docs.columns
-    d = planned(docs, mix, keep=docs).where("__copies > 0")
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    """The mix itself: each row of docs as often as the mix takes it, with docs' columns.
+
+    The measures are checkpointed to plan from; docs are read once more for their columns.
+    """
+    small = checkpointed(sized(docs, ["doc_id"], mix).drop("row"))
+    d = planned(sized(docs, docs.columns, mix), checkpointed(budgets(small, mix))).where("copies > 0")
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
