@@ -16,7 +16,8 @@ a partition's end is cut into powers of two, which need no padding, where a padd
 TAIL_PADDING. Nothing is shuffled and a task holds one chunk and its longest document.
 
 Defined results: null text is empty, and an empty text is its end id alone; a null doc_id stays null; repeated rows are
-packed as often as they come; sequences never span input partitions. Other columns aren't read.
+packed as often as they come; sequences never span input partitions. Very long texts are cut over as many sequences as
+they fill. An empty table gives an empty result. Other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import tokens
 
 LENGTH, END_ID = 1024, 0
-SENTENCE_CUT, INNER_CUT, STEP, RUNS = 1, 3, 64, (1, 2, 4, 8)
+SENTENCE_CUT, INNER_CUT, STEP, RUNS = 1, 12, 64, (1, 2, 4, 8)
 CHUNK, TAIL_PADDING = 1 << 18, 16
 #: One sequence id: the partition's number above, the sequence's number in it below.
 PARTITION_BITS = 36
