@@ -1,21 +1,27 @@
 """Cross-entropy difference: each document's loss under a target model less that under a background model.
 
-Both are bigram models over one vocabulary: words, lower-cased in A-Z and hashed to VOCABULARY ids, their pairs hashed to
-PAIRS counters. Hashing bounds the models, whatever the corpus; both count all their documents. The background model
-counts every document, the target model those of the target. With c the counts, n their sum and m the model's SMOOTHING,
+Both are bigram models over one vocabulary, the words of all documents, lower-cased in A-Z. The background model counts
+every document, the target model those of the target. They are matched: the background's counts are scaled to the target's
+number of tokens, so that both give the same to words that neither knows, and are smoothed alike. With c the counts, n
+their sum, V the size of the vocabulary and m = SMOOTHING,
 
-    p(w)     = (c(w) + 1) / (n + VOCABULARY)
+    p(w)     = (c(w) + 1) / (n + V)
     p(w | v) = (c(v, w) + m * p(w)) / (c(v) + m)
 
 where v is the word before, or the document's begin. A score is the mean over a document's tokens of the target's loss
 less the background's, in nats: low for documents like the target. A document that a model has counted is scored by the
 model without that document's own counts, so that the target's documents have no advantage of being in it.
 
-Counting and scoring each read the documents once and join the target's ids to them.
+The counts are a distributed table of words and pairs, as 64-bit hashes, that grows with the corpus. Documents are dealt
+to blocks of BLOCK bytes and stored once. Each block counts its own words and pairs and sends them, as arrays, to buckets
+of hashes; a bucket adds up the blocks' counts and sends each block the sums of what other blocks have as well. The block
+then scores its documents. A hot word or pair is one entry of each block and one sum of a bucket; buckets are as many as
+keep each of them to about BUCKET entries. Only totals reach the driver.
 
 Defined results: null texts and texts without a word have 0 tokens and null losses and score. An empty target has equal
-probabilities for all words. A null doc_id is in no target. Repeated rows count and are scored as often as they come.
-Other columns aren't read.
+probabilities for all words, and the background isn't scaled. A null doc_id is in no target. Repeated rows count and are scored as often as they come. A
+very long text is a block of its own and is held by one task. An empty table gives an empty result. Other columns, of
+whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -25,117 +31,214 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
-from .common import mix, word_hashes
+from .common import mix, stored, word_hashes
 
-#: Ids of the shared vocabulary, counters of its pairs, and words of context mass; the first two are powers of two.
-VOCABULARY, PAIRS, SMOOTHING = 1 << 16, 1 << 20, 50.0
+#: Words of context mass.
+SMOOTHING = 50.0
+#: Bytes of text of a block, and bytes that a row counts for at least; entries of a bucket.
+BLOCK, ROW_BYTES, BUCKET = 1 << 22, 64, 1 << 21
 #: Up to so many ids of target documents (8 bytes each) are broadcast to the documents; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+_BEGIN = np.uint64(0x5851F42D4C957F2C)
+_LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+BLOCKS = "block long, doc_id long, text string, wanted boolean, n_tokens long"
+SENT = "bucket long, block long, grams binary, counts binary"
+RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 @dataclass(frozen=True)
-class Sizes:
-    vocabulary: int = VOCABULARY
-    pairs: int = PAIRS
+class Models:
     smoothing: float = SMOOTHING
-
-
-def bigrams(column: pa.Array, sizes: Sizes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice of rows: their numbers, each token's row in the slice, its word and its pair with the word before."""
-    for first, last, words, bounds in word_hashes(column):
-        ids = (words & np.uint64(sizes.vocabulary - 1)).astype(np.int64)
-        of = np.repeat(np.arange(last - first), np.diff(bounds))
-        joint = contexts(of, ids, sizes).astype(np.uint64) * np.uint64(2 * sizes.vocabulary) + ids.astype(np.uint64)
-        yield np.arange(first, last), of, ids, (mix(joint) & np.uint64(sizes.pairs - 1)).astype(np.int64)
-
-
-def contexts(rows: np.ndarray, ids: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """The word before each token; sizes.vocabulary, an id of its own, at a document's begin."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    if len(ids):
-        out[np.concatenate([[True], rows[1:] != rows[:-1]])] = sizes.vocabulary
-    return out
+    block: int = BLOCK
+    bucket: int = BUCKET
 
 
 def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, text, wanted: whether the document is one of the target."""
-    chosen = target.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    chosen = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().alias("wanted"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return held.join(chosen, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.col("id").isNotNull().alias("wanted"))
 
 
-def train(docs: DataFrame, target: DataFrame, sizes: Sizes = Sizes()) -> np.ndarray:
-    """Counts, as one row for the background and one for the target: words, documents (their begins), then pairs."""
-    width = _width(sizes)
+def blocks(flagged: DataFrame, how: Models) -> DataFrame:
+    """The documents with the numbers of their blocks and tokens, stored, so that blocks stay as they are."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, width), np.uint32)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for rows, of, ids, pairs in bigrams(batch.column(0), sizes):
-                for k, chosen in enumerate((slice(None), wanted[rows][of])):
-                    counts[k, : sizes.vocabulary] += np.bincount(ids[chosen], minlength=sizes.vocabulary).astype(np.uint32)
-                    np.add.at(counts[k], pairs[chosen] + (width - sizes.pairs), 1)
-                counts[0, sizes.vocabulary] += len(np.unique(of))
-                counts[1, sizes.vocabulary] += len(np.unique(of[wanted[rows][of]]))
-        yield from tables.sent(counts.reshape(-1))
-
-    parts = flagged(docs, target).select("text", "wanted").mapInArrow(count, tables.PARTS)
-    return tables.summed(parts, 2 * width, "<u4").reshape(2, width)
-
-
-def _width(sizes: Sizes) -> int:
-    """Words and begins, filled up to whole parts, then pairs."""
-    words = -(-(sizes.vocabulary + 1) // tables.PART) * tables.PART
-    return words + max(sizes.pairs, tables.PART)
-
+            tokens = np.zeros(batch.num_rows, np.int64)
+            for first, last, _, bounds in word_hashes(batch.column(1)):
+                tokens[first:last] = np.diff(bounds)
+            of = np.zeros(batch.num_rows, np.int64)
+            sizes = np.maximum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), ROW_BYTES)
+            for row, size in enumerate(sizes.tolist()):
+                if held and held + size > how.block:
+                    number, held = number + 1, 0
+                of[row] = number
+                held += size
+            yield pa.RecordBatch.from_arrays([pa.array(of), batch.column(0), batch.column(1), batch.column(2), pa.array(tokens)], names=["block", "doc_id", "text", "wanted", "n_tokens"])
+
+    return stored(flagged.mapInArrow(deal, BLOCKS))
+
+
+@dataclass
+class Grams:
+    """The tokens of a run of documents: each token's document, its word and its pair; the documents' sizes."""
+
+    of: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
+    sizes: np.ndarray
+
+
+def grams(column: pa.Array) -> Grams:
+    """Words are even hashes and pairs odd ones; a document's begin is a word of its own."""
+    words, sizes = [np.zeros(0, np.uint64)], np.zeros(len(column), np.int64)
+    for first, last, found, bounds in word_hashes(column):
+        words.append(found & ~np.uint64(1))
+        sizes[first:last] = np.diff(bounds)
+    ids = np.concatenate(words)
+    of = np.repeat(np.arange(len(column)), sizes)
+    contexts = np.empty_like(ids)
+    contexts[1:] = ids[:-1]
+    contexts[(np.cumsum(sizes) - sizes)[sizes > 0]] = _BEGIN
+    return Grams(of, ids, mix(contexts * _LEFT + ids * _RIGHT) | np.uint64(1), sizes)
+
+
+def counted(made: Grams, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, begins and pairs in order, their counts in all documents and in the target's as two rows, the
+    place of each token's word, then of each one's pair)."""
+    begins = np.flatnonzero(made.sizes > 0)
+    every = np.concatenate([made.words, made.pairs, np.full(len(begins), _BEGIN)])
+    inside = np.concatenate([wanted[made.of], wanted[made.of], wanted[begins]])
+    found, place = np.unique(every, return_inverse=True)
+    counts = np.stack([np.bincount(place, minlength=len(found)), np.bincount(place[inside], minlength=len(found))])
+    return found, counts.astype(np.uint64), place[: 2 * len(made.words)].reshape(2, -1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(block, its rows) of a stream in which the rows of a block stand together."""
+    held, block = [], None
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and of[a] != block:
+                yield block, pa.Table.from_batches(held)
+                held = []
+            block = int(of[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield block, pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table.column(name).combine_chunks()
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
+
+
+def block_counts(dealt: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, grams, counts: what each block has of each bucket, in order."""
 
-def repeats(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each token, how many tokens of its row have its value."""
-    _, inverse, counts = np.unique(rows << 32 | values, return_inverse=True, return_counts=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in _runs(batches):
+            found, counts, _ = counted(grams(_column(table, "text")), _column(table, "wanted").to_numpy(zero_copy_only=False).astype(bool))
+            # the high bits decide, so that a bucket is a stretch of what is in order
+            edges = np.searchsorted(found, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)).tolist()
+            rows = [(k, a, b) for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(found)], strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
+                    pa.array([found[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([counts[:, a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary()),
+                ],
+                names=["bucket", "block", "grams", "counts"],
+            )
+
+    return dealt.select("block", "text", "wanted").mapInArrow(run, SENT)
+
+
+def summed(sent: DataFrame) -> DataFrame:
+    """bucket, block, grams, counts: for each block the sums over all blocks of what others have as well.
+
+    A row with a null block says how many distinct words a bucket has.
+    """
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "block", "grams", "counts"]
+        blocks, parts, counts = [], [], []
+        for batch in batches:
+            for block, part, count in zip(batch.column("block"), batch.column("grams"), batch.column("counts"), strict=True):
+                blocks.append(block.as_py()), parts.append(np.frombuffer(part.as_py(), np.uint64))
+                counts.append(np.frombuffer(count.as_py(), "<u4").reshape(2, -1))
+        found, inverse, held = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        every = np.concatenate(counts, axis=1)
+        total = np.stack([np.bincount(inverse, c, len(found)) for c in every]).astype(np.uint64)
+        words = int(((found & np.uint64(1)) == 0).sum() - (found == (_BEGIN)).sum())
+        bucket = key[0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([words.to_bytes(8, "big")], pa.binary())], names=names)
+        at = 0
+        for block, part in zip(blocks, parts, strict=True):
+            place = inverse[at : at + len(part)]
+            at += len(part)
+            place = place[held[place] > 1]
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([found[place].tobytes()], pa.binary()), pa.array([total[:, place].tobytes()], pa.binary())], names=names)
+
+    return sent.groupBy("bucket").applyInArrow(add, SENT)
+
+
+def repeats(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each token, how many tokens of its row have its place."""
+    _, inverse, counts = np.unique(rows << 40 | places, return_inverse=True, return_counts=True)
     return counts[inverse]
 
 
-def losses(counts: np.ndarray, own: list[np.ndarray], ids: np.ndarray, pairs: np.ndarray, context: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Loss of each token, in nats, under the model of these counts without the row's own (words, pairs, contexts, tokens)."""
-    words = counts[: sizes.vocabulary + 1]
-    total = float(words[: sizes.vocabulary].sum()) - own[3]
-    alone = (np.maximum(words[ids] - own[0], 0) + 1.0) / (total + sizes.vocabulary)
-    held = np.maximum(counts[len(counts) - sizes.pairs :][pairs] - own[1], 0)
-    return -np.log((held + sizes.smoothing * alone) / (np.maximum(words[context] - own[2], 0) + sizes.smoothing))
-
-
-def scored(docs: DataFrame, target: DataFrame, counts: np.ndarray, sizes: Sizes = Sizes()) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for each row of docs, all of which the models have counted."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = shared.value
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            sums = np.zeros((2, batch.num_rows))
-            wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for rows, of, ids, pairs in bigrams(batch.column(1), sizes):
-                context = contexts(of, ids, sizes)
-                n[rows] = np.bincount(of, minlength=len(rows))
-                own = [repeats(of, ids), repeats(of, pairs), repeats(of, context), n[rows][of]]
-                inside = wanted[rows][of].astype(np.int64)
-                for k, (model, mine) in enumerate(((background, own), (target, [x * inside for x in own]))):
-                    sums[k, rows] = np.bincount(of, losses(model, mine, ids, pairs, context, sizes), minlength=len(rows))
-            empty = n == 0
-            means = sums / np.maximum(n, 1)
-            arrays = [batch.column(0), pa.array(n), pa.array(means[1], mask=empty), pa.array(means[0], mask=empty), pa.array(means[1] - means[0], mask=empty)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return flagged(docs, target).select("doc_id", "text", "wanted").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def difference(docs: DataFrame, target: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """Scores of docs for a target given by the doc_id of its documents among them."""
-    return scored(docs, target, train(docs, target, sizes), sizes)
+def _scores(docs: pa.Table, sums: pa.Table, totals: tuple[int, int, int], how: Models) -> pa.Table:
+    wanted = _column(docs, "wanted").to_numpy(zero_copy_only=False).astype(bool)
+    made = grams(_column(docs, "text"))
+    found, counts, (word, pair) = counted(made, wanted)
+    for part, count in zip(sums.column("grams").to_pylist(), sums.column("counts").to_pylist(), strict=True):
+        counts[:, np.searchsorted(found, np.frombuffer(part, np.uint64))] = np.frombuffer(count, np.uint64).reshape(2, -1)
+    own = [repeats(made.of, word), repeats(made.of, pair), np.ones(len(word), np.int64)]
+    # each token's context is the word before it, or the begin, of which a document has one
+    context = np.full_like(word, np.searchsorted(found, _BEGIN))
+    follows = np.flatnonzero(made.of[1:] == made.of[:-1])
+    context[follows + 1], own[2][follows + 1] = word[follows], own[0][follows]
+    size, vocabulary = made.sizes[made.of], totals[2]
+    sums_of = []
+    for k, total in enumerate(totals[:2]):
+        c = counts[k].astype(np.float64)
+        mine = np.ones(len(made.of)) if k == 0 else wanted[made.of].astype(np.float64)
+        scale = totals[1] / totals[0] if k == 0 and totals[1] else 1.0
+        alone = (scale * (c[word] - own[0] * mine) + 1.0) / (scale * (total - size * mine) + vocabulary)
+        loss = -np.log((scale * (c[pair] - own[1] * mine) + how.smoothing * alone) / (scale * (c[context] - own[2] * mine) + how.smoothing))
+        sums_of.append(np.bincount(made.of, loss, len(made.sizes)))
+    empty = made.sizes == 0
+    background, target = (x / np.maximum(made.sizes, 1) for x in sums_of)
+    arrays = [_column(docs, "doc_id"), pa.array(made.sizes), pa.array(target, mask=empty), pa.array(background, mask=empty), pa.array(target - background, mask=empty)]
+    return pa.Table.from_arrays(arrays, names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def difference(docs: DataFrame, target: DataFrame, how: Models = Models()) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of docs for a target given by the doc_id of its documents."""
+    dealt = blocks(flagged(docs, target), how)
+    tokens, inside = dealt.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("wanted"), F.col("n_tokens"))), F.lit(0))).first()
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * tokens // how.bucket))
+    sums = stored(summed(block_counts(dealt, buckets)))
+    (vocabulary,) = sums.where("block is null").agg(F.coalesce(F.sum(F.conv(F.hex("counts"), 16, 10).cast("long")), F.lit(0))).first()
+    totals = (tokens, inside, vocabulary)
+
+    def score(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        return _scores(docs, sums, totals, how)
+
+    sides = dealt.select("block", "doc_id", "text", "wanted").groupBy("block"), sums.where("block is not null").select("block", "grams", "counts").groupBy("block")
+    return sides[0].cogroup(sides[1]).applyInArrow(score, RESULT)
