@@ -1,16 +1,24 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Every line of a file is a candidate header, the whole text a candidate licence file. Units are compared with the templates
-as TF-IDF vectors, with document frequencies counted over all files for the templates' words; other words weigh as unseen.
-A file's own licence is its best line's; a file without one takes that of the nearest directory above it in which a file
-as a whole is a licence text. Directories, not files, are resolved against the directories above them.
+A file's units are compared with the templates as TF-IDF vectors, with document frequencies counted over all files for the
+templates' words; other words weigh as unseen. Units are
+
+- headers: each line, each paragraph without its comment marks, and each run of up to SENTENCES sentences of a paragraph,
+  so that licences declared over several wrapped lines, or inside a longer paragraph, are seen as a whole;
+- the whole text, and its opening: the first one, two, and so on up to OPENING lines that aren't blank, which are compared
+  with the titles that long licences begin with.
+
+A file's own licence is its best unit's. A file whose whole text matches a template, or whose opening matches a title, is
+a licence file: a file without a licence of its own takes that of the nearest directory above it that has a licence file.
+Directories, not files, are resolved against the directories above them.
 
 Only units that hold an anchor are compared: a template's anchors are its heaviest words, as many as it takes that what is
 left of the template cannot reach the threshold, so that no unit is missed.
 
 Defined results: null and empty texts have no licence of their own and may inherit one; a null path has neither directory
-nor licence. Rows with equal paths share the best licence found in any of them, one row out for each row in. Ties go to the
-greater licence name. An empty table gives an empty result.
+nor licence. Rows with equal paths share the best licence found in any of them, each row's units being compared by
+themselves; one row out for each row in. Ties go to the greater licence name. Very long texts are split in one task, their
+units are counted in as many as there are words. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,23 +33,49 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 THRESHOLD = 0.8
+SENTENCES, OPENING = 3, 4
 #: Up to so many directories (some 100 bytes each) are broadcast to their files; more are joined by shuffle.
 BROADCAST_DIRECTORIES = 100_000
-#: Texts by which licences are declared.
+#: Sentences and texts by which licences are declared.
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_MIT_REST = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THREE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_GPL_TERMS = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-2-Clause", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_REST}"),
+    ("BSD-3-Clause", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THREE} {_BSD_REST}"),
+    ("BSD-3-Clause", _BSD_GRANT),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", _GPL_TERMS),
+    ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", _MIT_GRANT),
+    ("MIT", f"{_MIT_GRANT} {_MIT_REST}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
+#: What long licences begin with.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+#: Unit kinds.
+HEADER, WHOLE, TITLE = 0, 1, 2
 
 
 def words(text: Column) -> Column:
@@ -53,7 +87,7 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
+def frequencies(files: DataFrame, templates) -> tuple[int, dict[str, int]]:
     """(number of files, files that hold each of the templates' words); as many rows as the templates have words."""
     vocabulary = sorted({w for _, text in templates for w in _words(text)})
     held = files.select(F.explode(F.array_intersect(words(F.col("text")), F.lit(vocabulary))).alias("word"))
@@ -61,7 +95,7 @@ def frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, i
     return files.count(), {w: counts.get(w, 0) for w in vocabulary}
 
 
-def vectors(n: int, df: dict[str, int], templates=TEMPLATES) -> list[tuple[str, dict[str, float], float]]:
+def vectors(n: int, df: dict[str, int], templates) -> list[tuple[str, dict[str, float], float]]:
     """(licence, weights, norm) of each template."""
     out = []
     for name, text in templates:
@@ -82,23 +116,55 @@ def anchors(template: tuple[str, dict[str, float], float], threshold: float) ->
     return out
 
 
-def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))])
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, without comment marks at the lines' begins and ends, each on one line."""
+    marks = r"(?m)^[\s/*#;%!<>\-]+|[\s/*#>\-]+$"
+    lines = F.transform(F.split(text, r"\r?\n"), lambda line: F.regexp_replace(line, marks, ""))
+    parts = F.split(F.array_join(lines, "\n"), "\n{2,}")
+    return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" ")))), lambda p: p != "")
+
+
+def _runs(parts: Column, most: int) -> Column:
+    """Each run of up to `most` neighbours, joined."""
+    some = F.sequence(F.lit(1), F.lit(most))
+    runs = F.transform(some, lambda n: F.transform(F.filter(F.transform(parts, lambda _, i: i), lambda i: i + n <= F.size(parts)), lambda i: F.array_join(F.slice(parts, i + 1, n), " ")))
+    return F.flatten(runs)
+
+
+def units_of(text: Column) -> Column:
+    """The units of a text: an array of structs kind, unit."""
+    as_kind = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("unit")))
+    whole = paragraphs(text)
+    sentences = F.flatten(F.transform(whole, lambda p: _runs(F.split(p, r"(?<=[.;:!?])\s+"), SENTENCES)))
+    opening = F.slice(F.filter(F.split(text, r"\r?\n"), lambda line: F.trim(line) != ""), 1, OPENING)
+    openings = F.transform(opening, lambda _, i: F.array_join(F.slice(opening, F.lit(1), i + 1), " "))
+    return F.concat(as_kind(HEADER, F.array_distinct(F.concat(F.split(text, r"\r?\n"), whole, sentences))), as_kind(WHOLE, F.array(text)), as_kind(TITLE, openings))
+
 
+def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, templates, titles) -> DataFrame:
+    """path, kind, best: struct of score and licence of each unit (path, kind, unit) that reaches the threshold.
 
-def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, templates=TEMPLATES) -> DataFrame:
-    """path, line, best: struct of score and licence of each unit (path, line, unit) that reaches the threshold."""
-    made = vectors(n, df, templates)
-    held = set().union(*(anchors(t, threshold) for t in made))
-    near = units.where(F.arrays_overlap(words(F.col("unit")), F.lit(sorted(held)))).dropDuplicates(["path", "line", "unit"])
-    counted = near.select("path", "line", F.explode(words(F.col("unit"))).alias("word")).groupBy("path", "line", "word").agg(F.count("*").cast("double").alias("tf"))
+    Units of a path are told apart by their hash: what is equal is compared once.
+    """
+    made, named = vectors(n, df, templates), vectors(n, df, titles)
+    held = set().union(*(anchors(t, threshold) for t in made + named))
+    near = units.where(F.arrays_overlap(words(F.col("unit")), F.lit(sorted(held)))).withColumn("same", F.xxhash64("unit")).dropDuplicates(["path", "kind", "same"])
+    key = ["path", "kind", "same"]
+    counted = near.select(*key, F.explode(words(F.col("unit"))).alias("word")).groupBy(*key, "word").agg(F.count("*").cast("double").alias("tf"))
     unseen = math.log(n + 1) + 1
-    rarity = _map({w: math.log((n + 1) / (df[w] + 1)) + 1 for w in df})
-    counted = counted.withColumn("weight", F.col("tf") * F.coalesce(F.element_at(rarity, F.col("word")), F.lit(unseen)))
-    dots = [F.sum(F.col("weight") * F.coalesce(F.element_at(_map(w), F.col("word")), F.lit(0.0))).alias(f"dot{i}") for i, (_, w, _) in enumerate(made)]
-    unit = counted.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *dots)
-    best = F.array_max(F.array(*[F.struct((F.col(f"dot{i}") / (F.col("norm") * F.lit(size))).alias("score"), F.lit(name).alias("license")) for i, (name, _, size) in enumerate(made)]))
-    return unit.select("path", "line", best.alias("best")).where(F.col("best.score") >= threshold)
+    # for each of the templates' words its rarity and its weight in every template: a table of their size
+    order = made + named
+    weights = [(w, [math.log((n + 1) / (df[w] + 1)) + 1, *(float(t[1].get(w, 0.0)) for t in order)]) for w in df]
+    table = units.sparkSession.createDataFrame(weights, "word string, held array<double>")
+    counted = counted.join(F.broadcast(table), "word", "left")
+    weight = F.col("tf") * F.coalesce(F.get("held", F.lit(0)), F.lit(unseen))
+    dots = [F.sum(F.coalesce(weight * F.get("held", F.lit(i + 1)), F.lit(0.0))).alias(f"dot{i}") for i in range(len(order))]
+    unit = counted.groupBy(*key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"), *dots)
+    cosine = lambda i, t: F.struct((F.col(f"dot{i}") / (F.col("norm") * F.lit(t[2]))).alias("score"), F.lit(t[0]).alias("license"))
+    of_text = F.array(*[cosine(i, t) for i, t in enumerate(made)])
+    of_title = F.array(*[cosine(i + len(made), t) for i, t in enumerate(named)])
+    best = F.array_max(F.when(F.col("kind") == TITLE, of_title).otherwise(of_text))
+    return unit.select("path", "kind", best.alias("best")).where(F.col("best.score") >= threshold)
 
 
 def parent(path: Column) -> Column:
@@ -112,27 +178,25 @@ def ancestors(directory: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))))
 
 
-def scanned(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def scanned(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, titles=TITLES) -> DataFrame:
     """path, license, score, origin (header or inherited), license_dir for each row of files (path, text)."""
     files = files.select("path", "text")
-    n, df = frequencies(files, templates)
-    lines = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit"))), F.transform(F.split("text", r"\r?\n"), lambda line, i: F.struct(i.alias("line"), line.alias("unit"))))
-    held = set().union(*(anchors(t, threshold) for t in vectors(n, df, templates)))
+    n, df = frequencies(files, (*templates, *titles))
+    held = set().union(*(anchors(t, threshold) for t in vectors(n, df, (*templates, *titles))))
     near = files.where("path is not null").where(F.arrays_overlap(words(F.col("text")), F.lit(sorted(held))))
-    units = near.select("path", F.explode(lines).alias("u")).select("path", "u.line", "u.unit")
-    found = scores(units, n, df, threshold, templates)
+    units = near.select("path", F.explode(units_of(F.col("text"))).alias("u")).select("path", "u.kind", "u.unit")
     # read twice, of the size of the licences found
-    found = checkpointed(found)
-    own = found.where("line >= 0").groupBy("path").agg(F.max("best").alias("own"))
-    texts = found.where("line = -1").groupBy(parent(F.col("path")).alias("held")).agg(F.max("best").alias("of_dir"))
+    found = checkpointed(scores(units, n, df, threshold, templates, titles))
+    own = found.groupBy("path").agg(F.max("best").alias("own"))
+    texts = found.where(F.col("kind") != HEADER).groupBy(parent(F.col("path")).alias("held")).agg(F.max("best").alias("of_dir"))
     directories = files.where("path is not null").select(parent(F.col("path")).alias("dir")).distinct()
     above = directories.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("depth", "held"))
-    nearest = above.join(texts, "held").groupBy("dir").agg(F.max(F.struct("depth", "held", "of_dir")).alias("from")).select(F.col("dir").alias("__dir"), "from")
+    nearest = above.join(texts, "held").groupBy("dir").agg(F.max(F.struct("depth", "held", "of_dir")).alias("from")).select(F.col("dir").alias("of"), "from")
     nearest = checkpointed(nearest)
     if nearest.count() <= BROADCAST_DIRECTORIES:
         nearest = F.broadcast(nearest)
-    out = files.select("path").join(own.withColumnRenamed("path", "__path"), F.col("path") == F.col("__path"), "left")
-    out = out.join(nearest, parent(F.col("path")) == F.col("__dir"), "left")
+    out = files.select("path").join(own.withColumnRenamed("path", "at"), F.col("path") == F.col("at"), "left")
+    out = out.join(nearest, parent(F.col("path")) == F.col("of"), "left")
     mine = F.col("own").isNotNull()
     return out.select(
         "path", F.when(mine, F.col("own.license")).otherwise(F.col("from.of_dir.license")).alias("license"),
