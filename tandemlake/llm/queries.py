@@ -45,12 +45,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files named source/lang/doc_id, a null source or language as `-`."""
+    """Documents as files named source/lang/doc_id, a null source or language as `-`, a null doc_id by its text's hash."""
     docs = read(spark, sf_dir, "documents")
     part = [F.coalesce(F.translate(c, "/", "_"), F.lit("-")) for c in ("source", "lang")]
-    files = docs.select(F.concat_ws("/", *part, F.col("doc_id").cast("string")).alias("path"), "text").withColumn("path", F.when(F.col("path").rlike("/.*/"), F.col("path")))
-    out = license_scan.scanned(files)
-    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "license", "score", "origin", "license_dir")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("without-id-"), F.coalesce(F.md5("text"), F.lit(""))))
+    out = license_scan.scanned(docs.select(F.concat_ws("/", *part, name).alias("path"), "text"))
+    return out.select(F.element_at(F.split("path", "/"), -1).try_cast("long").alias("doc_id"), "license", "score", "origin", "license_dir")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,9 @@ lev as (select arg_min(level, most / weight) as level from v where most / weight
 t as (select source, source_size, round(least(most, coalesce((select level from lev) * weight, most)), 6) as target from v),
 e as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t),
 x as (select m.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
-    sum(m.size) over (partition by m.source order by k range between unbounded preceding and current row) as upto,
-    sum(m.size) over (partition by m.source, k) as tied from m join e on m.source is not distinct from e.source),
-c as (select *, epochs + case when source_size > 0 and upto - tied / 2 <= rest then 1 else 0 end as copies from x)
+    sum(m.size) over (partition by m.source order by k, m.size, m.doc_id rows between unbounded preceding and current row) as upto
+    from m join e on m.source is not distinct from e.source),
+c as (select *, epochs + case when source_size > 0 and upto - size / 2 <= rest then 1 else 0 end as copies from x)
 select doc_id, size::bigint as size, source_size, target::double as target, (size * copies)::bigint as taken, source, copies::bigint as copies from c
 """
 
@@ -99,9 +99,9 @@ j as (select page_id, host, path, lowered,
          when ('.' || host) like '%.example.com' and starts_with(path, '/de/') then 'example.com/de/'
          when ('.' || host) like '%.org' and starts_with(path, '/fr/') then 'org/fr/'
          when ('.' || host) like '%.net' and starts_with(path, '/') then 'net/' end as rule,
-    case when regexp_matches(lowered, '/wp-login\.php') then 'login' when regexp_matches(lowered, '^[^?#]*\.(exe)(\?|#|$)') then 'binary'
-         when regexp_matches(lowered, '://[^/?#]*\bcasino\b') then 'casino' when regexp_matches(lowered, '^[^?#]*\.(zip)(\?|#|$)') then 'archive'
-         when regexp_matches(lowered, '://[^/?#]*\bporn\b') then 'adult' when regexp_matches(lowered, '/wp-admin/') then 'admin'
+    case when regexp_matches(lowered, '/wp-login\.php') then 'login' when regexp_matches(lowered, '://([^/?#]*[^a-z0-9_/?#])?casino([^a-z0-9_]|$)') then 'casino'
+         when regexp_matches(lowered, '^[^?#]*\.(exe)(\?|#|$)') then 'binary' when regexp_matches(lowered, '^[^?#]*\.(zip)(\?|#|$)') then 'archive'
+         when regexp_matches(lowered, '://([^/?#]*[^a-z0-9_/?#])?porn([^a-z0-9_]|$)') then 'adult' when regexp_matches(lowered, '/wp-admin/') then 'admin'
          when regexp_matches(lowered, '://([^/?#]*\.)?doubleclick\.') then 'ad-server' end as pattern_rule from p)
 select page_id, host, path, rule, pattern_rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'

@@ -1,15 +1,19 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Each rule names literal tokens that every URL it matches must contain. The rule is filed under the one of them that is
-rarest among the URLs at hand; a URL's own tokens fetch the candidate rules, and only those run regular expressions.
-Host and path rules are filed in the same index, under their rarest host label.
-
-Defined results: a null URL or one without `://` has empty host and path, fits no rule and is allowed. Repeated rows are
-judged alike, one row out for each row in. Columns of `pages` other than page_id and url aren't read.
+Each rule names literal tokens that every URL it matches must contain as whole runs of a-z and 0-9. The rule is filed
+under the one of them that is rarest among the URLs at hand; a URL's own tokens fetch the candidate rules, and only those
+run: regular expressions over the lower-cased URL, or comparisons of host and path. Host and path rules are filed in the
+same index, under a token of their host.
+
+Defined results: a null URL or one without `://` has empty host and path and fits no host rule; null fits no rule at all.
+What no rule fits is allowed. Repeated rows are judged alike, one row out for each row in; a URL is judged whole, however
+long. Of equally long host rules, and of pattern rules, the greatest name is reported. An empty table gives an empty
+result. Columns of `pages` other than page_id and url, of whatever name, aren't read.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,42 +25,42 @@ from .common import ascii_lower
 LITERAL_RULES = 2000
 #: Host and path rules with their verdicts.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Pattern rules (name, pattern over the lower-cased URL, literal tokens that a match contains).
+#: Pattern rules (name, pattern over the lower-cased URL, tokens that a match contains as whole runs).
 PATTERN_RULES = (
-    ("binary", r"^[^?#]*\.(exe)(\?|#|$)", ("exe",)),
-    ("archive", r"^[^?#]*\.(zip)(\?|#|$)", ("zip",)),
-    ("login", r"/wp-login\.php", ("wp", "login", "php")),
+    ("binary", r"^[^?#]*\.(exe)(\?|#|\z)", ("exe",)),
+    ("archive", r"^[^?#]*\.(zip)(\?|#|\z)", ("zip",)),
+    ("login", r"/wp-login\.php", ("wp", "login")),
     ("admin", r"/wp-admin/", ("wp", "admin")),
     ("ad-server", r"://([^/?#]*\.)?doubleclick\.", ("doubleclick",)),
-    ("casino", r"://[^/?#]*\bcasino\b", ("casino",)),
-    ("adult", r"://[^/?#]*\bporn\b", ("porn",)),
+    ("casino", r"://([^/?#]*[^a-z0-9_/?#])?casino([^a-z0-9_]|\z)", ("casino",)),
+    ("adult", r"://([^/?#]*[^a-z0-9_/?#])?porn([^a-z0-9_]|\z)", ("porn",)),
 )
+RULE = "struct<name: string, verdict: string, weight: int, pattern: string, host: string, path: string>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """name is what a match reports; tokens are literal words that any match contains; weight orders the winners."""
+    """name is what a match reports; tokens are runs of a-z and 0-9 that any match contains, weight orders the winners.
+
+    A rule has a pattern, or a host (which stands for its subdomains as well) and the begin of a path.
+    """
 
     name: str
-    pattern: str
     verdict: str
     tokens: tuple[str, ...]
+    pattern: str | None = None
+    host: str | None = None
+    path: str | None = None
     weight: int = 0
-    host_rule: bool = False
-
-
-def quoted(text: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in text)
 
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """A rule for a host with all its subdomains whose path starts with the given one; the longest rule wins."""
-    pattern = rf"^[^\x00]*\x00([^\x00]*\.)?{quoted(host)}\x00{quoted(path)}"
-    return Rule(host + path, pattern, verdict, tuple(host.split(".")), len(host + path), True)
+    return Rule(host + path, verdict, tuple(re.findall("[a-z0-9]+", host)), host=host, path=path, weight=len(host + path))
 
 
 def default_rules() -> list[Rule]:
-    return [host_rule(*r) for r in HOST_RULES] + [Rule(n, p, "block", t) for n, p, t in PATTERN_RULES]
+    return [host_rule(*r) for r in HOST_RULES] + [Rule(n, "block", t, p) for n, p, t in PATTERN_RULES]
 
 
 def host_of(url: Column) -> Column:
@@ -67,15 +71,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(text: Column) -> Column:
-    """The distinct runs of letters and digits of a lower-cased URL."""
-    return F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+"))
+def tokens_of(low: Column) -> Column:
+    """The distinct runs of a-z and 0-9 of a lower-cased URL."""
+    return F.array_distinct(F.split(low, "[^a-z0-9]+"))
+
+
+def fits(rule: Column, low: Column, host: Column, path: Column) -> Column:
+    of_host = ((host == rule["host"]) | F.endswith(host, F.concat(F.lit("."), rule["host"]))) & F.startswith(path, rule["path"])
+    return F.when(rule["host"].isNotNull(), of_host).otherwise(F.rlike(low, rule["pattern"]))
 
 
 def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     """In how many URLs each of the rules' tokens occurs; as many rows as the rules have tokens, whatever the input."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    found = urls.select(F.explode(F.array_intersect(tokens_of(F.col("text")), F.lit(wanted))).alias("token"))
+    found = urls.select(F.explode(F.array_intersect(tokens_of(F.col("low")), F.lit(wanted))).alias("token"))
     return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()} if wanted else {}
 
 
@@ -83,38 +92,40 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, literal_rules: int
     """page_id, host, path, rule, verdict, pattern_rule for each row of pages."""
     rules = default_rules() if rules is None else rules
     url = F.col("url")
-    base = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    # one text for all rules: the URL, lower-cased, with host and path set apart behind it; host rules see the path's case
-    base = base.withColumn("text", F.concat(ascii_lower(F.coalesce(url, F.lit(""))), F.lit("\0"), "host", F.lit("\0"), "path"))
+    low, host, path = F.col("low"), F.col("host"), F.col("path")
+    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), ascii_lower(F.coalesce(url, F.lit(""))).alias("low"))
     counts = token_counts(base, rules)
     filed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r) for r in rules]
     # a rule whose token no URL has can match none
     filed = [(t, r) for t, r in filed if counts.get(t, 0)]
-    rows = [(t, r.name, r.pattern, r.verdict, r.weight, r.host_rule) for t, r in filed]
-    schema = "token string, name string, pattern string, verdict string, weight int, host_rule boolean"
-    subject = F.col("text")
 
-    def best(matches: Column, of_host: bool) -> Column:
-        own = F.filter(matches, lambda r: r["host_rule"] == F.lit(of_host))
+    def best(of_host: bool) -> Column:
+        own = F.filter("matches", lambda r: r["host"].isNotNull() == F.lit(of_host))
         return F.array_max(F.transform(own, lambda r: F.struct(r["weight"], r["name"], r["verdict"])))
 
-    if not rows:
-        hit = base.withColumn("matches", F.lit(None).cast("array<struct<name:string,verdict:string,weight:int,host_rule:boolean>>"))
-    elif len(rows) <= literal_rules:
-        by_token: dict[str, list[tuple]] = {}
-        for token, *rest in rows:
-            by_token.setdefault(token, []).append(tuple(rest))
-        index = F.create_map(*[x for t, rs in by_token.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(v).alias("verdict"), F.lit(w).alias("weight"), F.lit(h).alias("host_rule")) for n, p, v, w, h in rs]))])
-        fetched = F.array_intersect(tokens_of(subject), F.lit(sorted(by_token)))
+    if not filed:
+        hit = base.withColumn("matches", F.lit(None).cast(f"array<{RULE}>"))
+    elif len(filed) <= literal_rules:
+        by_token: dict[str, list[Rule]] = {}
+        for token, rule in filed:
+            by_token.setdefault(token, []).append(rule)
+
+        def literal(r: Rule) -> Column:
+            values = {"name": r.name, "verdict": r.verdict, "weight": r.weight, "pattern": r.pattern, "host": r.host, "path": r.path}
+            return F.struct(*[F.lit(v).cast("int" if k == "weight" else "string").alias(k) for k, v in values.items()])
+
+        index = F.create_map(*[x for t, rs in by_token.items() for x in (F.lit(t), F.array(*map(literal, rs)))])
+        fetched = F.array_intersect(tokens_of(low), F.lit(sorted(by_token)))
         candidates = F.flatten(F.transform(fetched, lambda t: F.element_at(index, t)))
-        hit = base.withColumn("matches", F.filter(candidates, lambda r: F.rlike(subject, r["pattern"])))
+        hit = base.withColumn("matches", F.filter(candidates, lambda r: fits(r, low, host, path)))
     else:
-        table = pages.sparkSession.createDataFrame(rows, schema)
-        seen = base.select("text").distinct().select("text", F.explode(tokens_of(subject)).alias("token"))
-        matched = seen.join(table, "token").where(F.rlike(F.col("text"), F.col("pattern")))
-        matched = matched.groupBy("text").agg(F.collect_set(F.struct("name", "verdict", "weight", "host_rule")).alias("matches"))
-        hit = base.join(matched, "text", "left")
-    hit = hit.withColumn("by_host", best(F.col("matches"), True)).withColumn("by_pattern", best(F.col("matches"), False))
+        rows = [(t, (r.name, r.verdict, r.weight, r.pattern, r.host, r.path)) for t, r in filed]
+        table = pages.sparkSession.createDataFrame(rows, f"token string, rule {RULE}")
+        seen = base.select("low", "host", "path").distinct().select("low", "host", "path", F.explode(tokens_of(low)).alias("token"))
+        matched = seen.join(table, "token").where(fits(F.col("rule"), low, host, path))
+        matched = matched.groupBy("low", "host", "path").agg(F.collect_set("rule").alias("matches"))
+        hit = base.join(matched, ["low", "host", "path"], "left")
+    hit = hit.withColumn("by_host", best(True)).withColumn("by_pattern", best(False))
     return hit.select(
         "page_id", "host", "path", F.col("by_host.name").alias("rule"),
         F.coalesce(F.col("by_host.verdict"), F.col("by_pattern.verdict"), F.lit("allow")).alias("verdict"),

@@ -17,7 +17,7 @@ ODD = [(1, None), (2, ""), (3, "   \n\t"), (4, "one"), (5, "two words"), (6, LON
 
 def clashing(frame):
     """frame with columns whose names operators might use for themselves."""
-    for name in ("size", "key", "range", "node", "n", "id", "unit", "score", "label", "token", "at", "component", "path"):
+    for name in ("size", "key", "range", "node", "n", "id", "unit", "score", "token", "at", "component", "path", "row", "p", "plan", "copies", "copy", "__size", "__key", "__plan", "__id", "__n", "__lang", "block", "wanted", "bucket", "place", "same", "kind"):
         frame = frame.withColumn(name, F.lit("x"))
     return frame
 

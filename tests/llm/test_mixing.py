@@ -57,3 +57,25 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.report(spark.createDataFrame([], DOCS)).collect() == []
     found = mixing.report(docs(spark, [(1, None, None, "a"), (2, " ", None, None)])).collect()
     assert [(r.size, r.target, r.taken) for r in found] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    equal = [(7, "w w w w w", "en", "a")] * 100 + [(8, "w " * 5 + "x", "en", "b")] * 30 + [(9, f"w{i} w w", "en", "b") for i in range(20)]
+    frame = docs(spark, equal).repartition(4)
+    found = mixing.report(frame).collect()
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 2
+    assert len(found) == len(equal)
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target), (dict(taken), target)
+    assert rows(mixing.report(frame)) == rows(mixing.report(frame.repartition(2)))
+    out = mixing.mixed(clashing(frame))
+    assert out.columns == clashing(frame).columns
+    assert out.count() == sum(r.copies for r in found)
+
+
+def test_ranges_of_any_number_agree(spark):
+    frame = docs(spark, [(i, "w " * (1 + i % 9), None, f"s{i % 3}") for i in range(300)])
+    assert rows(mixing.report(frame)) == rows(mixing.report(frame, mixing.Mix(range_rows=1)))
