@@ -5,24 +5,30 @@ similar as asked share a shingle among the first n - ceil(t * n) + 1 of each, th
 prefix shingle, the sets that hold it with their sizes and the shingle's place in them.
 
 - Skipping in the index: at the first shingle that two sets share, what they can have in common is bounded by what is
-  left behind its places. Entries of a list whose places and sizes rule each other out aren't paired.
+  left behind its places. A list is cut into blocks of sets of like sizes; an entry's place and size say which blocks can
+  hold a partner, its own, the next, or none as the smaller set, and only those are read. Within a block, places and
+  sizes of both entries decide whether their sets are compared.
 - Skipping in the answers: equal sets are one set. In each list, the entry with the fewest rarer shingles is the pivot;
-  its similarity to the others is computed first. Sets found similar to a pivot are connected through it and need no
-  comparison among themselves; what is left to compare is pairs of one list whose sets aren't connected yet.
+  its similarity to the others is computed first. A set similar to a pivot takes over the pivot's answers: both are in one
+  group, and need no comparison with others of the group. What is left to compare is pairs of one list whose groups differ.
 
 The result is exact: a pair that meets the threshold is either connected already or meets in the list of the first shingle
 it shares, passes the bound there and is compared over whole sets. The global order takes the shingles' frequencies, over
 all documents, from a table of BINS counters of hashed shingles; shingles that share a counter only share a place in the
-order. Hot lists are split by adaptive joins, and never gathered.
+order, which costs time and loses nothing. A set is indexed once by each task that meets it, whatever its copies. Lists of
+frequent shingles are dealt to as many parts as their counter asks for, each with a pivot of its own, of which the list's
+pivot is one.
 
 Defined results: null texts and texts without a word have no shingle, link with nothing and are their own component; a
 text with fewer words than a shingle is one shingle. Equal texts link. A row with a null doc_id links with nothing and has
 a null component. Rows with equal ids and texts are one; rows with equal ids and different texts connect what either
-links and have one component, those without a shingle as well. Other columns aren't read.
+links and have one component, those without a shingle as well. A very long text is one task's row. An empty table gives an
+empty result. Other columns, of whatever name, aren't read; `deduplicated` hands them on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +43,8 @@ from .common import checkpointed, components, mix, shingle_sets, signed
 WIDTH, PERCENT = 4, 85
 #: Counters of the frequency table: one byte each while they are gathered and broadcast.
 BINS = 1 << 24
+#: Lists are dealt to parts where the counter says 2 ** HOT documents, and 2 ** APART times the mean of all counters.
+HOT, APART = 14, 6
 #: Up to so many ids (8 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -46,6 +54,8 @@ class Join:
     width: int = WIDTH
     percent: int = PERCENT
     bins: int = BINS
+    hot: int = HOT
+    apart: int = APART
 
 
 def identity(shingles: np.ndarray) -> np.uint64:
@@ -85,35 +95,46 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rare: np.ndarray, how: Join) -> DataFrame:
-    """token, node, n, place: the index entries of every document, its prefix in the global order."""
+    """token, part, node, n, place: the index entries of every document, its prefix in the global order.
+
+    part is 0 but for hot tokens, whose entries are dealt to parts from 1 on by their sets.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rare)
+    mean = float(np.exp2(rare.astype(np.float64)).mean()) if len(rare) else 1.0
+    hot = max(how.hot, math.ceil(math.log2(max(1.0, mean))) + how.apart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # 8 bytes for each set of the task
         for batch in batches:
-            tokens, nodes, sizes, places, held = [], [], [], [], 0
+            tokens, parts, nodes, sizes, places, held = [], [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 counts = [len(t) for t in tokens]
-                arrays = [pa.array(signed(np.concatenate(tokens))), pa.array(signed(np.repeat(np.array(nodes, np.uint64), counts))), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate(places))]  # noqa: B023
-                return pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "place"])
+                arrays = [pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(parts)), pa.array(signed(np.repeat(np.array(nodes, np.uint64), counts))), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate(places))]  # noqa: B023
+                return pa.RecordBatch.from_arrays(arrays, names=["token", "part", "node", "n", "place"])
 
             for _, found in shingle_sets(batch.column(0), how.width):
                 n = len(found)
-                if n == 0:
+                node = identity(found) if n else np.uint64(0)
+                if n == 0 or int(node) in seen:
                     continue
+                seen.add(int(node))
                 first = n - -(-how.percent * n // 100) + 1
                 # the order: frequency above, hash below; six bits of the hash make room
                 order = shared.value[found & np.uint64(len(shared.value) - 1)].astype(np.uint64) << np.uint64(58) | found >> np.uint64(6)
                 order = np.sort(np.partition(order, first - 1)[:first] if first < n else order)
-                tokens.append(order), nodes.append(identity(found)), sizes.append(n), places.append(np.arange(first, dtype=np.int32))
+                frequent = (order >> np.uint64(58)).astype(np.int64) - hot
+                spread = 1 + (int(node) >> 8) % (1 << np.clip(frequent + 1, 0, 16))
+                tokens.append(order), nodes.append(node), sizes.append(n), places.append(np.arange(first, dtype=np.int32))
+                parts.append(np.where(frequent >= 0, spread, 0).astype(np.int32))
                 held += first
                 if held > 200_000:
                     yield out()
-                    tokens, nodes, sizes, places, held = [], [], [], [], 0
+                    tokens, parts, nodes, sizes, places, held = [], [], [], [], [], 0
             if tokens:
                 yield out()
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, place int")
+    return docs.select("text").mapInArrow(run, "token long, part int, node long, n int, place int")
 
 
 def _possible(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
@@ -123,11 +144,21 @@ def _possible(n: Column, place: Column, m: Column, other: Column, percent: int)
 
 
 def lists(entries: DataFrame) -> DataFrame:
-    """The index lists of more than one set, each entry with its list's pivot."""
-    whole = Window.partitionBy("token")
-    pivot = F.min(F.struct("place", "node", "n")).over(whole)
-    found = entries.withColumn("p", pivot).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-    return checkpointed(found.where("low <> high").select("token", "node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place")).distinct())
+    """The index lists of more than one set, each entry with its list's pivot.
+
+    Parts of hot lists find their own pivots first; the list's is the least of those, a row for each part.
+    """
+    part = Window.partitionBy("token", "part")
+    pivot = F.min(F.struct("place", "node", "n")).over(part)
+    found = entries.withColumn("p", pivot).withColumn("low", F.min("node").over(part)).withColumn("high", F.max("node").over(part))
+    found = checkpointed(found.where("low <> high or part > 0").select("token", "part", "node", "n", "place", "p", "low", "high").distinct())
+    hot = found.where("part > 0")
+    whole = checkpointed(hot.groupBy(F.col("token").alias("of")).agg(F.min("p").alias("least"), F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last"))
+    if whole.count() <= BROADCAST_IDS:
+        whole = F.broadcast(whole)
+    hot = hot.join(whole, F.col("token") == F.col("of")).select("token", "node", "n", "place", F.col("least").alias("p"))
+    every = found.where("part = 0").select("token", "node", "n", "place", "p").unionByName(hot)
+    return every.select("token", "node", "n", "place", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"))
 
 
 def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, how: Join) -> DataFrame:
@@ -154,6 +185,25 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, how: Join) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _block(n: Column, percent: int) -> Column:
+    """The block of a set's size: sizes of similar sets lie in one block or in two neighbours."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * 1.0001 + 1e-9)).cast("int")
+
+
+def pairs_left(open_lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of one list with different groups that the skipping bounds leave. open_lists has token, node, n, place
+    and group."""
+    largest = F.floor(((100 + percent) * (F.col("n") - F.col("place")).cast("long") - percent * F.col("n")) / percent)
+    own = _block(F.col("n"), percent)
+    # as the smaller set of a pair, an entry reads the blocks up to the largest size that its place leaves within reach
+    x = open_lists.where(largest >= F.col("n")).withColumn("block", F.explode(F.sequence(own, F.least(own + 1, _block(largest, percent))))).alias("x")
+    y = open_lists.withColumn("block", own).alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.group") != F.col("y.group"))
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    found = x.join(y, apart & order & _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
+    return found.select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
+
+
 def _pair(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -169,10 +219,7 @@ def links(docs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     grouped = index.select("token", "node", "n", "place").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     split = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     open_lists = checkpointed(grouped.join(split, "token", "left_semi"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & (F.col("x.node") < F.col("y.node"))
-    rest = x.join(y, apart & _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), how.percent))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = pairs_left(open_lists, how.percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = compared(docs, sets, checkpointed(rest), how)
     return linked.unionByName(second.where("linked").select("a", "b"))
 
@@ -202,14 +249,14 @@ def deduplicated(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
     Rows with null ids stay. Texts are moved only for ids that come more than once, of which the longest stays.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = checkpointed(joined(docs, how).where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    found = checkpointed(joined(docs, how).where("component_id = doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")))
     kept = found
     if found.count() <= BROADCAST_IDS:
         kept = F.broadcast(found)
-    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    stay = one.where("doc_id is null or __n = 1").select(*columns)
-    if found.where("__n > 1").isEmpty():
+    whole = docs.select(F.struct("*").alias("row"))
+    one = whole.join(kept, F.col("row.doc_id") == F.col("id"), "left")
+    stay = one.where("row.doc_id is null or rows = 1").select("row.*")
+    if found.where("rows > 1").isEmpty():
         return stay
-    longest = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text"))
-    return stay.unionByName(one.where("__n > 1").groupBy("__id").agg(longest.alias("__row")).select("__row.*"))
+    longest = F.max_by("row", F.struct(F.coalesce(F.length("row.text"), F.lit(-1)), "row.text"))
+    return stay.unionByName(one.where("rows > 1").groupBy("id").agg(longest.alias("row")).select("row.*"))

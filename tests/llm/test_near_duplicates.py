@@ -64,10 +64,10 @@ def corpus(seed):
 
 
 def test_jaccard_join_is_exact(spark):
-    for width, percent in ((4, 85), (5, 80)):
+    for width, percent, hot in ((4, 85, 14), (5, 80, 1)):
         data = [(10 + i, t) for i, t in enumerate(corpus(width))] + [r for r in ODD if r[0] is None or r[0] < 10] + [(1, "other text under the id of another row")]
         frame = clashing(docs(spark, data)).repartition(4)
-        how = jaccard_join.Join(width, percent, bins=1 << 16)
+        how = jaccard_join.Join(width, percent, bins=1 << 16, hot=hot, apart=0)
         found = jaccard_join.joined(frame, how).collect()
         assert len(found) == len(data)
         sets = [(i, shingles(t, width)) for i, t in data]
@@ -87,6 +87,18 @@ def test_jaccard_join_is_exact(spark):
         assert sorted(i for i in ids if i is not None) == sorted({i for i, c in want.items() if i == c}) and ids.count(None) == 1
 
 
+def test_skipping_loses_no_pair(spark):
+    rng = random.Random(9)
+    for percent in (80, 85, 50):
+        rows = [(rng.randrange(3), i, n, rng.randrange(max(1, n - -(-percent * n // 100) + 1)), i % 40) for i in range(150) for n in [rng.choice([1, 2, 5, 7, 8, 9, 10, 20, 40, 80, 100, 125])]]
+        want = {
+            (min(x[1], y[1]), max(x[1], y[1])) for k, x in enumerate(rows) for y in rows[:k]
+            if x[0] == y[0] and x[4] != y[4] and min(x[2] - x[3], y[2] - y[3]) * (100 + percent) >= percent * (x[2] + y[2])
+        }
+        frame = spark.createDataFrame(rows, "token long, node long, n int, place int, group long")
+        assert {(r.a, r.b) for r in jaccard_join.pairs_left(frame, percent).collect()} == want and want
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.joined(spark.createDataFrame([], DOCS)).collect() == []
     (r,) = jaccard_join.joined(docs(spark, [(3, None)])).collect()
