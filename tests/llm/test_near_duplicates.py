@@ -194,9 +194,29 @@ def test_exact_where_recall_stays_low(spark):
     degree, want = links_of(rows)
     how = nn_descent.Descent(tables=1, near=1, rounds=0, recall=1.1, block=16)
     found = nn_descent.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), how).collect()
+    assert {r.recall for r in found} == {1.0}
     assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(found)] == [(i, degree[i], want[i]) for i in range(len(rows))]
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1.0, 1.0], 0), (3, [1e-310, 1e-310], 0), (4, [1.0, -1.0], 0), (5, [3.0, 3.0], 1), (6, [float("inf"), 1.0], 0)]
+    found = sorted(nn_descent.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in found] == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+    single = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(([1, 2, 3], [2, 4, 6], [3, -1, 0]))], "vec_id long, embedding array<float>, label int")
+    assert [r.n_links for r in sorted(nn_descent.linked(single).collect())] == [1, 1, 0]
+
+
+def test_local_joins_alone_find_neighbours(spark):
+    """From few and poor first edges, rounds of local joins find nearly all links."""
+    rng = np.random.default_rng(8)
+    rows = [(k, (centre + 0.05 * rng.standard_normal(16)).tolist(), 0) for k, centre in enumerate(np.repeat(rng.standard_normal((60, 16)), 6, axis=0))]
+    degree, _ = links_of(rows)
+    how = nn_descent.Descent(tables=1, near=8, rounds=6, recall=0.0, lists=50)
+    found = sorted(nn_descent.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), how).collect())
+    assert sum(r.n_links for r in found) >= 0.95 * sum(degree)
+    assert all(r.n_links <= degree[r.vec_id] for r in found)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
