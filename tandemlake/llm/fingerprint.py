@@ -2,18 +2,23 @@
 
 A text's modular prefix arrays, P[i] = sum of c[j] * BASE^j over j < i, answer the hash of any span in constant time, and
 with it whether two spans are equal; binary search over span equality finds the longest common extension of two
-positions. A fingerprint reads the hash of every window of the text off the prefix arrays and keeps the least hash in each
-of SLOTS classes; the share of common windows of two texts is estimated from how many slots agree.
+positions, forward or backward. A fingerprint reads the hash of every window of the text off the prefix arrays and keeps
+the least hash in each of SLOTS classes; the share of common windows of two texts is estimated from how many slots agree.
+Where slots agree, the windows behind them are anchors: their longest common extensions are spans that both texts hold,
+and the share of both texts that such spans cover is reported beside the estimate.
 
 Two moduli of 31 bits make one 62-bit hash, so that products stay in 64 bits.
 
-The edited text of `edited` needs the next document's text. Documents are dealt to ranges of doc_id, the first document
-of each range goes to the range before it as well, and each range is sorted and read as a stream; text moves once.
+The edited text of `edited` needs the next document's text. Documents are dealt to ranges of doc_id and, within one id, of
+the text's first bytes; the first document of each range goes to the range before it as well, and each range is sorted and
+read as a stream by a task of its own; text moves once. Ranges are about RANGE_ROWS documents, and MOST_RANGES at most, so
+that what the driver holds, some 32 bytes for each, is bounded; larger ranges are sorted by Spark, on disk where needed.
 
 Defined results: null text is empty, and an empty text's slots are all empty; two empty texts are alike (1), an empty and
 another text are not (0). A text's fingerprint takes windows of a width by its length, so fingerprints of texts of unlike
 width share nothing; likeness takes both texts at the width of the shorter. Null ids come first; rows with equal ids are
-ordered by text. With one row, the next document is the row itself. Other columns aren't read.
+ordered by text. With one row, the next document is the row itself. A very long text is held whole, with its prefix
+arrays, by one task. An empty table gives an empty result. Other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +38,8 @@ MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Slots of a fingerprint and code points of a window; texts under 4 windows use shorter ones, by powers of two.
 SLOTS, WINDOW = 64, 16
-#: Documents of a range, about.
-RANGE_ROWS = 20_000
+#: Documents of a range, about, the most ranges, and drawn keys that place a range's bounds.
+RANGE_ROWS, MOST_RANGES, DRAWN = 8_000, 16_384, 64
 _NULL = -(2**63)
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -97,7 +101,11 @@ class PrefixHash:
         return out
 
     def span(self, start: int, end: int) -> int:
-        return int(self.spans(np.array([start]), np.array([end]))[0])
+        out = 0
+        for which, p in enumerate(MODULI):
+            total = self.prefix[which]
+            out = out << 31 | (int(total[end]) - int(total[start])) % p * int(_powers(which, self.length + 1)[1][start]) % p
+        return out
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
         if start + length > self.length or other_start + length > other.length:
@@ -112,6 +120,14 @@ class PrefixHash:
             low, high = (middle, high) if self.equal(start, other, other_start, middle) else (low, middle - 1)
         return low
 
+    def longest_common_backward(self, end: int, other: PrefixHash, other_end: int) -> int:
+        """Length of the longest common suffix of text[:end] and other[:other_end]."""
+        low, high = 0, min(end, other_end)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.equal(end - middle, other, other_end - middle, middle) else (low, middle - 1)
+        return low
+
 
 def window_of(length: int, window: int = WINDOW) -> int:
     """The window's width for a text of so many code points: a power of two, a fourth of the text at most."""
@@ -121,20 +137,37 @@ def window_of(length: int, window: int = WINDOW) -> int:
     return width
 
 
-def sketch(points: np.ndarray, slots: int = SLOTS, window: int = WINDOW, width: int | None = None) -> np.ndarray:
-    """The least window hash in each slot as 32 bits, 0 for an empty slot; windows of the given or the text's own width."""
-    kept = np.zeros(slots, np.uint32)
-    if len(points) == 0:
-        return kept
-    width = width or window_of(len(points), window)
-    hashes = mix(PrefixHash(points).windows(width) + np.uint64(width))
-    slot = (hashes >> np.uint64(32)) % np.uint64(slots)
-    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    least = np.full(slots, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(least, slot.astype(np.int64), low)
-    seen = np.bincount(slot.astype(np.int64), minlength=slots) > 0
-    kept[seen] = np.maximum(least[seen], 1)
-    return kept
+class Print:
+    """A text with its prefix arrays and its sketches: the least window hash in each slot as 32 bits, 0 for an empty slot,
+    and where it stands."""
+
+    def __init__(self, points: np.ndarray, slots: int = SLOTS, window: int = WINDOW) -> None:
+        self.points, self.slots, self.width = points, slots, window_of(len(points), window)
+        self.hash = PrefixHash(points)
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sketch(self, width: int | None = None) -> np.ndarray:
+        return self._at(width or self.width)[0]
+
+    def places(self, width: int) -> np.ndarray:
+        return self._at(width)[1]
+
+    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self._held:
+            kept, places = np.zeros(self.slots, np.uint32), np.zeros(self.slots, np.int64)
+            if len(self.points):
+                hashes = mix(self.hash.windows(width) + np.uint64(width))
+                slot = ((hashes >> np.uint64(32)) % np.uint64(self.slots)).astype(np.int64)
+                low = np.maximum(hashes & np.uint64(0xFFFFFFFF), np.uint64(1))
+                # the least hash of a slot, and the first place of it
+                least = np.full(self.slots, 1 << 63, np.uint64)
+                if len(low) < 1 << 31:
+                    np.minimum.at(least, slot, low << np.uint64(31) | np.arange(len(low), dtype=np.uint64))
+                    seen = least < np.uint64(1 << 63)
+                    kept[seen] = (least[seen] >> np.uint64(31)).astype(np.uint32)
+                    places[seen] = (least[seen] & np.uint64((1 << 31) - 1)).astype(np.int64)
+            self._held[width] = kept, places
+        return self._held[width]
 
 
 def as_text(kept: np.ndarray) -> str:
@@ -151,100 +184,150 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * same / (1 + same)
 
 
-def alike(a: np.ndarray, own: np.ndarray, b: np.ndarray, other: np.ndarray) -> float:
-    """The likeness of two texts with their sketches, both at the width of the shorter text."""
-    shorter = min(len(a), len(b))
-    if shorter == 0:
-        return likeness(own, other)
-    width = window_of(shorter)
-    first, second = (kept if window_of(len(points)) == width else sketch(points, width=width) for points, kept in ((a, own), (b, other)))
-    return likeness(first, second)
+def _common_width(a: Print, b: Print) -> int:
+    return min(a.width, b.width)
 
 
-def ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(inner bounds of about equal ranges of doc_id, the numbers of the ranges that hold rows, with their least ids).
+def alike(a: Print, b: Print) -> float:
+    """The likeness of two texts' fingerprints, both at the width of the shorter text."""
+    if len(a.points) == 0 or len(b.points) == 0:
+        return likeness(a.sketch(), b.sketch())
+    width = _common_width(a, b)
+    return likeness(a.sketch(width), b.sketch(width))
 
-    Null ids are in the first range and read as the least of all. One number for each range reaches the driver: one for
-    each RANGE_ROWS documents.
-    """
-    parts = max(1, -(-docs.count() // rows))
-    bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(bounds, np.float64).astype(np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
-    @F.arrow_udf("int")
-    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids in batches:
-            yield pa.array(np.searchsorted(shared.value, _ids(ids), "right").astype(np.int32))
+def _covered(spans: list[tuple[int, int]]) -> int:
+    total, reached = 0, 0
+    for start, end in sorted(spans):
+        total += max(0, end - max(start, reached))
+        reached = max(reached, end)
+    return total
+
+
+def shared(a: Print, b: Print) -> float:
+    """0 to 1: the share of both texts in the longest common spans around the windows that agree in their sketches."""
+    if len(a.points) == 0 or len(b.points) == 0:
+        return float(len(a.points) == len(b.points))
+    width = _common_width(a, b)
+    x, y = a.sketch(width), b.sketch(width)
+    agree = np.flatnonzero((x == y) & (x > 0))
+    mine, others, reach = [], [], {}
+    for i, j in sorted(zip(a.places(width)[agree].tolist(), b.places(width)[agree].tolist(), strict=True)):
+        if reach.get(i - j, 0) >= i + width:
+            continue  # within a span that is known
+        before = a.hash.longest_common_backward(i, b.hash, j)
+        after = a.hash.longest_common_extension(i, b.hash, j)
+        if before + after >= width:
+            mine.append((i - before, i + after)), others.append((j - before, j + after))
+            reach[i - j] = i + after
+    return (_covered(mine) + _covered(others)) / (len(a.points) + len(b.points))
+
+
+def _keys(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Ids and the begins of texts as 16 bytes each that sort as the two do."""
+    out = np.empty((len(ids), 2), ">u8")
+    out[:, 0] = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1] = begins.astype(np.uint64)
+    return out.view("S16").reshape(-1)
+
 
-    found = docs.select("doc_id").groupBy(place("doc_id").alias("range")).agg(F.min(F.coalesce("doc_id", F.lit(_NULL))).alias("least")).collect()
-    held = np.array(sorted((r["range"], r["least"]) for r in found), np.int64).reshape(-1, 2)
-    return bounds, held
+def _key_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, text, id (null as the least), begin: the first seven bytes of the text as a number."""
+    begin = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(_NULL)).alias("id"), begin.alias("begin"))
 
 
-def _ids(ids: pa.Array) -> np.ndarray:
-    return ids.cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+def ranges(keyed: DataFrame, rows: int = RANGE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inner bounds of about equal ranges, the numbers of the ranges that hold rows, their least keys).
+
+    Bounds come from keys drawn by their hash, with the rows of each; a few keys for each range reach the driver.
+    """
+    n = keyed.count()
+    parts = min(MOST_RANGES, max(1, -(-n // rows)))
+    bounds = np.zeros(0, "S16")
+    if parts > 1:
+        draw = F.pmod(F.xxhash64("id", "begin"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, DRAWN * parts / n))
+        drawn = keyed.where(draw).groupBy("id", "begin").agg(F.count("*").alias("n")).orderBy("id", "begin").collect()
+        weights = np.cumsum([r["n"] for r in drawn])
+        if len(drawn):
+            at = np.searchsorted(weights, weights[-1] * np.arange(1, parts) / parts)
+            bounds = np.unique(_keys(np.array([drawn[i]["id"] for i in at.tolist()]), np.array([drawn[i]["begin"] for i in at.tolist()])))
+    shared = keyed.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, begins in batches:
+            yield pa.array(np.searchsorted(shared.value, _keys(ids.to_numpy(), begins.to_numpy()), "right").astype(np.int32))
+
+    found = keyed.select("id", "begin").groupBy(place("id", "begin").alias("range")).agg(F.min(F.struct("id", "begin")).alias("least")).orderBy("range").collect()
+    return bounds, np.array([r["range"] for r in found], np.int64), _keys(np.array([r["least"]["id"] for r in found], np.int64), np.array([r["least"]["begin"] for r in found], np.int64))
 
 
 def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """range, after, doc_id, text: each range of documents sorted, then the document that follows it (after = 1)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, held = ranges(docs, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((bounds, held))
+    keyed = _key_columns(docs)
+    bounds, held, least = ranges(keyed, rows)
+    shared = docs.sparkSession.sparkContext.broadcast((bounds, held, least))
 
     @F.arrow_udf("array<struct<range: int, after: int>>")
-    def dealt(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bounds, held = shared.value
-        for column in batches:
-            ids = _ids(column)
-            own = np.searchsorted(bounds, ids, "right")
-            at = np.searchsorted(held[:, 0], own)
-            first = held[at, 1] == ids
-            before = held[at - 1, 0]  # the first range's first document follows the last range
+    def dealt(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        bounds, held, least = shared.value
+        for ids, begins in batches:
+            keys = _keys(ids.to_numpy(), begins.to_numpy())
+            at = np.searchsorted(held, np.searchsorted(bounds, keys, "right"))
+            first = least[at] == keys
             lengths = 1 + first
             ends = np.cumsum(lengths)
             place, after = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.int32)
-            place[ends - lengths] = own
-            place[ends[first] - 1], after[ends[first] - 1] = before[first], 1
+            place[ends - lengths] = at
+            # the first range's first document follows the last range
+            place[ends[first] - 1], after[ends[first] - 1] = (at[first] - 1) % len(held), 1
             rows = pa.StructArray.from_arrays([pa.array(place), pa.array(after)], names=["range", "after"])
             yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), rows)
 
-    moved = docs.select(F.explode(dealt("doc_id")).alias("at"), "doc_id", "text").select("at.range", "at.after", "doc_id", "text")
-    return moved.repartition(max(1, len(held)), "range").sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_first(), "text")
+    moved = keyed.select(F.explode(dealt("id", "begin")).alias("at"), "doc_id", "text").select("at.range", "at.after", "doc_id", "text")
+    return moved.repartitionById(max(1, len(held)), F.col("range")).sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_first(), "text")
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_edited double, shared_next double"
+#: Rows that are handed on at once.
+BATCH = 500
 
 
-def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of `with_next` in order: each document is compared with the one that follows it in its range."""
-    held = None
-    for frame in batches:
-        made = []
-        for place, after, doc_id, text in zip(frame["range"], frame["after"], frame["doc_id"], frame["text"], strict=True):
-            points, own = code_points(text), None
+    held, made = None, []
+    for batch in batches:
+        for place, after, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if after and (held is None or held[0] != place):
+                continue  # of the documents that follow a range only the first counts
+            own = Print(code_points(text.as_py()))
             if held is not None and held[0] == place:
-                own = sketch(points)
-                made.append(_compare(*held[1:], points, own))
-            # of the documents that follow a range only the first counts
-            held = None if after else (place, doc_id, points, sketch(points) if own is None else own)
-        yield _frame(made)
+                made.append(_compare(*held[1:], own))
+            held = None if after else (place, doc_id, own)
+            if len(made) >= BATCH:
+                yield _batch(made)
+                made = []
+    yield _batch(made)
 
 
-def _frame(made: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(made, columns=[c.split()[0] for c in RESULT.split(", ")])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+def _batch(made: list[tuple]) -> pa.RecordBatch:
+    fields = [c.split() for c in RESULT.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-def _compare(doc_id, points: np.ndarray, own: np.ndarray, following: np.ndarray, other: np.ndarray) -> tuple:
-    cut = len(points) // 2
-    changed = np.concatenate([points[: len(points) - cut], following[:cut]])
+def _compare(doc_id: int | None, own: Print, following: Print) -> tuple:
+    cut = len(own.points) // 2
+    changed = np.concatenate([own.points[: len(own.points) - cut], following.points[:cut]])
     digest = hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-    after = sketch(changed)
-    return (None if pd.isna(doc_id) else int(doc_id), len(points), digest, as_text(own), as_text(after), alike(points, own, changed, after), alike(points, own, following, other))
+    after = Print(changed)
+    return (
+        doc_id, len(own.points), digest, as_text(own.sketch()), as_text(after.sketch()), alike(own, after), alike(own, following),
+        shared(own, after), shared(own, following),
+    )
 
 
 def edited(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness, one row for each row of docs."""
-    return with_next(docs, rows).mapInPandas(_stream, RESULT)
+    return with_next(docs, rows).select("range", "after", "doc_id", "text").mapInArrow(_stream, RESULT)

@@ -20,6 +20,11 @@ def test_spans_and_extensions(a, b, data):
     while i + want < len(a) and j + want < len(b) and a[i + want] == b[j + want]:
         want += 1
     assert x.longest_common_extension(i, y, j) == want
+    back = 0
+    while back < min(i, j) and a[i - back - 1] == b[j - back - 1]:
+        back += 1
+    assert x.longest_common_backward(i, y, j) == back
+    assert x.span(min(i, i + n), min(len(a), i + n)) == int(x.spans(np.array([i]), np.array([min(len(a), i + n)]))[0])
 
 
 def test_windows_match_spans():
@@ -67,5 +72,43 @@ def test_one_row_and_none(spark):
     assert fp.edited(spark.createDataFrame([], DOCS)).collect() == []
     (r,) = fp.edited(docs(spark, [(1, "abcd")])).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
-    assert fp.likeness(fp.sketch(fp.code_points("")), fp.sketch(fp.code_points(""))) == 1.0
-    assert fp.likeness(fp.sketch(fp.code_points("")), fp.sketch(fp.code_points("a"))) == 0.0
+    empty, a = fp.Print(fp.code_points("")), fp.Print(fp.code_points("a"))
+    assert (fp.alike(empty, empty), fp.alike(empty, a), fp.shared(empty, empty), fp.shared(empty, a)) == (1.0, 0.0, 1.0, 0.0)
+
+
+def windows(text, width):
+    return {text[i : i + width] for i in range(len(text) - width + 1)}
+
+
+def test_likeness_by_brute_force():
+    """The estimate from slots against the share of common windows, and covered spans against the planted ones."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    errors = []
+    for common in (0, 100, 400, 900, 1500, 2000):
+        for _ in range(6):
+            passage, tail, other = word(common), word(2000 - common), word(2000 - common)
+            a, b = word(40) + passage + tail, passage + other
+            x, y = windows(a, 16), windows(b, 16)
+            want = 2 * len(x & y) / (len(x) + len(y))
+            p, q = fp.Print(fp.code_points(a)), fp.Print(fp.code_points(b))
+            errors.append(abs(fp.alike(p, q) - want))
+            if common >= 400:
+                # what is shared by chance at the passage's ends adds a few letters
+                assert abs(fp.shared(p, q) - 2 * common / (len(a) + len(b))) < 0.01
+            assert fp.shared(p, p) == 1.0 and fp.alike(p, p) == 1.0
+    assert np.mean(errors) < 0.05 and max(errors) < 0.2
+
+
+def test_ids_stay_whole_beside_a_null(spark):
+    big = 9007199254740993
+    found = fp.edited(docs(spark, [(big, "text of a large id"), (None, "no id"), (big, "text of a large id"), (big, "another")]), 1).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in found) == [(0, 5), (big, 7), (big, 18), (big, 18)]
+
+
+def test_one_id_may_hold_many_rows(spark):
+    texts = [f"{chr(97 + i % 26)} text {i}" for i in range(200)]
+    found = fp.edited(docs(spark, [(5, t) for t in texts]).repartition(3), 20).collect()
+    order = sorted(texts)
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 200][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order)}
+    assert {r.edited_sha256 for r in found} == want and len(found) == 200
