@@ -41,9 +41,9 @@ def species_code(id: Column) -> Column:
 def chromosome_label(header: Column, index: Column) -> Column:
     """A short label from a header: its chromosome or scaffold in lower case, else the header if it is one word, else by index."""
     low = F.lower(F.trim(header))
-    spelled = F.regexp_extract(low, r"chromosome\s+([a-z0-9]+)", 1)
-    short = F.regexp_extract(low, r"chr(?:omosome)?[_\s-]*([a-z0-9]+)", 1)
-    scaffold = F.regexp_extract(low, r"scaffold[_\s-]+([a-z0-9]+)", 1)
+    spelled = F.regexp_extract(low, r"chromosome\s+([a-z0-9_.-]+)", 1)
+    short = F.regexp_extract(low, r"chr(?:omosome)?[_\s-]*([a-z0-9_.-]+)", 1)
+    scaffold = F.regexp_extract(low, r"scaffold[_\s-]+([a-z0-9_.-]+)", 1)
     return (
         F.when(spelled != "", F.concat(F.lit("Chromosome"), spelled))
         .when(short != "", F.concat(F.lit("Chromosome"), short))
@@ -59,6 +59,21 @@ def unique_labels(headers: DataFrame, label: str, index: str) -> DataFrame:
     return headers.withColumn(label, F.when(seen > 1, F.concat_ws("_", label, F.col(index).cast("string"))).otherwise(F.col(label)))
 
 
+def renamed(rows: DataFrame, labels: DataFrame, column: str = "Chromosome") -> DataFrame:
+    """rows with a column's accessions replaced by their labels (accession, pretty_name); unknown ones stay.
+
+    labels has a row for each sequence of a genome; adaptive execution broadcasts it where it is small.
+    """
+    known = labels.select(F.col("accession").alias("of"), "pretty_name").dropDuplicates(["of"])
+    out = rows.join(known, F.col(column) == F.col("of"), "left").withColumn(column, F.coalesce("pretty_name", column))
+    return out.select(*rows.columns)
+
+
+def percent_tag(threshold: float) -> str:
+    """A threshold in a file's name: its whole percents, cut off."""
+    return str(int(threshold * 100))
+
+
 def natural_key(name: Column) -> Column:
     """A sort key in which runs of digits count as numbers: an array, so that parts compare one by one."""
     parts = F.split(F.regexp_replace(name, r"([0-9]+)", "\x01$1\x01"), "\x01", -1)

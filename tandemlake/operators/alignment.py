@@ -5,7 +5,9 @@ to end and any stretch of the other, which is written twice in a row where it is
 then a gap in the second sequence, then one in the first, each only where better.
 
 With linear gap costs a row needs no loop over its cells: t is the better of diagonal and up, and the row is the running
-maximum of t + 2j, less 2j. Identities need no traceback: matches are carried along with the chosen move.
+maximum of t + 2j, less 2j. Identities need no traceback: matches are carried along with the chosen move. The matches that
+any cell of a row has, and the letters left, bound those of the alignment: pairs that can't reach what is needed are given
+up on the way, without a change to the others.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import numpy as np
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Bits of a place and of matches beside a cell's value in one number: sequences of up to half a million letters.
 _BITS = 20
+#: Rows after which hopeless pairs are given up.
+_STRIDE = 16
 _COMPLEMENT = str.maketrans("ACGTNacgtn", "TGCANtgcan")
 
 
@@ -31,45 +35,62 @@ def letters(seqs: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def semiglobal_matches(whole: list[str], stretch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(score, matches) of each pair: `whole` from end to end against a stretch of the other."""
+def semiglobal_matches(whole: list[str], stretch: list[str], need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, matches) of each pair: `whole` from end to end against a stretch of the other.
+
+    need: the matches that are of interest for each pair; fewer may come back as -1.
+    """
     a, a_lengths = letters(whole, 0)
     b, b_lengths = letters(stretch, 1)
+    if max(a.shape[1], b.shape[1]) >= 1 << (_BITS - 1):
+        raise ValueError("sequences are too long to align")
     n, width = len(whole), b.shape[1] + 1
-    columns = np.arange(width, dtype=np.int64)
-    slope = 2 * columns
-    row, matches = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
-    score, same = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    inside = columns[None, :] <= b_lengths[:, None]
-    place = columns << _BITS
-    for i in range(a.shape[1]):
-        equal = a[:, i : i + 1] == b
-        t, m = row + GAP, matches
-        diagonal = row[:, :-1] + np.where(equal, MATCH, MISMATCH)
-        better = diagonal >= t[:, 1:]
-        m = np.concatenate([m[:, :1], np.where(better, matches[:, :-1] + equal, m[:, 1:])], axis=1)
-        np.copyto(t[:, 1:], diagonal, where=better)
+    # pairs lie side by side, so that each step works on all of them
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    slope, place = 2 * np.arange(width, dtype=np.int64)[:, None], np.arange(width, dtype=np.int64)[:, None] << _BITS
+    row, matches = np.zeros((width, n), np.int64), np.zeros((width, n), np.int64)
+    score, same, pairs = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.arange(n)
+    same[a_lengths == 0] = 0
+    for i in range(a.shape[0]):
+        equal = a[i] == b
+        t = row + GAP
+        diagonal = row[:-1] + np.where(equal, MATCH, MISMATCH)
+        better = diagonal >= t[1:]
+        m = matches.copy()
+        np.copyto(m[1:], matches[:-1] + equal, where=better)
+        np.copyto(t[1:], diagonal, where=better)
         # one running maximum carries the cell's value, the latest place that attains it (left only where strictly
         # better) and that place's matches
-        held = np.maximum.accumulate(((t + slope) << 2 * _BITS) + place + m, axis=1)
+        held = np.maximum.accumulate(((t + slope) << 2 * _BITS) + place + m, axis=0)
         row, matches = (held >> 2 * _BITS) - slope, held & ((1 << _BITS) - 1)
-        ends = np.flatnonzero(a_lengths == i + 1)
+        ends = np.flatnonzero(a_lengths[pairs] == i + 1)
         if len(ends):
-            last = np.where(inside[ends], row[ends], np.iinfo(np.int64).min)
-            at = last.argmax(axis=1)
-            score[ends], same[ends] = last[np.arange(len(ends)), at], matches[ends, at]
+            inside = np.arange(width)[:, None] <= b_lengths[pairs[ends]]
+            last = np.where(inside, row[:, ends], np.iinfo(np.int64).min)
+            at = last.argmax(axis=0)
+            score[pairs[ends]], same[pairs[ends]] = last[at, np.arange(len(ends))], matches[at, ends]
+        if need is not None and i % _STRIDE == _STRIDE - 1:
+            left = a_lengths[pairs] - i - 1
+            open_ = np.flatnonzero((left > 0) & (matches.max(axis=0) + left >= need[pairs]))
+            if len(open_) < 0.8 * len(pairs):
+                pairs, row, matches, a, b = pairs[open_], row[:, open_], matches[:, open_], a[:, open_], b[:, open_]
+                if not len(pairs):
+                    break
     return score, same
 
 
-def identities(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(identity, whether forward) of each a against its b as a circle, in the better direction; forward wins ties."""
+def identities(a: list[str], b: list[str], least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(identity, whether forward) of each a against its b as a circle, in the better direction; forward wins ties.
+
+    least: the identity that is of interest; lower ones may come back as any lower one.
+    """
     lengths = np.maximum([len(x) for x in a], [len(y) for y in b])
-    twice = [y + y for y in b]
-    _, forward = semiglobal_matches(a, twice)
-    _, backward = semiglobal_matches(a, [revcomp(y) + revcomp(y) for y in b])
+    need = None if least is None else np.ceil(least * lengths - 1e-6).astype(np.int64)
+    _, forward = semiglobal_matches(a, [y + y for y in b], need)
+    _, backward = semiglobal_matches(a, [revcomp(y) + revcomp(y) for y in b], need)
     whole = np.maximum(lengths, 1)
     f, r = forward / whole, backward / whole
-    return np.maximum(f, r), f >= r
+    return np.maximum(np.maximum(f, r), 0.0), f >= r
 
 
 def traced(a: str, b: str, free: bool) -> tuple[int, str, str, int, int]:
@@ -106,6 +127,12 @@ def gapped_identity(a: str, b: str, length: int) -> float:
     return sum(p == q != "-" for p, q in zip(a, b, strict=True)) / length if length else 0.0
 
 
+def blocks(a: str, b: str, width: int = 120) -> str:
+    """Two gapped sequences one above the other in blocks of the width, with bars between equal letters."""
+    bars = "".join("|" if x == y != "-" else " " for x, y in zip(a, b, strict=True))
+    return "\n\n".join("\n".join(row[i : i + width] for row in (a, bars, b)) for i in range(0, len(a), width))
+
+
 def framed(reference: str, member: str) -> dict:
     """The rotation and direction of a circular member that fit the reference best, and their global alignment."""
     best = None

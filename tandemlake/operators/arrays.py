@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
+from .graph import checkpointed
 from .running import TILE, running
 
 GAP_CAP, FALLBACK_GAP = 10_000, 2_000
@@ -58,7 +59,8 @@ def islands(gapped: DataFrame, distance: Column, keys: list[str], tile: int = TI
 
 def arrays(hits: DataFrame, min_hits: int = 1, cap: int = GAP_CAP, fallback: int = FALLBACK_GAP, tile: int = TILE) -> DataFrame:
     """Arrays of at least min_hits hits, with the statistics of their hits."""
-    gapped = gaps(hits, tile)
+    # read by the distances and by the islands: a few numbers for each hit
+    gapped = checkpointed(gaps(hits.select(*GROUP, "Start", "End", "Strand", "Pident", "HitLength", "Bitscore"), tile))
     # one row for each reference
     distances = merge_distances(gapped, cap, fallback).select("Reference", "AdaptiveMergeGap_bp")
     found = islands(gapped.join(distances, "Reference"), F.col("AdaptiveMergeGap_bp"), GROUP, tile)
@@ -118,14 +120,8 @@ def largest_per_reference(arrays: DataFrame, n: int = 2) -> DataFrame:
 
 
 def displayed(arrays: DataFrame, chromosomes: DataFrame, least: int = 80_000) -> DataFrame:
-    """arrays with display_start and display_end: short ones widened around their middle, all kept on the chromosome."""
+    """arrays with display_start and display_end: short ones widened around their middle, what sticks out cut off."""
     out = arrays.join(chromosomes, "Chromosome")
-    width, middle = F.col("End") - F.col("Start"), (F.col("Start") + F.col("End")) / 2
-    narrow = width < least
-    start = F.when(narrow, middle - least / 2).otherwise(F.col("Start").cast("double"))
-    end = F.when(narrow, middle + least / 2).otherwise(F.col("End").cast("double"))
-    # what would stick out on one side goes to the other
-    left, right = F.greatest(-start, F.lit(0.0)), F.greatest(end - F.col("ChromosomeLengthBp"), F.lit(0.0))
-    return out.select(
-        *arrays.columns, F.greatest(start - right, F.lit(0.0)).alias("display_start"), F.least(end + left, F.col("ChromosomeLengthBp").cast("double")).alias("display_end")
-    )
+    half, middle = F.greatest(F.col("End") - F.col("Start"), F.lit(least)) / 2, (F.col("Start") + F.col("End")) / 2
+    start, end = F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.col("ChromosomeLengthBp").cast("double"))
+    return out.select(*arrays.columns, start.alias("display_start"), end.alias("display_end"))

@@ -12,17 +12,21 @@ from .running import TILE, running
 MERGE_GAP, BIN, TOP = 2_000, 100_000, 10
 
 
-def merged_runs(hits: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
+def merged_runs(hits: DataFrame, gap: int = MERGE_GAP, tile: int = TILE) -> DataFrame:
     """Hits merged with the one before if it has the same reference and ends at most gap before: a hit of another
-    reference in between breaks the run. Chromosome, Start, End, Reference."""
-    along = Window.partitionBy("Chromosome").orderBy("Start", "Reference", "End")
-    changed = (F.col("Reference") != F.lag("Reference").over(along)).cast("long")
-    runs = hits.select("Chromosome", "Start", "End", "Reference").withColumn("run", F.sum(F.coalesce(changed, F.lit(1))).over(along))
-    before = Window.partitionBy("Chromosome", "run").orderBy("Start", "Reference", "End")
-    ended = runs.withColumn("far", F.max("End").over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    begins = F.coalesce(F.col("Start") > F.col("far") + gap, F.lit(False)).cast("long")
-    pieces = ended.withColumn("begins", begins).withColumn("piece", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return pieces.groupBy("Chromosome", "Reference", "run", "piece").agg(F.min("Start").alias("Start"), F.max("End").alias("End")).select("Chromosome", "Start", "End", "Reference")
+    reference in between breaks the run. Chromosome, Start, End, Reference.
+
+    Runs, then the pieces that they are cut into, are numbered over tiles of positions, so that no chromosome is one task's.
+    """
+    order = ["Start", "Reference", "End"]
+    last = F.struct("Start", "Reference", "End")
+    along = running(hits.select("Chromosome", "Start", "End", "Reference"), ["Chromosome"], "Start", order, {"prev": ("max", last)}, tile)
+    along = along.withColumn("changed", F.coalesce(F.col("Reference") != F.col("prev.Reference"), F.lit(True)).cast("long")).drop("prev")
+    # of equal hits the one that begins a run comes first, as their order is the same
+    runs = running(along, ["Chromosome"], "Start", [*order, F.desc("changed")], {"run": ("sum", F.col("changed"))}, tile, inclusive=True)
+    ended = running(runs, ["Chromosome", "run"], "Start", order, {"far": ("max", F.col("End"))}, tile).withColumn("gap", F.col("Start") - F.col("far"))
+    pieces = islands(ended.drop("changed"), F.lit(gap), ["Chromosome", "run"], tile)
+    return pieces.groupBy("Chromosome", "Reference", "run", "island").agg(F.min("Start").alias("Start"), F.max("End").alias("End")).select("Chromosome", "Start", "End", "Reference")
 
 
 def merged_by_reference(hits: DataFrame, gap: int = MERGE_GAP, tile: int = TILE) -> DataFrame:
@@ -74,11 +78,11 @@ def total(coverage: DataFrame) -> DataFrame:
 
 
 def gc_track(contigs: DataFrame, bin: int = BIN) -> DataFrame:
-    """Chromosome, Start, End, GC_fraction of each bin of each contig (Chromosome, seq)."""
-    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(bin)))
-    cut = contigs.where(F.length("seq") > 0).select("Chromosome", "seq", starts.alias("s"))
-    part = F.substring("seq", F.col("s") + 1, F.lit(bin))
-    return cut.select("Chromosome", F.col("s").cast("long").alias("Start"), (F.col("s") + F.length(part)).cast("long").alias("End"), gc_fraction(part).alias("GC_fraction"))
+    """Chromosome, Start, End, GC_fraction of each bin of each contig (Chromosome, seq), which is cut into bins once."""
+    part = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{bin}}}"), F.lit(0))
+    cut = contigs.where(F.length("seq") > 0).select("Chromosome", F.posexplode(part).alias("k", "part"))
+    start = F.col("k").cast("long") * bin
+    return cut.select("Chromosome", start.alias("Start"), (start + F.length("part")).alias("End"), gc_fraction(F.col("part")).alias("GC_fraction"))
 
 
 def plot_track(track: DataFrame) -> DataFrame:

@@ -22,19 +22,20 @@ def running(df: DataFrame, keys: list[str], position: str, order: list[Column |
     """
     merge = {name: _MERGE[kind] for name, (kind, _) in out.items()}
     functions = {"max": F.max, "min": F.min, "sum": F.sum}
-    tiled = df.withColumn("__tile", F.floor(F.col(position) / tile))
+    mark = "".join(sorted(df.columns, key=len)[-1:]) + "_"  # longer than any column's name
+    tiled = df.withColumn(f"{mark}tile", F.floor(F.col(position) / tile))
     if behind:
         frame = (0 if inclusive else 1, Window.unboundedFollowing)
         far = (1, Window.unboundedFollowing)
     else:
         frame = (Window.unboundedPreceding, 0 if inclusive else -1)
         far = (Window.unboundedPreceding, -1)
-    near = Window.partitionBy(*keys, "__tile").orderBy(*order).rowsBetween(*frame)
-    tiles = tiled.groupBy(*keys, "__tile").agg(*[functions[kind](what).alias(f"__{name}") for name, (kind, what) in out.items()])
-    over = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(*far)
-    tiles = tiles.select(*keys, "__tile", *[functions[kind](f"__{name}").over(over).alias(f"__far_{name}") for name, (kind, _) in out.items()])
-    placed = tiled.select("*", *[functions[kind](what).over(near).alias(f"__near_{name}") for name, (kind, what) in out.items()])
-    joined = placed.join(tiles, [*keys, "__tile"])
+    near = Window.partitionBy(*keys, f"{mark}tile").orderBy(*order).rowsBetween(*frame)
+    tiles = tiled.groupBy(*keys, f"{mark}tile").agg(*[functions[kind](what).alias(f"{mark}{name}") for name, (kind, what) in out.items()])
+    over = Window.partitionBy(*keys).orderBy(f"{mark}tile").rowsBetween(*far)
+    tiles = tiles.select(*keys, f"{mark}tile", *[functions[kind](f"{mark}{name}").over(over).alias(f"{mark}far_{name}") for name, (kind, _) in out.items()])
+    placed = tiled.select("*", *[functions[kind](what).over(near).alias(f"{mark}near_{name}") for name, (kind, what) in out.items()])
+    joined = placed.join(tiles, [*keys, f"{mark}tile"])
     zero = lambda name, c: F.coalesce(c, F.lit(0)) if out[name][0] == "sum" else c
-    made = [merge[name](zero(name, F.col(f"__near_{name}")), zero(name, F.col(f"__far_{name}"))).alias(name) for name in out]
+    made = [merge[name](zero(name, F.col(f"{mark}near_{name}")), zero(name, F.col(f"{mark}far_{name}"))).alias(name) for name in out]
     return joined.select(*df.columns, *made)

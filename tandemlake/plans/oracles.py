@@ -63,7 +63,7 @@ raw as (select b."Chromosome", b."Start", n.g, sum(greatest(0, least(n."End", b.
 coverage as (select b."Chromosome", b."Start", b."End", g."Reference", least(coalesce(bp, 0), b."End" - b."Start")::bigint as "Coverage_bp"
   from grid b cross join groups g left join raw r on r."Chromosome" = b."Chromosome" and r."Start" = b."Start" and r.g = g."Reference")"""
 BLOCKS = f"""{HITS}, genes as (select 'Chr' || cast(o_orderkey % 10 as varchar) as "Chromosome", o_orderkey * 40 as "Start", o_orderkey * 40 + 40 as "End", o_orderkey as gene from orders),
-anchors as (select event_id as line_no, (event_id * 7) % (select count(*) from orders) as g_start, (event_id * 7) % (select count(*) from orders) + 10 * (1 + event_id % 5) as g_end from events where event_id % 19 = 0),
+anchors as (select event_id as line_no, (event_id * 7) % (select count(*) from orders) as g_start, (event_id * 7) % (select count(*) from orders) + 10 * (1 + event_id % 5) as g_end from events),
 blocks as (select a."Chromosome", least(a."Start", b."Start") as "Start", greatest(a."End", b."End") as "End", 'block_' || cast(line_no as varchar) as block, a."Chromosome" = b."Chromosome" as same_chromosome
   from anchors join genes a on g_start = a.gene join genes b on g_end = b.gene),
 repeats as (select row_number() over () as id, "Chromosome", "Start" - 1 as "Start", "End", "Reference" as family, 'sp' || cast("HitLength" % 3 as varchar) as species from hits),
@@ -72,8 +72,8 @@ dist as (select r.id, b.block, case when r."Start" < b."End" and b."Start" < r."
 least_dist as (select id, min(d) as d from dist group by id),
 nearest as (select r.*, coalesce(l.d, -1)::bigint as dist, x.block from repeats r left join least_dist l using (id) left join dist x on x.id = r.id and x.d = l.d)"""
 SEQUENCES = """seqs as (select doc_id as seq_idx, 'seq' || cast(doc_id as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from documents)"""
-MONOMERS = f"""{SEQUENCES}, monomers as (select * from seqs where length(seq) between 20 and 200)"""
-KMERS = f"""{MONOMERS}, windows as (select seq_idx, substr(seq || seq, i::int, 6) as w from monomers, lateral (select unnest(range(1, length(seq) + 1)) as i)),
+MONOMERS = """monomers as (select * from (select conv_id * 1000 + turn as seq_idx, 'seq' || cast(conv_id * 1000 + turn as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from conversations) where seq <> '')"""
+KMERS = f"""{MONOMERS}, windows as (select seq_idx, substr(seq || seq, i::int, 6) as w from monomers, lateral (select unnest(range(1, length(seq) + 1)) as i) where length(seq) >= 6),
 kmers as (select distinct seq_idx, least(w, reverse(translate(w, 'ACGTN', 'TGCAN'))) as kmer from windows)"""
 MOTIFS = f"""{MONOMERS}, wanted as (select translate(substr(seq, 1, 12), 'N', 'G') as m from monomers order by seq_idx limit 1),
 reads as (select source as library, doc_id as read_idx, translate(regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g'), 'N', 'G') as seq from documents),
@@ -81,15 +81,21 @@ near as (select library, read_idx, seq, list_filter(range(0, greatest(length(seq
 greedy as (select library, read_idx, seq, list_reduce(list_transform(o, lambda x: [x]), lambda acc, x: case when x[1] >= acc[-1] + 12 then list_concat(acc, x) else acc end) as o from near where len(o) > 0),
 motifs as (select library, read_idx, k as "offset", substr(seq, k::int + 1, 12) as motif from greedy, lateral (select unnest(o) as k))"""
 LABELS = r"""words as (select p_partkey + 1 as index, case p_partkey % 5 when 0 then 'ref|NC_' || p_partkey || '| Danio chromosome ' || (p_partkey % 25) when 1 then 'Chr' || upper(substr(p_name, 1, 1)) || (p_partkey % 40)
-  when 2 then 'scaffold_' || p_partkey when 3 then 'micro' || p_partkey else p_name end as header from part)"""
+  when 2 then 'scaffold_' || p_partkey // 10 || '.' || p_partkey % 10 when 3 then 'micro' || p_partkey else p_name end as header from part)"""
 
 SIZES = """median("ArraySize") as "MedianArrayBp", avg("ArraySize") as "MeanArrayBp", quantile_cont("ArraySize", 0.9) as "ArrayP90Bp\""""
 
 ORACLE_SQL: dict[str, str] = {
     "hits_normalized": f"with {HITS} {rounded('hits', 'Pident', 'Bitscore')}",
+    "hits_pretty_names": f"""with {HITS}, named as (select *, case when "Chromosome" = 'Chr9' then 'Chr9' else 'Chromosome' || (cast(substr("Chromosome", 4, 1) as bigint) + 1) end as c from hits)
+select c as "Chromosome", "Reference", "Start", "End", "Strand", round("Pident" + 1e-9, 6) as "Pident", "HitLength", round("Bitscore" + 1e-9, 6) as "Bitscore" from named""",
+    "hits_from_files": f"""with {HITS} select "Reference", "Reference" as "Query", "Chromosome", "Start", "End", "Strand", round("Pident" + 1e-9, 6) as "Pident", "HitLength", round("Bitscore" + 1e-9, 6) as "Bitscore" from hits where "Pident" >= 95""",
+    "intervals_from_files": f"""with {HITS} select "Chromosome", "Start", "End", "Reference" from hits""",
+    "sequences_from_files": f"""with {SEQUENCES} select id, id as header, seq, length(seq) as len from seqs where seq <> ''""",
+    "genes_from_files": """select 'Chr' || cast(o_orderkey % 10 as varchar) as "Chromosome", o_orderkey * 40 as "Start", o_orderkey * 40 + 40 as "End", cast(o_orderkey as varchar) as gene from orders""",
     "hits_filtered": f"""with {HITS} select "Chromosome", "Reference", "Start", "End", "Strand", round("Pident" + 1e-9, 6) as "Pident" from hits where "Pident" >= 95 and "End" >= "Start" and "Chromosome" <> 'Chr9'""",
     "header_pretty_names": rf"""with {LABELS}, low as (select index, header, lower(trim(header)) as h from words),
-x as (select index, header, regexp_extract(h, 'chromosome\s+([a-z0-9]+)', 1) as a, regexp_extract(h, 'chr(?:omosome)?[_\s-]*([a-z0-9]+)', 1) as b, regexp_extract(h, 'scaffold[_\s-]+([a-z0-9]+)', 1) as c from low),
+x as (select index, header, regexp_extract(h, 'chromosome\s+([0-9a-z_.-]+)', 1) as a, regexp_extract(h, 'chr(?:omosome)?[_\s-]*([0-9a-z_.-]+)', 1) as b, regexp_extract(h, 'scaffold[_\s-]+([0-9a-z_.-]+)', 1) as c from low),
 y as (select index, regexp_extract(replace(replace(trim(header), 'ref|', ''), '|', ''), '(\S+)', 1) as accession, case when a <> '' then 'Chromosome' || a when b <> '' then 'Chromosome' || b when c <> '' then 'scaffold' || c
   when regexp_matches(trim(header), '^[A-Za-z0-9_.-]+$') then trim(header) else 'Chromosome' || index end as p from x)
 select index, accession, case when row_number() over (partition by p order by index) > 1 then p || '_' || index else p end as pretty_name from y""",
@@ -105,9 +111,8 @@ numbered as (select *, sum(starts) over (partition by "Chromosome" order by "Sta
 select "Chromosome", min("Start") as "Start", max("End") as "End", string_agg(distinct "Reference", ',' order by "Reference") as "References", count(distinct "Reference") as "NumReferences", max("End") - min("Start") + 1 as "ArraySize" from numbered group by "Chromosome", region""",
     "array_n50_l50": f"""with {ARRAYS}, {n50('"Reference"')} select * from n50s""",
     "top_n_arrays": f"""with {ARRAYS}, r as (select "Reference", "Chromosome", "Start", "End", "ArraySize", row_number() over (partition by "Reference" order by "ArraySize" desc, "Chromosome", "Start", "End") as "Rank" from arrays) select * from r where "Rank" <= 2""",
-    "display_intervals": f"""with {ARRAYS}, {CHROMS}, w as (select a.*, c."ChromosomeLengthBp"::double as n, case when a."End" - a."Start" < 5000 then (a."Start" + a."End") / 2.0::double - 2500 else a."Start"::double end as s,
-  case when a."End" - a."Start" < 5000 then (a."Start" + a."End") / 2.0::double + 2500 else a."End"::double end as e from arrays a join chroms c using ("Chromosome"))
-select "Chromosome", "Reference", "Start", "End", round(greatest(s - greatest(e - n, 0), 0) + 1e-9, 6) as display_start, round(least(e + greatest(-s, 0), n) + 1e-9, 6) as display_end from w""",
+    "display_intervals": f"""with {ARRAYS}, {CHROMS}, w as (select a.*, c."ChromosomeLengthBp"::double as n, (a."Start" + a."End") / 2.0::double as mid, greatest(a."End" - a."Start", 5000) / 2.0::double as half from arrays a join chroms c using ("Chromosome"))
+select "Chromosome", "Reference", "Start", "End", round(greatest(mid - half, 0) + 1e-9, 6) as display_start, round(least(mid + half, n) + 1e-9, 6) as display_end from w""",
     "chromosome_offsets": f"""with {SEQUENCES}, b as (select seq_idx // 1000 as index, 'block' || seq_idx // 1000 as "Chromosome", sum(length(seq))::bigint as "ChromosomeLengthBp" from seqs group by all)
 select index, "Chromosome", "ChromosomeLengthBp", coalesce(sum("ChromosomeLengthBp") over (order by index rows between unbounded preceding and 1 preceding), 0)::bigint as "Offset" from b""",
     "nonoverlap_segments": f"with {SEGMENTS} select * from segments",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequences
 from ..operators import arrays, composition, density, families, kmers, motifs, synteny
-from ..operators.graph import checkpointed
+from ..operators.graph import checkpointed, shared_folder
+from ..sources import readers, writers
 from ..sources.readers import valid_hits
 from . import views
 
@@ -321,13 +323,14 @@ def motif_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(distinct monomers, scores of those of similar length)."""
+    """(distinct monomers, scores of those that reach the families' threshold)."""
     once = checkpointed(families.classes(views.monomers(spark, sf_dir)))
-    return once, checkpointed(families.pair_scores(kmers.similar_lengths(once, families.THRESHOLD), once))
+    return once, checkpointed(families.pair_scores(kmers.similar_lengths(once, families.THRESHOLD), once, families.THRESHOLD))
 
 
 @query
 def pair_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct monomers that reach the threshold both ways."""
     return rounded(_scores(spark, sf_dir)[1])
 
 
@@ -345,33 +348,52 @@ def family_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.ranked(_families(spark, sf_dir))
 
 
+def _strict(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, families of all monomers, their strict groups)."""
+    once, scores = _scores(spark, sf_dir)
+    monomers = views.monomers(spark, sf_dir)
+    held = checkpointed(families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores))
+    strict = families.strict_families(scores, _shared(spark, sf_dir), held)
+    return scores, families.families(monomers, scores=scores), checkpointed(families.strict_members(monomers, once, strict))
+
+
 @query
 def strict_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once, scores = _scores(spark, sf_dir)
-    held = families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores)
-    return families.strict_families(scores, _shared(spark, sf_dir), held)
+    return _strict(spark, sf_dir)[2]
 
 
 @query
 def rescue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once, scores = _scores(spark, sf_dir)
-    held = families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores)
-    return rounded(families.rescue_pairs(scores, families.strict_families(scores, _shared(spark, sf_dir), held)))
+    scores, _, strict = _strict(spark, sf_dir)
+    return rounded(families.rescue_pairs(scores, views.monomers(spark, sf_dir), strict))
 
 
 @query
 def family_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(spark, sf_dir)[1]
-    return families.medoids(scores, families.families(views.monomers(spark, sf_dir), scores=scores))
+    """Means over all pairs of a family, which chains of links leave to be scored."""
+    once, scores = _scores(spark, sf_dir)
+    held = checkpointed(families.families(views.monomers(spark, sf_dir), scores=scores))
+    inner = checkpointed(held.where("family_size > 1").join(once.select("seq_idx"), "seq_idx", "left_semi").select("seq_idx", "family"))
+    pairs = inner.select(F.col("seq_idx").alias("i"), "family").join(inner.select(F.col("seq_idx").alias("j"), "family"), "family").where("j < i")
+    return families.medoids(checkpointed(families.pair_scores(pairs, once)), held)
 
 
-@query
-def superfamily_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _superfamily_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     monomers = views.monomers(spark, sf_dir)
     shared = checkpointed(_shared(spark, sf_dir))
     # one direction may reach the threshold up to a length ratio of threshold / 2
-    scores = checkpointed(families.pair_scores(shared, monomers))
-    return rounded(families.superfamily_links(scores, shared, _families(spark, sf_dir)))
+    scores = checkpointed(families.pair_scores(shared, monomers, families.THRESHOLD, both_ways=False))
+    return checkpointed(families.superfamily_links(scores, shared, _families(spark, sf_dir)))
+
+
+@query
+def superfamily_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_superfamily_links(spark, sf_dir))
+
+
+@query
+def superfamily_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(families.family_links(_superfamily_links(spark, sf_dir)))
 
 
 @query
@@ -388,17 +410,68 @@ def anchored_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def superfamily_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.superfamilies(superfamily_links(spark, sf_dir))
+    return families.superfamilies(_superfamily_links(spark, sf_dir))
 
 
 @query
 def family_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten proofs of each family."""
     once, scores = _scores(spark, sf_dir)
-    return families.proofs(scores, once)
+    held = families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores)
+    return families.proofs(scores, once, most=10, families=held)
 
 
 @query
 def rescue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once, scores = _scores(spark, sf_dir)
-    held = checkpointed(families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores))
-    return families.rescue_groups(families.strict_families(scores, _shared(spark, sf_dir), held), held)
+    _, held, strict = _strict(spark, sf_dir)
+    return families.rescue_groups(views.monomers(spark, sf_dir), strict, held)
+
+
+@query
+def hits_pretty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their chromosomes under the labels of a genome's headers; those that no header names stay as they are."""
+    chromosomes = views.chromosomes(spark, sf_dir).where("Chromosome <> 'Chr9'")
+    index = F.substring("Chromosome", 4, 1).cast("long") + 1
+    headers = chromosomes.select(index.alias("index"), F.concat("Chromosome", F.lit(" Danio chromosome "), index.cast("string")).alias("header"))
+    labels = names.unique_labels(headers.select("index", names.accession(F.col("header")).alias("accession"), names.chromosome_label(F.col("header"), F.col("index")).alias("pretty_name")), "pretty_name", "index")
+    return rounded(names.renamed(views.hits(spark, sf_dir), labels))
+
+
+@query
+def hits_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by way of files: written as tabular search output, read and validated."""
+    raw = views.raw_hits(spark, sf_dir)
+    one = F.lit(1)
+    rows = raw.select(F.col("Reference").alias("qseqid"), F.col("Chromosome").alias("sseqid"), F.col("Pident").alias("pident"), F.col("HitLength").alias("length"), F.col("HitLength").alias("qlen"), one.alias("qstart"), F.col("HitLength").alias("qend"), "sstart", "send", F.lit(1e-12).alias("evalue"), F.col("Bitscore").alias("bitscore"))
+    path = _scratch(spark)
+    rows.write.csv(path, sep="\t")
+    found = valid_hits(readers.search_hits(spark, path), 95.0)
+    return rounded(found.select("Reference", "Query", "Chromosome", "Start", "End", "Strand", "Pident", F.col("HitLength").cast("long").alias("HitLength"), F.col("Bitscore").alias("Bitscore")))
+
+
+@query
+def intervals_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as a BED file, sorted, written and read."""
+    path = _scratch(spark)
+    writers.bed(views.hits(spark, sf_dir), path)
+    return readers.bed4(spark, path)
+
+
+@query
+def sequences_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as FASTA, wrapped at 60 letters, written and read."""
+    path = _scratch(spark)
+    writers.fasta(views.sequences(spark, sf_dir).where("seq <> ''"), path)
+    return readers.fasta(spark, path).select("id", "header", "seq", "len")
+
+
+@query
+def genes_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes as a file of fields set apart by blanks, written and read."""
+    path = _scratch(spark)
+    views.genes(spark, sf_dir).select(F.concat_ws("  ", "Chromosome", "Start", "End", "gene").alias("value")).write.text(path)
+    return readers.gene_bed(spark, path).select("Chromosome", "Start", "End", "gene")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"

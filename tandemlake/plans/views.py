@@ -42,7 +42,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monomers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark, sf_dir).where(F.length("seq").between(20, 200))
+    """seq_idx, id, seq: all turns of conversations that have a letter, as short cleaned sequences."""
+    index = F.col("conv_id") * 1000 + F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select(index.alias("seq_idx"), F.concat(F.lit("seq"), index.cast("string")).alias("id"), clean(F.col("text")).alias("seq"))
+    return rows.where("seq <> ''")
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
     first = F.pmod(F.col("event_id") * 7, F.col("n"))
-    rows = table(spark, sf_dir, "events").where("event_id % 19 = 0").crossJoin(F.broadcast(n))  # one row
+    rows = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
     return rows.select(F.col("event_id").alias("line_no"), first.alias("g_start"), (first + 10 * (1 + F.col("event_id") % 5)).alias("g_end"))
 
 
@@ -65,7 +68,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = (
         F.when(kind == 0, F.concat(F.lit("ref|NC_"), n, F.lit("| Danio chromosome "), (k % 25).cast("string")))
         .when(kind == 1, F.concat(F.lit("Chr"), F.upper(F.substring("p_name", 1, 1)), (k % 40).cast("string")))
-        .when(kind == 2, F.concat(F.lit("scaffold_"), n))
+        .when(kind == 2, F.concat(F.lit("scaffold_"), F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string")))
         .when(kind == 3, F.concat(F.lit("micro"), n))
         .otherwise(F.col("p_name"))
     )

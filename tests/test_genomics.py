@@ -224,6 +224,69 @@ def test_middle_length_and_k(spark):
     assert [one(spark, kmers.choice(F.lit(n))[0]) for n in (100, 800, 2000, 5000)] == [6, 9, 11, 13]
 
 
+def test_pruned_alignments_lose_nothing():
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a = [word(rng.randint(1, 90)) for _ in range(120)]
+    b = [x if rng.random() < 0.1 else "".join(c if rng.random() < rng.choice([0.9, 0.5]) else rng.choice("ACGT") for c in x[7:] + x[:7]) or "A" for x in a]
+    whole, forward = alignment.identities(a, b)
+    some, turned = alignment.identities(a, b, 0.8)
+    for x, f, y, g in zip(whole, forward, some, turned, strict=True):
+        assert (y, g) == (x, f) if x + 1e-12 >= 0.8 else y < 0.8
+    assert 10 < sum(whole >= 0.8) < 110
+
+
+def test_scores_above_a_threshold(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(4)]
+    rows = [(k, f"s{k}", "".join(c if rng.random() < 0.9 else rng.choice("ACGT") for c in base[k % 4])) for k in range(20)] + [(50, "twice", base[0] + base[0])]
+    frame = spark.createDataFrame(rows, "seq_idx long, id string, seq string")
+    pairs = frame.select(F.col("seq_idx").alias("i")).join(frame.select(F.col("seq_idx").alias("j")), F.col("j") < F.col("i"))
+    every = {tuple(r) for r in families.pair_scores(pairs, frame).collect()}
+    assert {tuple(r) for r in families.pair_scores(pairs, frame, 0.8).collect()} == {r for r in every if r[6] + 1e-12 >= 0.8}
+    assert {tuple(r) for r in families.pair_scores(pairs, frame, 0.8, both_ways=False).collect()} == {r for r in every if max(r[2], r[4]) + 1e-12 >= 0.8}
+
+
+def test_display_and_labels(spark):
+    rows = spark.createDataFrame([("c", 10, 20), ("c", 100, 2000), ("c", 4990, 5000)], "Chromosome string, Start long, End long")
+    found = arrays.displayed(rows, spark.createDataFrame([("c", 5000)], "Chromosome string, ChromosomeLengthBp long"), 1000)
+    assert spans(found, "Start", "display_start", "display_end") == [(10, 0.0, 515.0), (100, 100.0, 2000.0), (4990, 4495.0, 5000.0)]
+    assert [one(spark, names.chromosome_label(F.lit(h), F.lit(1))) for h in ("scaffold_12.1", "scaffold_12.2", "NC chromosome 2L-a")] == ["scaffold12.1", "scaffold12.2", "Chromosome2l-a"]
+    labels = spark.createDataFrame([("acc1", "Chromosome1")], "accession string, pretty_name string")
+    assert spans(names.renamed(spark.createDataFrame([("acc1", 1), ("acc2", 2)], "Chromosome string, Start long"), labels), "Chromosome", "Start") == [("Chromosome1", 1), ("acc2", 2)]
+    assert alignment.blocks("AC-GT", "ACTG-", 3) == "AC-\n|| \nACT\n\nGT\n| \nG-" and names.percent_tag(0.57) == "56"
+
+
+def test_rescue_and_medoids(spark):
+    """A chain of three: two strict groups, one family, one rescue pair and group."""
+    rng = random.Random(2)
+    a = "".join(rng.choice("ACGT") for _ in range(60))
+    swap = lambda s, at: s[:at] + {"A": "C", "C": "A", "G": "T", "T": "G"}[s[at]] + s[at + 1 :]
+    b, c = a, a
+    for k in range(0, 20, 2):
+        b = swap(b, k)
+        c = swap(swap(c, k), 58 - k)
+    rows = [(0, "m0", a), (1, "m1", b), (2, "m2", c), (3, "m3", a)]
+    frame = spark.createDataFrame(rows, "seq_idx long, id string, seq string")
+    once = graph.checkpointed(families.classes(frame))
+    scores = graph.checkpointed(families.pair_scores(kmers.similar_lengths(once, 0.8), once))
+    held = graph.checkpointed(families.families(frame, scores=scores))
+    named = families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores)
+    strict = families.strict_members(frame, once, families.strict_families(scores, kmers.shared(once, 6, 3), named))
+    groups = {r.seq_idx: r.strict for r in strict.collect()}
+    assert groups[0] == groups[3] and len(groups) == 4
+    identity = {(r.i, r.j): r.identity_min for r in scores.collect()}
+    linked = {p for p, x in identity.items() if x + 1e-12 >= 0.8}
+    assert {r.family for r in held.collect()} == {0} and len(set(groups.values())) == 2
+    (r,) = families.rescue_pairs(scores, frame, strict).collect()
+    pair = tuple(sorted((int(r.member_A[1:]), int(r.member_B[1:])), reverse=True))
+    assert pair in linked and r.reciprocal_identity_min == max(identity[p] for p in linked if groups[p[0]] != groups[p[1]])
+    assert sorted((r.old_family_size, r.new_family_size, r.exhaustive_rescue_group) for r in families.rescue_groups(frame, strict, held).collect()) == [(s, 4, "ExhaustiveRescueGroup_000001") for s in sorted((list(groups.values()).count(g) for g in set(groups.values())))]
+    sums = {k: sum(x for p, x in identity.items() if k in p) for k in range(3)}
+    assert [r.medoid for r in families.medoids(scores, held).collect()] == [f"m{max(sums, key=lambda k: (sums[k], -k))}"]
+    assert families.proofs(scores, once, most=1, families=named).count() == 1
+
+
 def test_alignment_kernels():
     rng = random.Random(4)
     word = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))

@@ -51,8 +51,11 @@ def test_families_of_the_smallest_scale(spark):
 
     rows = views.monomers(spark, DATA).collect()
     pairs = [(a, b) for k, a in enumerate(rows) for b in rows[:k]]
-    x, _ = identities([a.seq for a, _ in pairs], [b.seq for _, b in pairs])
-    y, _ = identities([b.seq for _, b in pairs], [a.seq for a, _ in pairs])
+    pairs.sort(key=lambda p: (len(p[0].seq), len(p[1].seq)))
+    x, y = [], []
+    for k in range(0, len(pairs), 256):
+        left, right = [a.seq for a, _ in pairs[k : k + 256]], [b.seq for _, b in pairs[k : k + 256]]
+        x.extend(identities(left, right, 0.8)[0]), y.extend(identities(right, left, 0.8)[0])
     group = {r.seq_idx: r.seq_idx for r in rows}
     for (a, b), p, q in zip(pairs, x, y, strict=True):
         if min(p, q) + 1e-12 >= 0.8:
