@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components
 
 THRESHOLD = 0.93
-NEIGHBOURS, TABLES, BITS, NEAR = 12, 10, 30, 32
+NEIGHBOURS, TABLES, BITS, NEAR = 12, 6, 30, 32
 ROUNDS, SETTLED = 4, 0.002
 ENLARGED, BLOCK, LISTS = 1, 256, 512
 AUDITED, RECALL, ATTEMPTS = 256, 0.95, 3
@@ -274,10 +274,9 @@ def neighbour_graph(edges: DataFrame, nodes: DataFrame, how: Descent) -> tuple[D
         if wider.isEmpty():
             break
         widths = wider if widths is None else checkpointed(widths.join(wider, "a", "left_anti").unionByName(wider))
-        # the lists that have room now meet as if they were new
-        again = graph.join(wider.select("a"), "a", "left_semi").withColumn("fresh", F.lit(True))
-        rest = graph.join(wider.select("a"), "a", "left_anti").withColumn("fresh", F.lit(False))
-        graph = descended(checkpointed(again.unionByName(rest)), nodes, widths, how)
+        # the lists that have room now meet once more, as if they were new
+        again = graph.join(wider.withColumnRenamed("width", "now"), "a", "left").select("a", "b", "cosine", F.col("now").isNotNull().alias("fresh"))
+        graph = descended(again, nodes, widths, replace(how, rounds=1))
     return graph, widths
 
 
