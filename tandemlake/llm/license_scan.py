@@ -12,7 +12,7 @@ A file's own licence is its best unit's. A file whose whole text matches a templ
 a licence file: a file without a licence of its own takes that of the nearest directory above it that has a licence file.
 Directories, not files, are resolved against the directories above them.
 
-Only units that hold an anchor are compared: a template's anchors are its heaviest words, as many as it takes that what is
+Only units that hold an anchor are compared: a template's anchors are its rarest words, as many as it takes that what is
 left of the template cannot reach the threshold, so that no unit is missed.
 
 Defined results: null and empty texts have no licence of their own and may inherit one; a null path has neither directory
@@ -104,11 +104,11 @@ def vectors(n: int, df: dict[str, int], templates) -> list[tuple[str, dict[str,
     return out
 
 
-def anchors(template: tuple[str, dict[str, float], float], threshold: float) -> set[str]:
-    """The heaviest words without which the threshold is out of reach."""
+def anchors(template: tuple[str, dict[str, float], float], threshold: float, df: dict[str, int] | None = None) -> set[str]:
+    """Words without which the threshold is out of reach: those in the fewest files first, of these the heaviest."""
     _, weights, norm = template
     rest, out = norm * norm, set()
-    for word in sorted(weights, key=lambda w: (-weights[w], w)):
+    for word in sorted(weights, key=lambda w: ((df or {}).get(w, 0), -weights[w], w)):
         if rest < (threshold * norm) ** 2 * 0.999:
             break
         rest -= weights[word] ** 2
@@ -116,6 +116,11 @@ def anchors(template: tuple[str, dict[str, float], float], threshold: float) ->
     return out
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value made once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text, without comment marks at the lines' begins and ends, each on one line."""
     marks = r"(?m)^[\s/*#;%!<>\-]+|[\s/*#>\-]+$"
@@ -126,19 +131,31 @@ def paragraphs(text: Column) -> Column:
 
 def _runs(parts: Column, most: int) -> Column:
     """Each run of up to `most` neighbours, joined."""
-    some = F.sequence(F.lit(1), F.lit(most))
-    runs = F.transform(some, lambda n: F.transform(F.filter(F.transform(parts, lambda _, i: i), lambda i: i + n <= F.size(parts)), lambda i: F.array_join(F.slice(parts, i + 1, n), " ")))
-    return F.flatten(runs)
+
+    def of(n: int) -> Column:
+        starts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.lit(n)), " "))
+
+    return F.concat(*[of(n) for n in range(1, most + 1)])
 
 
 def units_of(text: Column) -> Column:
     """The units of a text: an array of structs kind, unit."""
     as_kind = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("unit")))
-    whole = paragraphs(text)
-    sentences = F.flatten(F.transform(whole, lambda p: _runs(F.split(p, r"(?<=[.;:!?])\s+"), SENTENCES)))
-    opening = F.slice(F.filter(F.split(text, r"\r?\n"), lambda line: F.trim(line) != ""), 1, OPENING)
-    openings = F.transform(opening, lambda _, i: F.array_join(F.slice(opening, F.lit(1), i + 1), " "))
-    return F.concat(as_kind(HEADER, F.array_distinct(F.concat(F.split(text, r"\r?\n"), whole, sentences))), as_kind(WHOLE, F.array(text)), as_kind(TITLE, openings))
+
+    def headers(whole: Column) -> Column:
+        sentences = F.transform(whole, lambda p: _bound(F.split(p, r"(?<=[.;:!?])\s+"), lambda parts: _runs(parts, SENTENCES)))
+        return F.concat(whole, F.flatten(sentences))
+
+    def openings(lines: Column) -> Column:
+        return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, F.lit(1), i + 1), " "))
+
+    def units(lines: Column) -> Column:
+        opening = F.slice(F.filter(lines, lambda line: F.trim(line) != ""), 1, OPENING)
+        every = F.array_distinct(F.concat(lines, _bound(paragraphs(text), headers)))
+        return F.concat(as_kind(HEADER, every), as_kind(WHOLE, F.array(text)), as_kind(TITLE, _bound(opening, openings)))
+
+    return _bound(F.split(text, r"\r?\n"), units)
 
 
 def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, templates, titles) -> DataFrame:
@@ -147,7 +164,7 @@ def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, templ
     Units of a path are told apart by their hash: what is equal is compared once.
     """
     made, named = vectors(n, df, templates), vectors(n, df, titles)
-    held = set().union(*(anchors(t, threshold) for t in made + named))
+    held = set().union(*(anchors(t, threshold, df) for t in made + named))
     near = units.where(F.arrays_overlap(words(F.col("unit")), F.lit(sorted(held)))).withColumn("same", F.xxhash64("unit")).dropDuplicates(["path", "kind", "same"])
     key = ["path", "kind", "same"]
     counted = near.select(*key, F.explode(words(F.col("unit"))).alias("word")).groupBy(*key, "word").agg(F.count("*").cast("double").alias("tf"))
@@ -182,7 +199,7 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
     """path, license, score, origin (header or inherited), license_dir for each row of files (path, text)."""
     files = files.select("path", "text")
     n, df = frequencies(files, (*templates, *titles))
-    held = set().union(*(anchors(t, threshold) for t in vectors(n, df, (*templates, *titles))))
+    held = set().union(*(anchors(t, threshold, df) for t in vectors(n, df, (*templates, *titles))))
     near = files.where("path is not null").where(F.arrays_overlap(words(F.col("text")), F.lit(sorted(held))))
     units = near.select("path", F.explode(units_of(F.col("text"))).alias("u")).select("path", "u.kind", "u.unit")
     # read twice, of the size of the licences found
