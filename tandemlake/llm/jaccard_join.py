@@ -84,11 +84,15 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     bins = how.bins
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bins, np.uint32)
+        # one byte a counter in the end: what a task sees more than 255 times is frequent anyhow
+        table, held = np.zeros(bins, np.uint16), 0
         for batch in batches:
             for _, found in shingle_sets(batch.column(0), how.width):
                 np.add.at(table, found & np.uint64(bins - 1), 1)
-        # one byte a counter: what a task sees more than 255 times is frequent anyhow
+                held += 1
+                if held == 65_000:
+                    np.minimum(table, 255, out=table)
+                    held = 0
         yield from tables.sent(np.minimum(table, 255, out=table).astype(np.uint8))
 
     return tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1", lambda counts: np.log2(counts + 1.0).astype(np.uint8))
