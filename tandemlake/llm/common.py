@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import checkpointed, components, shared_folder
 
-__all__ = ["ascii_lower", "checkpointed", "components", "mix", "read", "shared_folder", "shingle_sets", "signed", "stored", "text_buffers", "unit_interval", "word_count", "word_hashes"]
+__all__ = ["ascii_lower", "checkpointed", "components", "giving_back", "mix", "read", "shared_folder", "shingle_sets", "signed", "stored", "text_buffers", "unit_interval", "word_count", "word_hashes"]
 
 #: The white space that separates words, as a regular expression class and as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +50,24 @@ def unit_interval(*parts: Column | str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def giving_back(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """run, a task's work on its batches, with the memory that it used given back when it ends.
+
+    Python workers live on after a task, idle ones too; what a task leaves in their pools is missing in later stages.
+    """
+
+    @wraps(run)
+    def leaving(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim is not None:
+            trim(0)
+
+    return leaving
+
+
 # --- words and shingles over Arrow buffers -----------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)

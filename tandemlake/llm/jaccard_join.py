@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tables
-from .common import checkpointed, components, mix, shingle_sets, signed
+from .common import checkpointed, components, giving_back, mix, shingle_sets, signed
 
 WIDTH, PERCENT = 4, 85
 #: Counters of the frequency table: one byte each while they are gathered and broadcast.
@@ -66,6 +66,7 @@ def identity(shingles: np.ndarray) -> np.uint64:
 def measured(docs: DataFrame, how: Join) -> DataFrame:
     """doc_id, n_shingles, node: the set's size and identity (null for an empty one)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
@@ -83,6 +84,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     """
     bins = how.bins
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one byte a counter in the end: what a task sees more than 255 times is frequent anyhow
         table, held = np.zeros(bins, np.uint16), 0
@@ -107,6 +109,7 @@ def prefixes(docs: DataFrame, rare: np.ndarray, how: Join) -> DataFrame:
     mean = float(np.exp2(rare.astype(np.float64)).mean()) if len(rare) else 1.0
     hot = max(how.hot, math.ceil(math.log2(max(1.0, mean))) + how.apart)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # 8 bytes for each set of the task
         for batch in batches:
@@ -174,6 +177,7 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, how: Join) -> D
     texts = checkpointed(docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("__id")).select("node", "text").dropDuplicates(["node", "text"]))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import giving_back
 
 LENGTH, END_ID = 1024, 0
 SENTENCE_CUT, INNER_CUT, STEP, RUNS = 1, 12, 64, (1, 2, 4, 8)
@@ -188,6 +189,7 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     ids are little-endian unsigned 32-bit numbers. A sequence's pieces follow one another from offset 0 without a gap.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _Stream(TaskContext.get().partitionId(), how)
         end = np.array([how.end_id], np.uint32)
