@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, op1 to op10, with their SQL where SQL can express them."""
+"""Registered queries of the training-data operators, op1 to op13, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, language_id, license_scan, lm_scoring, mixing, nn_descent, packing, token_counts, url_filter
+from . import fingerprint, importance, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, mixing, nn_descent, packing, token_alignment, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dropped(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.linked(read(spark, sf_dir, "documents"))
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: the texts of benchmark."""
+    return importance.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 #: op2_source_mix and the like, by name.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op6_embedding_near_dedup, op7_url_filter, op8_license_scan, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_sequence_packing, op4_document_fingerprint, op5_lm_scoring, op6_embedding_near_dedup, op7_url_filter, op8_license_scan, op9_jaccard_join, op10_language_id, op11_line_dedup, op12_token_alignment, op13_importance_resampling)}
 
 OP2_SQL = r"""
 with d as (
@@ -108,4 +123,14 @@ select page_id, host, path, rule, pattern_rule,
        when pattern_rule is not null then 'block' else 'allow' end as verdict from j
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op7_url_filter": OP7_SQL}
+OP11_SQL = r"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
+l as (select n, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+r as (select key from k where key <> '' group by key having count(distinct n) >= 10)
+select doc_id, count(*)::bigint as n_lines, count(r.key)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (where r.key is null), '')) as kept_sha256
+from k left join r on k.key = r.key group by n, doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op7_url_filter": OP7_SQL, "op11_line_dedup": OP11_SQL}
