@@ -4,10 +4,12 @@ Scores are 2 for a match, -1 for a mismatch and -2 for a gap's letter. A semiglo
 to end and any stretch of the other, which is written twice in a row where it is a circle. A cell prefers the diagonal,
 then a gap in the second sequence, then one in the first, each only where better.
 
-With linear gap costs a row needs no loop over its cells: t is the better of diagonal and up, and the row is the running
-maximum of t + 2j, less 2j. Identities need no traceback: matches are carried along with the chosen move. The matches that
-any cell of a row has, and the letters left, bound those of the alignment: pairs that can't reach what is needed are given
-up on the way, without a change to the others.
+Cells of one antidiagonal don't depend on each other, so that a step works on an antidiagonal of all pairs at once. A cell
+is one number: its score above the preferred move above the matches on the way, so that the greatest of three numbers is
+the chosen move with its matches, and identities need no traceback.
+
+Where only identities from some value on are of interest, pairs are dismissed before that by what bounds their matches: the
+lengths, the letters that both have, and the longest common subsequence, which is found with a bit for each letter.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 
 MATCH, MISMATCH, GAP = 2, -1, -2
-#: Bits of a place and of matches beside a cell's value in one number: sequences of up to half a million letters.
-_BITS = 20
-#: Rows after which hopeless pairs are given up.
-_STRIDE = 16
+#: Bits of the matches in a cell of 32 and of 64 bits; above them two for the move, then the score.
+_NARROW, _WIDE = 12, 24
+#: Pairs bounded at once, and the share of the letters from which on their order is looked at.
+_BOUNDED, _TIGHT = 2048, 0.86
 _COMPLEMENT = str.maketrans("ACGTNacgtn", "TGCANtgcan")
 
 
@@ -35,48 +37,106 @@ def letters(seqs: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """The most matches that any alignment of each pair can have: the length of the longest common subsequence.
+
+    A bit for each letter of a, 64 in a word, is cleared where another letter of the subsequence ends; a letter of b is one
+    addition over all words.
+    """
+    out = np.zeros(len(a), np.int64)
+    one = np.uint64(1)
+    for at in range(0, len(a), _BOUNDED):
+        x, x_lengths = letters(a[at : at + _BOUNDED], 0)
+        y, _ = letters(b[at : at + _BOUNDED], 1)
+        n, words = len(x), -(-max(1, x.shape[1]) // 64)
+        kinds, code = np.unique(y, return_inverse=True)
+        code = np.ascontiguousarray(code.reshape(y.shape).T)
+        holds = np.zeros((len(kinds), words, n), np.uint64)
+        for k, kind in enumerate(kinds.tolist()):
+            held = np.zeros((n, 64 * words), np.uint8)
+            held[:, : x.shape[1]] = x == kind
+            holds[k] = np.packbits(held, axis=1, bitorder="little").view(np.uint64).T
+        open_, pair = np.full((words, n), np.iinfo(np.uint64).max, np.uint64), np.arange(n)
+        for letter in code:
+            carry = np.zeros(n, np.uint64)
+            for w in range(words):
+                row, mask = open_[w], holds[letter, w, pair]
+                part = row + (row & mask)
+                over = part < row
+                total = part + carry
+                carry = (over | (total < part)).astype(np.uint64)
+                open_[w] = total | (row & ~mask)
+        for w in range(words):
+            size = np.clip(x_lengths - 64 * w, 0, 64).astype(np.uint64)
+            inside = np.where(size >= 64, np.iinfo(np.uint64).max, (one << (size & np.uint64(63))) - one)
+            out[at : at + n] += np.bitwise_count(~open_[w] & inside)
+    return out
+
+
+def _promising(whole: list[str], stretch: list[str], need: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that may have the matches needed."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(whole, stretch, strict=True)], np.int64).reshape(-1, 2)
+    left = np.flatnonzero(sizes.min(axis=1) >= need)
+    counts = [np.array([[s.count(c) for c in "ACGTN"] for s in side], np.int64).reshape(-1, 5) for side in ([whole[k] for k in left], [stretch[k] for k in left])]
+    # other letters count as if they matched
+    other = sizes[left, 0] - counts[0].sum(axis=1)
+    left = left[np.minimum(*counts).sum(axis=1) + other >= need[left]]
+    # a sequence finds most of its letters, in order, in one twice as long: where that would do, the alignment has to tell
+    tight = (need[left] >= _TIGHT * sizes[left, 0]) | (sizes[left, 1] <= 1.75 * sizes[left, 0])
+    far = left[tight]
+    far = far[common_letters([whole[k] for k in far], [stretch[k] for k in far]) >= need[far]]
+    return np.sort(np.concatenate([left[~tight], far]))
+
+
 def semiglobal_matches(whole: list[str], stretch: list[str], need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(score, matches) of each pair: `whole` from end to end against a stretch of the other.
 
     need: the matches that are of interest for each pair; fewer may come back as -1.
     """
+    n = len(whole)
+    if need is not None:
+        score, same = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        kept = _promising(whole, stretch, need)
+        score[kept], same[kept] = semiglobal_matches([whole[k] for k in kept], [stretch[k] for k in kept])
+        return score, same
     a, a_lengths = letters(whole, 0)
     b, b_lengths = letters(stretch, 1)
-    if max(a.shape[1], b.shape[1]) >= 1 << (_BITS - 1):
+    rows, columns = a.shape[1], b.shape[1]
+    kind, bits = (np.int32, _NARROW) if rows < 1 << _NARROW else (np.int64, _WIDE)
+    if rows >= 1 << _WIDE:
         raise ValueError("sequences are too long to align")
-    n, width = len(whole), b.shape[1] + 1
-    # pairs lie side by side, so that each step works on all of them
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    slope, place = 2 * np.arange(width, dtype=np.int64)[:, None], np.arange(width, dtype=np.int64)[:, None] << _BITS
-    row, matches = np.zeros((width, n), np.int64), np.zeros((width, n), np.int64)
-    score, same, pairs = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.arange(n)
-    same[a_lengths == 0] = 0
-    for i in range(a.shape[0]):
-        equal = a[i] == b
-        t = row + GAP
-        diagonal = row[:-1] + np.where(equal, MATCH, MISMATCH)
-        better = diagonal >= t[1:]
-        m = matches.copy()
-        np.copyto(m[1:], matches[:-1] + equal, where=better)
-        np.copyto(t[1:], diagonal, where=better)
-        # one running maximum carries the cell's value, the latest place that attains it (left only where strictly
-        # better) and that place's matches
-        held = np.maximum.accumulate(((t + slope) << 2 * _BITS) + place + m, axis=0)
-        row, matches = (held >> 2 * _BITS) - slope, held & ((1 << _BITS) - 1)
-        ends = np.flatnonzero(a_lengths[pairs] == i + 1)
-        if len(ends):
-            inside = np.arange(width)[:, None] <= b_lengths[pairs[ends]]
-            last = np.where(inside, row[:, ends], np.iinfo(np.int64).min)
-            at = last.argmax(axis=0)
-            score[pairs[ends]], same[pairs[ends]] = last[at, np.arange(len(ends))], matches[at, ends]
-        if need is not None and i % _STRIDE == _STRIDE - 1:
-            left = a_lengths[pairs] - i - 1
-            open_ = np.flatnonzero((left > 0) & (matches.max(axis=0) + left >= need[pairs]))
-            if len(open_) < 0.8 * len(pairs):
-                pairs, row, matches, a, b = pairs[open_], row[:, open_], matches[:, open_], a[:, open_], b[:, open_]
-                if not len(pairs):
-                    break
-    return score, same
+    up = 1 << bits
+    move, shift = 3 << bits, bits + 2
+    equal, other, gap = kind(((MATCH - MISMATCH) << shift) + 1), kind((MISMATCH << shift) + 2 * up), kind(GAP << shift)
+    # pairs lie side by side; the second sequence backwards, as an antidiagonal meets it
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T[::-1])
+    before, last, now = (np.zeros((rows + 1, n), kind) for _ in range(3))
+    match, side = np.zeros((rows, n), bool), np.zeros((rows + 1, n), kind)
+    pair, first = np.arange(n), int(a_lengths.min(initial=0))
+    best, same = np.where(a_lengths == 0, 0, np.iinfo(kind).min), np.zeros(n, np.int64)
+    for t in range(1, rows + columns + 1):
+        before, last, now = last, now, before
+        low, high = max(1, t - columns), min(rows, t - 1)
+        k = high - low + 1
+        if k > 0:
+            cells, near = now[low : high + 1], side[: k + 1]
+            np.equal(a[low - 1 : high], b[columns - t + low : columns - t + high + 1], out=match[:k])
+            np.multiply(match[:k], equal, out=cells)
+            cells += before[low - 1 : high]
+            cells += other
+            np.add(last[low - 1 : high + 1], gap, out=near)
+            np.maximum(cells, near[1:], out=cells)
+            near[:-1] += kind(up)
+            np.maximum(cells, near[:-1], out=cells)
+            cells &= kind(~move)
+        now[0] = 0
+        if t <= rows:
+            now[t] = t * gap
+        if t >= first:
+            ends = now[np.minimum(a_lengths, min(rows, t)), pair]
+            better = (a_lengths <= t) & (t - a_lengths <= b_lengths) & (ends >> shift > best)
+            best, same = np.where(better, ends >> shift, best), np.where(better, ends & (up - 1), same)
+    return best.astype(np.int64), same
 
 
 def identities(a: list[str], b: list[str], least: float | None = None) -> tuple[np.ndarray, np.ndarray]:

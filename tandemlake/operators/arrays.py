@@ -5,12 +5,15 @@ Coordinates are 1-based and closed here: an interval's size is End - Start + 1,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
-from .graph import checkpointed
+from .graph import written
 from .running import TILE, running
+from .selection import percentiles
 
 GAP_CAP, FALLBACK_GAP = 10_000, 2_000
 #: Fewer local gaps than this leave the fallback distance.
@@ -28,16 +31,20 @@ def merge_distances(gapped: DataFrame, cap: int = GAP_CAP, fallback: int = FALLB
     """One row for each reference: the distance up to which its hits merge, and the percentiles behind it.
 
     The 95th percentile of the gaps up to the cap decides. Those percentiles keep at most cap distinct values in memory;
-    the ones over all gaps are made only for references with few local gaps.
+    the ones over all gaps are made only for references with few local gaps, by counts of ranges.
     """
     gap, local = F.col("gap"), (F.col("gap") > 0) & (F.col("gap") <= cap)
     points = (0.5, 0.75, 0.9, 0.95)
     held = gapped.groupBy("Reference").agg(
         F.count_if(gap > 0).alias("n"), F.count_if(local).alias("near"), F.percentile(F.when(local, gap), F.lit(list(points))).alias("p")
     )
+    held = written(held)  # a row for each reference
     few = held.where((F.col("near") < FEW) & (F.col("n") > 0)).select("Reference")
-    rest = gapped.where(gap > 0).join(few, "Reference", "left_semi").groupBy("Reference").agg(F.percentile(gap, F.lit(list(points))).alias("q"))
-    out = held.join(rest, "Reference", "left")
+    if few.isEmpty():
+        out = held.withColumn("q", F.lit(None).cast("array<double>"))
+    else:
+        rest = gapped.where(gap > 0).join(few, "Reference", "left_semi")
+        out = held.join(percentiles(rest, ["Reference"], "gap", points).withColumnRenamed("p", "q"), "Reference", "left")
     few_local = F.col("near") < FEW
     shown = F.when(F.col("n") == 0, None).when(few_local, F.col("q")).otherwise(F.col("p"))
     adaptive = F.ceil(F.least(F.greatest(F.col("p")[3], F.lit(1.0)), F.lit(float(cap)))).cast("long")
@@ -50,17 +57,20 @@ def merge_distances(gapped: DataFrame, cap: int = GAP_CAP, fallback: int = FALLB
     )
 
 
-def islands(gapped: DataFrame, distance: Column, keys: list[str], tile: int = TILE) -> DataFrame:
-    """gapped with island: a new one begins where the gap exceeds the distance."""
+def islands(gapped: DataFrame, distance: Column, keys: list[str], tile: int = TILE, order: Sequence[str] = ("Start", "End")) -> DataFrame:
+    """gapped with island: a new one begins where the gap exceeds the distance, or is null. order: of its rows."""
     starts = gapped.withColumn("begins", F.coalesce(F.col("gap") > distance, F.lit(True)).cast("long"))
     # of equal intervals the one that begins an island comes first
-    return running(starts, keys, "Start", ["Start", "End", F.desc("begins")], {"island": ("sum", F.col("begins"))}, tile, inclusive=True)
+    return running(starts, keys, "Start", [*order, F.desc("begins")], {"island": ("sum", F.col("begins"))}, tile, inclusive=True)
 
 
 def arrays(hits: DataFrame, min_hits: int = 1, cap: int = GAP_CAP, fallback: int = FALLBACK_GAP, tile: int = TILE) -> DataFrame:
-    """Arrays of at least min_hits hits, with the statistics of their hits."""
+    """Arrays of at least min_hits hits, with the statistics of their hits.
+
+    Medians keep an array's distinct values: lengths of hits, identities as they are printed, gaps up to the cap.
+    """
     # read by the distances and by the islands: a few numbers for each hit
-    gapped = checkpointed(gaps(hits.select(*GROUP, "Start", "End", "Strand", "Pident", "HitLength", "Bitscore"), tile))
+    gapped = written(gaps(hits.select(*GROUP, "Start", "End", "Strand", "Pident", "HitLength", "Bitscore"), tile))
     # one row for each reference
     distances = merge_distances(gapped, cap, fallback).select("Reference", "AdaptiveMergeGap_bp")
     found = islands(gapped.join(distances, "Reference"), F.col("AdaptiveMergeGap_bp"), GROUP, tile)
@@ -93,10 +103,13 @@ def regions(arrays: DataFrame, tile: int = TILE) -> DataFrame:
 
 def by_reference(arrays: DataFrame) -> DataFrame:
     size, hits = "ArraySize", "NumMonomers"
-    return arrays.groupBy("Reference").agg(
-        F.count("*").alias("NumArrays"), F.sum(size).alias("TotalArrayBp"), F.min(size).alias("MinArrayBp"), F.median(size).alias("MedianArrayBp"), F.max(size).alias("MaxArrayBp"),
-        F.sum(hits).alias("TotalMonomerHits"), F.median(hits).alias("MedianMonomersPerArray"), F.avg("MeanPident").alias("MeanPident"),
+    held = arrays.groupBy("Reference").agg(
+        F.count("*").alias("NumArrays"), F.sum(size).alias("TotalArrayBp"), F.min(size).alias("MinArrayBp"), F.max(size).alias("MaxArrayBp"),
+        F.sum(hits).alias("TotalMonomerHits"), F.avg("MeanPident").alias("MeanPident"),
     )
+    for value, name in ((size, "MedianArrayBp"), (hits, "MedianMonomersPerArray")):
+        held = held.join(percentiles(arrays, ["Reference"], value, (0.5,)).select("Reference", F.col("p")[0].alias(name)), "Reference", "left")
+    return held.select("Reference", "NumArrays", "TotalArrayBp", "MinArrayBp", "MedianArrayBp", "MaxArrayBp", "TotalMonomerHits", "MedianMonomersPerArray", "MeanPident")
 
 
 def n50(arrays: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
 from .arrays import n50
+from .graph import written
 from .intervals import overlapping
 from .running import TILE, running
+from .selection import percentiles
 
 NONE, MANY, GENOME = "Non_satDNA", "Multi_satDNA_overlap", "Complete_genome"
 
@@ -24,9 +26,9 @@ def segments(arrays: DataFrame, chromosomes: DataFrame, tile: int = TILE) -> Dat
     ).where("End >= Start")
     events = clipped.select("Chromosome", F.explode(F.array(F.struct(F.col("Start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("End") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     steps = events.groupBy("Chromosome", "e.pos").agg(F.sum("e.d").alias("d"))
-    steps = running(steps, ["Chromosome"], "pos", ["pos"], {"depth": ("sum", F.col("d"))}, tile, inclusive=True)
-    steps = running(steps, ["Chromosome"], "pos", ["pos"], {"next": ("min", F.col("pos"))}, tile, behind=True)
-    covered = steps.where("depth > 0").select("Chromosome", F.col("pos").alias("Start"), (F.col("next") - 1).alias("End"))
+    steps = running(written(steps), ["Chromosome"], "pos", ["pos"], {"depth": ("sum", F.col("d"))}, tile, inclusive=True)
+    steps = running(written(steps), ["Chromosome"], "pos", ["pos"], {"next": ("min", F.col("pos"))}, tile, behind=True)
+    covered = written(steps.where("depth > 0").select("Chromosome", F.col("pos").alias("Start"), (F.col("next") - 1).alias("End")))
     # a segment lies in an array or beside it, never across its end
     active = overlapping(covered, clipped, ["Chromosome"], closed=True)
     named = active.groupBy("Chromosome", F.col("a.Start").alias("Start"), F.col("a.End").alias("End")).agg(F.collect_set("b.Reference").alias("refs"))
@@ -53,14 +55,16 @@ def percent(part: str, whole: str) -> Column:
 
 def with_genome(composition: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """The composition with rows for all chromosomes together."""
-    genome = chromosomes.agg(F.sum("ChromosomeLengthBp").alias("ChromosomeLengthBp"))
-    all_of = composition.groupBy("Category").agg(F.sum("CoveredBp").alias("CoveredBp")).crossJoin(F.broadcast(genome))  # one row
-    rows = all_of.select(F.lit(GENOME).alias("Chromosome"), "ChromosomeLengthBp", "Category", "CoveredBp", percent("CoveredBp", "ChromosomeLengthBp").alias("PercentChromosome"))
-    return composition.unionByName(rows)
+    both = composition.groupingSets([["Chromosome", "Category"], ["Category"]], "Chromosome", "Category").agg(F.sum("CoveredBp").alias("CoveredBp"), F.grouping("Chromosome").alias("all"))
+    named = both.select(F.when(F.col("all") == 1, F.lit(GENOME)).otherwise(F.col("Chromosome")).alias("Chromosome"), "Category", "CoveredBp")
+    genome = chromosomes.agg(F.lit(GENOME).alias("Chromosome"), F.sum("ChromosomeLengthBp").alias("ChromosomeLengthBp"))
+    lengths = chromosomes.select("Chromosome", "ChromosomeLengthBp").unionByName(genome)
+    return named.join(lengths, "Chromosome").select("Chromosome", "ChromosomeLengthBp", "Category", "CoveredBp", percent("CoveredBp", "ChromosomeLengthBp").alias("PercentChromosome"))
 
 
-def _sizes(weight: str = "ArraySize") -> list[Column]:
-    return [F.median(weight).alias("MedianArrayBp"), F.avg(weight).alias("MeanArrayBp"), F.percentile(weight, F.lit(0.9)).alias("ArrayP90Bp")]
+def _sizes(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, MedianArrayBp, ArrayP90Bp."""
+    return percentiles(arrays, keys, "ArraySize", (0.5, 0.9)).select(*keys, F.col("p")[0].alias("MedianArrayBp"), F.col("p")[1].alias("ArrayP90Bp"))
 
 
 def _weighted(value: str, weight: str) -> Column:
@@ -73,8 +77,8 @@ def chromosome_metrics(arrays: DataFrame, composition: DataFrame, chromosomes: D
     largest = F.max_by(F.struct(size, "Reference", "Start", "End"), F.struct(F.col(size), F.transform(F.split("Reference", ""), lambda c: -F.ascii(c)), -F.col("Start")))
     held = arrays.groupBy("Chromosome").agg(
         F.count_distinct("Reference").alias("NumSatDNAFamilies"), F.count("*").alias("NumArrays"), F.sum(size).alias("RawSummedArrayBp"), largest.alias("l"),
-        *_sizes(), F.sum("NumMonomers").alias("TotalMonomerHits"), _weighted("MeanPident", size).alias("WeightedMeanPident"),
-    )
+        F.avg(size).alias("MeanArrayBp"), F.sum("NumMonomers").alias("TotalMonomerHits"), _weighted("MeanPident", size).alias("WeightedMeanPident"),
+    ).join(_sizes(arrays, ["Chromosome"]), "Chromosome", "left")
     covered = composition.groupBy("Chromosome").agg(
         F.coalesce(F.sum(F.when(F.col("Category") != NONE, F.col("CoveredBp"))), F.lit(0)).alias("UnionSatDNABp"),
         F.coalesce(F.sum(F.when(F.col("Category") == MANY, F.col("CoveredBp"))), F.lit(0)).alias("MultiSatDNAOverlapBp"),
@@ -101,9 +105,9 @@ def reference_metrics(arrays: DataFrame, chromosomes: DataFrame) -> DataFrame:
     keys, size = ["Chromosome", "Reference"], "ArraySize"
     largest = F.max_by(F.struct(size, "Start", "End"), F.struct(F.col(size), -F.col("Start")))
     held = arrays.groupBy(*keys).agg(
-        F.count("*").alias("NumArrays"), F.sum(size).alias("TotalArrayBpRaw"), largest.alias("l"), *_sizes(), F.sum("NumMonomers").alias("TotalMonomerHits"),
+        F.count("*").alias("NumArrays"), F.sum(size).alias("TotalArrayBpRaw"), largest.alias("l"), F.avg(size).alias("MeanArrayBp"), F.sum("NumMonomers").alias("TotalMonomerHits"),
         _weighted("MeanPident", size).alias("MeanPidentWeightedByArrayBp"),
-    )
+    ).join(_sizes(arrays, keys), keys, "left")
     out = held.join(n50(arrays, keys), keys, "left").join(chromosomes, "Chromosome")
     return out.select(
         "Chromosome", "ChromosomeLengthBp", "Reference", "NumArrays", "TotalArrayBpRaw", percent("TotalArrayBpRaw", "ChromosomeLengthBp").alias("RawPercentChromosome"),
@@ -114,11 +118,11 @@ def reference_metrics(arrays: DataFrame, chromosomes: DataFrame) -> DataFrame:
 
 def satellitome(arrays: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Summed array sizes of each reference on each chromosome and on all, zeros included, with shares and ranks."""
-    held = arrays.groupBy("Chromosome", "Reference").agg(F.sum("ArraySize").alias("TotalArrayBp"))
-    genome = held.groupBy("Reference").agg(F.sum("TotalArrayBp").alias("TotalArrayBp")).select(F.lit(GENOME).alias("Chromosome"), "Reference", "TotalArrayBp")
+    both = arrays.groupingSets([["Chromosome", "Reference"], ["Reference"]], "Chromosome", "Reference").agg(F.sum("ArraySize").alias("TotalArrayBp"), F.grouping("Chromosome").alias("all"))
+    held = written(both.select(F.when(F.col("all") == 1, F.lit(GENOME)).otherwise(F.col("Chromosome")).alias("Chromosome"), "Reference", "TotalArrayBp"))  # a row for each cell
     places = chromosomes.select("Chromosome").unionByName(chromosomes.limit(1).select(F.lit(GENOME).alias("Chromosome")))
-    grid = places.crossJoin(arrays.select("Reference").distinct())  # chromosomes by references, the result's own size
-    full = grid.join(held.unionByName(genome), ["Chromosome", "Reference"], "left").na.fill(0, ["TotalArrayBp"])
+    grid = places.crossJoin(held.select("Reference").distinct())  # chromosomes by references, the result's own size
+    full = grid.join(held, ["Chromosome", "Reference"], "left").na.fill(0, ["TotalArrayBp"])
     each = Window.partitionBy("Chromosome")
     full = full.withColumn("TotalSatellitomeBpRaw", F.sum("TotalArrayBp").over(each))
     rank = F.row_number().over(each.orderBy(F.desc("TotalArrayBp"), natural_key(F.col("Reference")), "Reference"))

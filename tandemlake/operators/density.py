@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import gc_fraction
 from .arrays import islands
+from .graph import written
 from .running import TILE, running
+from .selection import percentiles
 
 MERGE_GAP, BIN, TOP = 2_000, 100_000, 10
 
@@ -16,17 +18,30 @@ def merged_runs(hits: DataFrame, gap: int = MERGE_GAP, tile: int = TILE) -> Data
     """Hits merged with the one before if it has the same reference and ends at most gap before: a hit of another
     reference in between breaks the run. Chromosome, Start, End, Reference.
 
-    Runs, then the pieces that they are cut into, are numbered over tiles of positions, so that no chromosome is one task's.
+    Runs and their farthest ends are made within tiles of positions; a row for each tile tells whether its first run goes
+    on an earlier one, and how far that reaches.
     """
     order = ["Start", "Reference", "End"]
-    last = F.struct("Start", "Reference", "End")
-    along = running(hits.select("Chromosome", "Start", "End", "Reference"), ["Chromosome"], "Start", order, {"prev": ("max", last)}, tile)
-    along = along.withColumn("changed", F.coalesce(F.col("Reference") != F.col("prev.Reference"), F.lit(True)).cast("long")).drop("prev")
-    # of equal hits the one that begins a run comes first, as their order is the same
-    runs = running(along, ["Chromosome"], "Start", [*order, F.desc("changed")], {"run": ("sum", F.col("changed"))}, tile, inclusive=True)
-    ended = running(runs, ["Chromosome", "run"], "Start", order, {"far": ("max", F.col("End"))}, tile).withColumn("gap", F.col("Start") - F.col("far"))
-    pieces = islands(ended.drop("changed"), F.lit(gap), ["Chromosome", "run"], tile)
-    return pieces.groupBy("Chromosome", "Reference", "run", "island").agg(F.min("Start").alias("Start"), F.max("End").alias("End")).select("Chromosome", "Start", "End", "Reference")
+    along = Window.partitionBy("Chromosome", "tile").orderBy(*order)
+    tiled = hits.select("Chromosome", "Start", "End", "Reference", F.floor(F.col("Start") / tile).alias("tile"))
+    changed = (F.col("Reference") != F.lag("Reference").over(along)).cast("int")  # null for a tile's first hit
+    local = tiled.withColumn("changed", changed).withColumn("run", F.coalesce(F.sum("changed").over(along), F.lit(0)))
+    # runs are numbered upwards: the greatest (run, End) before has the farthest end of the latest run
+    local = written(local.withColumn("before", F.max(F.struct("run", "End")).over(along.rowsBetween(Window.unboundedPreceding, -1))))
+    place = F.struct(*order)
+    tiles = local.groupBy("Chromosome", "tile").agg(F.min_by("Reference", place).alias("first"), F.max_by("Reference", place).alias("last"), F.max(F.struct("run", "End")).alias("open"))
+    over = Window.partitionBy("Chromosome").orderBy("tile")
+    begins = (F.coalesce(F.col("first") != F.lag("last").over(over), F.lit(True))).cast("int")
+    tiles = tiles.withColumn("begins", begins).withColumn("runs", F.sum(F.col("begins") + F.col("open.run")).over(over))
+    carried = F.max(F.struct("runs", F.col("open.End").alias("End"))).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    tiles = tiles.select("Chromosome", "tile", "begins", carried["End"].alias("carried"))
+    rows = local.join(tiles, ["Chromosome", "tile"])
+    goes_on = (F.col("run") == 0) & (F.col("begins") == 0)
+    near = F.when(F.col("before.run") == F.col("run"), F.col("before.End"))
+    far = F.when(goes_on, F.greatest(near, F.col("carried"))).otherwise(near)
+    rows = rows.select("Chromosome", "Start", "End", "Reference", (F.col("Start") - far).alias("gap"))
+    pieces = islands(rows, F.lit(gap), ["Chromosome"], tile, ["Start", "Reference", "End"])
+    return pieces.groupBy("Chromosome", "Reference", "island").agg(F.min("Start").alias("Start"), F.max("End").alias("End")).select("Chromosome", "Start", "End", "Reference")
 
 
 def merged_by_reference(hits: DataFrame, gap: int = MERGE_GAP, tile: int = TILE) -> DataFrame:
@@ -87,7 +102,9 @@ def gc_track(contigs: DataFrame, bin: int = BIN) -> DataFrame:
 
 def plot_track(track: DataFrame) -> DataFrame:
     """A GC track with GC_plot: missing values take the median, all are scaled to 0 to 1."""
-    middle = track.agg(F.percentile("GC_fraction", F.lit(0.5)).alias("mid"), F.min("GC_fraction").alias("lo"), F.max("GC_fraction").alias("hi"))
+    half = percentiles(track, [], "GC_fraction", (0.5,)).select(F.col("p")[0].alias("mid"))
+    ends = track.agg(F.min("GC_fraction").alias("lo"), F.max("GC_fraction").alias("hi"))
+    middle = ends.join(half, how="left")  # one row each
     filled = track.crossJoin(F.broadcast(middle))  # one row
     scaled = (F.coalesce("GC_fraction", "mid") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return filled.select("Chromosome", "Start", "End", "GC_fraction", F.greatest(F.least(F.coalesce(scaled, F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("GC_plot"))

@@ -24,15 +24,13 @@ def running(df: DataFrame, keys: list[str], position: str, order: list[Column |
     functions = {"max": F.max, "min": F.min, "sum": F.sum}
     mark = "".join(sorted(df.columns, key=len)[-1:]) + "_"  # longer than any column's name
     tiled = df.withColumn(f"{mark}tile", F.floor(F.col(position) / tile))
-    if behind:
-        frame = (0 if inclusive else 1, Window.unboundedFollowing)
-        far = (1, Window.unboundedFollowing)
-    else:
-        frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-        far = (Window.unboundedPreceding, -1)
-    near = Window.partitionBy(*keys, f"{mark}tile").orderBy(*order).rowsBetween(*frame)
+    # what lies behind comes before in falling order: a frame that ends at the row is kept up, one that begins there is
+    # made anew for each row
+    turned = (lambda c: (F.col(c) if isinstance(c, str) else c).desc()) if behind else (lambda c: c)
+    frame, far = (Window.unboundedPreceding, 0 if inclusive else -1), (Window.unboundedPreceding, -1)
+    near = Window.partitionBy(*keys, f"{mark}tile").orderBy(*map(turned, order)).rowsBetween(*frame)
     tiles = tiled.groupBy(*keys, f"{mark}tile").agg(*[functions[kind](what).alias(f"{mark}{name}") for name, (kind, what) in out.items()])
-    over = Window.partitionBy(*keys).orderBy(f"{mark}tile").rowsBetween(*far)
+    over = Window.partitionBy(*keys).orderBy(turned(f"{mark}tile")).rowsBetween(*far)
     tiles = tiles.select(*keys, f"{mark}tile", *[functions[kind](f"{mark}{name}").over(over).alias(f"{mark}far_{name}") for name, (kind, _) in out.items()])
     placed = tiled.select("*", *[functions[kind](what).over(near).alias(f"{mark}near_{name}") for name, (kind, what) in out.items()])
     joined = placed.join(tiles, [*keys, f"{mark}tile"])

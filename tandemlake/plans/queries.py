@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequences
 from ..operators import arrays, composition, density, families, kmers, motifs, synteny
-from ..operators.graph import checkpointed, shared_folder
+from ..operators.graph import shared_folder, written
 from ..sources import readers, writers
 from ..sources.readers import valid_hits
 from . import views
@@ -78,7 +78,7 @@ def summary_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrays.regions(checkpointed(_arrays(spark, sf_dir)))
+    return arrays.regions(written(_arrays(spark, sf_dir)))
 
 
 @query
@@ -105,7 +105,7 @@ def chromosome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composition.segments(checkpointed(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir))
+    return composition.segments(written(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir))
 
 
 @query
@@ -114,7 +114,7 @@ def nonoverlap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composition.composition(checkpointed(_segments(spark, sf_dir)), views.chromosomes(spark, sf_dir))
+    return composition.composition(written(_segments(spark, sf_dir)), views.chromosomes(spark, sf_dir))
 
 
 @query
@@ -124,24 +124,24 @@ def composition_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def composition_with_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composition.with_genome(checkpointed(_composition(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
+    return rounded(composition.with_genome(written(_composition(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
 
 
 @query
 def chromosome_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chromosomes, held = views.chromosomes(spark, sf_dir), checkpointed(_arrays(spark, sf_dir))
-    made = checkpointed(composition.composition(composition.segments(held, chromosomes), chromosomes))
+    chromosomes, held = views.chromosomes(spark, sf_dir), written(_arrays(spark, sf_dir))
+    made = written(composition.composition(composition.segments(held, chromosomes), chromosomes))
     return rounded(composition.chromosome_metrics(held, made, chromosomes))
 
 
 @query
 def chromosome_reference_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composition.reference_metrics(checkpointed(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
+    return rounded(composition.reference_metrics(written(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
 
 
 @query
 def satellitome_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composition.satellitome(checkpointed(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
+    return rounded(composition.satellitome(written(_arrays(spark, sf_dir)), views.chromosomes(spark, sf_dir)))
 
 
 @query
@@ -238,13 +238,13 @@ def sat_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sat_nearest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = synteny.nearest(_repeats(spark, sf_dir), checkpointed(_blocks(spark, sf_dir)))
+    found = synteny.nearest(_repeats(spark, sf_dir), written(_blocks(spark, sf_dir)))
     return found.select("Chromosome", "Start", "End", "family", "species", "dist", "block")
 
 
 @query
 def synteny_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(synteny.summary(_repeats(spark, sf_dir), checkpointed(_blocks(spark, sf_dir)), FAR))
+    return rounded(synteny.summary(_repeats(spark, sf_dir), written(_blocks(spark, sf_dir)), FAR))
 
 
 @query
@@ -324,8 +324,8 @@ def motif_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(distinct monomers, scores of those that reach the families' threshold)."""
-    once = checkpointed(families.classes(views.monomers(spark, sf_dir)))
-    return once, checkpointed(families.pair_scores(kmers.similar_lengths(once, families.THRESHOLD), once, families.THRESHOLD))
+    once = written(families.classes(views.monomers(spark, sf_dir)))
+    return once, written(families.pair_scores(kmers.similar_lengths(once, families.THRESHOLD), once, families.THRESHOLD))
 
 
 @query
@@ -352,9 +352,9 @@ def _strict(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """(scores, families of all monomers, their strict groups)."""
     once, scores = _scores(spark, sf_dir)
     monomers = views.monomers(spark, sf_dir)
-    held = checkpointed(families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores))
+    held = written(families.families(once.withColumn("id", F.col("seq_idx").cast("string")), scores=scores))
     strict = families.strict_families(scores, _shared(spark, sf_dir), held)
-    return scores, families.families(monomers, scores=scores), checkpointed(families.strict_members(monomers, once, strict))
+    return scores, families.families(monomers, scores=scores), written(families.strict_members(monomers, once, strict))
 
 
 @query
@@ -372,18 +372,18 @@ def rescue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over all pairs of a family, which chains of links leave to be scored."""
     once, scores = _scores(spark, sf_dir)
-    held = checkpointed(families.families(views.monomers(spark, sf_dir), scores=scores))
-    inner = checkpointed(held.where("family_size > 1").join(once.select("seq_idx"), "seq_idx", "left_semi").select("seq_idx", "family"))
+    held = written(families.families(views.monomers(spark, sf_dir), scores=scores))
+    inner = written(held.where("family_size > 1").join(once.select("seq_idx"), "seq_idx", "left_semi").select("seq_idx", "family"))
     pairs = inner.select(F.col("seq_idx").alias("i"), "family").join(inner.select(F.col("seq_idx").alias("j"), "family"), "family").where("j < i")
-    return families.medoids(checkpointed(families.pair_scores(pairs, once)), held)
+    return families.medoids(written(families.pair_scores(pairs, once)), held)
 
 
 def _superfamily_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     monomers = views.monomers(spark, sf_dir)
-    shared = checkpointed(_shared(spark, sf_dir))
-    # one direction may reach the threshold up to a length ratio of threshold / 2
-    scores = checkpointed(families.pair_scores(shared, monomers, families.THRESHOLD, both_ways=False))
-    return checkpointed(families.superfamily_links(scores, shared, _families(spark, sf_dir)))
+    once = written(families.classes(monomers))
+    candidates = written(families.class_pairs(_shared(spark, sf_dir), families.classed(monomers, once)))
+    scores = written(families.link_scores(monomers, once, candidates))
+    return written(families.superfamily_links(families.member_scores(scores, candidates), families.families(monomers, scores=scores)))
 
 
 @query
@@ -398,14 +398,14 @@ def superfamily_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frame_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monomers, held = views.monomers(spark, sf_dir), checkpointed(_families(spark, sf_dir))
+    monomers, held = views.monomers(spark, sf_dir), written(_families(spark, sf_dir))
     return rounded(families.alignment_summary(families.frames(monomers, held), held, monomers))
 
 
 @query
 def anchored_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monomers, held = views.monomers(spark, sf_dir), checkpointed(_families(spark, sf_dir))
-    return families.anchored(checkpointed(families.frames(monomers, held)), monomers)
+    monomers, held = views.monomers(spark, sf_dir), written(_families(spark, sf_dir))
+    return families.anchored(written(families.frames(monomers, held)), monomers)
 
 
 @query
