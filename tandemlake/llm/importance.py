@@ -24,8 +24,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
-from operator import eq, getitem
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +39,7 @@ from .tables import PART, PARTS, sent, summed
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _NOT_WORD = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 #: Bytes of text whose words are made at once, and n-grams interned at once.
-SLICE, OCCURRENCES = 1 << 20, 1 << 17
+SLICE, OCCURRENCES = 1 << 20, 1 << 15
 #: Ids of a tile in which ties are ranked.
 TILE = 1 << 20
 _LAST = (1 << 63) - 1
@@ -64,21 +62,21 @@ class Interned:
     def __init__(self, grams: list[bytes], buckets: int, digest=xxhash.xxh64_intdigest):
         n = len(grams)
         size = 1 << max(4, (2 * n - 1).bit_length())
-        keys = np.fromiter(map(digest, grams), np.uint64, n)
+        keys, bytes_ = np.fromiter(map(digest, grams), np.uint64, n), np.empty(n, object)
+        bytes_[:] = grams
         owner, self.slots = np.full(size, -1, np.int64), np.zeros(n, np.int64)
-        at, pending = (keys & np.uint64(size - 1)).astype(np.int64), np.arange(n)
+        place, pending = (keys & np.uint64(size - 1)).astype(np.int64), np.arange(n)
         while len(pending):
-            place = at[pending]
-            free = owner[place] < 0
-            owner[place[free]] = pending[free]  # of several that want a slot one stays; equal ones find themselves in it
             held = owner[place]
-            same = keys[held] == keys[pending]
-            near = np.flatnonzero(same)
-            mine, its = pending[near].tolist(), held[near].tolist()
-            same[near] = np.fromiter(map(eq, map(getitem, repeat(grams), mine), map(getitem, repeat(grams), its)), bool, len(near))
+            free = np.flatnonzero(held < 0)
+            owner[place[free]] = pending[free]  # of several that want a slot one stays; equal ones find themselves in it
+            held[free] = owner[place[free]]
+            same = held == pending
+            near = np.flatnonzero(~same & (keys[held] == keys[pending]))
+            same[near] = bytes_[held[near]] == bytes_[pending[near]]
             self.slots[pending[same]] = place[same]
-            pending = pending[~same]
-            at[pending] = (at[pending] + 1) & (size - 1)
+            rest = np.flatnonzero(~same)
+            pending, place = pending[rest], (place[rest] + 1) & (size - 1)
         used = np.flatnonzero(owner >= 0)
         self.count = np.bincount(self.slots, minlength=size)
         self.bucket = np.zeros(size, np.int64)
