@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import motif_label, species_code
+from .graph import written
+from .running import running
 
 SIMILARITY = 0.6
 
@@ -57,10 +59,9 @@ def scan(reads: DataFrame, motif: str, similarity: float = SIMILARITY) -> DataFr
 def numbered(motifs: DataFrame) -> DataFrame:
     """motifs with motif_no, counted within each library in order of reads and offsets, and its label; then only those of
     A, C, G and T. Motifs of one read are numbered behind those of earlier reads."""
-    # one row for each read, not each motif, in the window over a library
-    reads = motifs.groupBy("library", "read_idx").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("library").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, -1)
-    reads = reads.select("library", "read_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # one row for each read, not each motif, summed over tiles of reads
+    reads = written(motifs.groupBy("library", "read_idx").agg(F.count("*").alias("n")))
+    reads = running(reads, ["library"], "read_idx", ["read_idx"], {"before": ("sum", F.col("n"))}).select("library", "read_idx", "before")
     inner = F.row_number().over(Window.partitionBy("library", "read_idx").orderBy("offset"))
     out = motifs.withColumn("k", inner).join(reads, ["library", "read_idx"]).withColumn("motif_no", F.col("before") + F.col("k"))
     return out.where(F.upper("motif").rlike("^[ACGT]*$")).select("library", "read_idx", "offset", "motif_no", "motif", motif_label(F.col("library"), F.col("motif_no")).alias("motif_id"))

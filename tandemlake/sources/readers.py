@@ -2,29 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.names import first_word
-from ..functions.sequences import clean
+from ..functions.sequences import clean, strict_clean
+from ..operators.graph import written
+
+
+#: Splits of files, some 100 bytes each, up to which their table is broadcast.
+BROADCAST_SPLITS = 1_000_000
+#: What makes a record's body a sequence, by mode: letters to be kept once they are upper case, or anything.
+LETTERS = {"clean": "[ACGTNU]", "strict": "[ACGTN]", "raw": r"\S"}
 
 
-def fasta(spark: SparkSession, path: str | list[str], cleaned: bool = True) -> DataFrame:
-    """file, record, header, id, seq, len of each record that has letters, in the files' order.
+def lines(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """file, at (where the row's split of the file begins), value: the lines of text files, in the order of each split."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
 
-    Records are split at line starts with `>`, so that a file is read in parts; record is a number that grows along a
-    file. cleaned: upper case, U as T, A, C, G, T and N only; else lines are only joined.
+
+def numbered(rows: DataFrame, across: bool = False) -> DataFrame:
+    """rows of lines(), filtered perhaps, with number: 0, 1, 2... along each file, or along all in order of their paths.
+
+    A row's number is its place in its split and the rows of the splits before: the files are read once more to count
+    rows, a split a row of the count, and no file is gathered in one task. What is filtered afterwards keeps its number.
+    """
+    placed = rows.withColumn("__n", F.monotonically_increasing_id())
+    splits = written(placed.groupBy("file", "at").agg(F.min("__n").alias("__first"), F.count("*").alias("__rows")))
+    earlier = (Window.orderBy("file", "at") if across else Window.partitionBy("file").orderBy("at")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = splits.select("file", "at", "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    if splits.count() <= BROADCAST_SPLITS:
+        heads = F.broadcast(heads)
+    number = (F.col("__before") + F.col("__n") - F.col("__first")).cast("long")
+    return placed.join(heads, ["file", "at"]).select(*rows.columns, number.alias("number"))
+
+
+def fasta(spark: SparkSession, path: str | list[str], cleaned: bool = True, mode: str | None = None, wanted: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """file, record, header, id, seq, len of each record that has letters; record counts along a file.
+
+    Records are split at line starts with `>`, so that a file is read in parts. mode: clean (upper case, U as T, A, C, G, T
+    and N only), strict (the same, but U goes) or raw (lines are only joined); cleaned=False is raw. wanted: ids, or a
+    table of them (id), of the records to be kept; others are counted, but neither cleaned nor joined.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    raw = rows.select(place.alias("p"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"^>", "").alias("text")).where(F.trim("text") != "")
-    header = F.regexp_extract("text", r"^([^\r\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("text", r"^[^\n]*\n?", ""), r"\s", "")
-    seq = clean(body) if cleaned else body
-    out = raw.select(F.col("p.file").alias("file"), "n", header.alias("header"), first_word(header).alias("id"), seq.alias("seq")).where(F.length("seq") > 0)
-    order = Window.partitionBy("file").orderBy("n")
-    return out.select("file", (F.row_number().over(order) - 1).cast("long").alias("record"), "header", "id", "seq", F.length("seq").cast("long").alias("len"))
+    mode = mode or ("clean" if cleaned else "raw")
+    make = {"clean": clean, "strict": strict_clean, "raw": lambda seq: seq}[mode]
+    text = F.regexp_replace("value", r"^>", "")
+    body = F.regexp_replace(text, r"^[^\n]*\n?", "")
+    header = F.regexp_extract(text, r"^([^\r\n]*)", 1)
+    rows = numbered(lines(spark, path, "\n>").where((body if mode == "raw" else F.upper(body)).rlike(LETTERS[mode])))
+    rows = rows.select("file", F.col("number").alias("record"), header.alias("header"), first_word(header).alias("id"), body.alias("body"))
+    if isinstance(wanted, DataFrame):
+        rows = rows.join(wanted.select("id"), "id", "left_semi")
+    elif wanted is not None:
+        rows = rows.where(F.col("id").isin(list(wanted)))
+    out = rows.select("file", "record", "header", "id", make(F.regexp_replace("body", r"\s", "")).alias("seq"))
+    return out.select("*", F.length("seq").cast("long").alias("len"))
+
+
+def single_record(spark: SparkSession, path: str) -> str:
+    """The letters of a file's first record, lines joined: a reference sequence."""
+    rows = fasta(spark, path, mode="raw").where("record = 0").limit(1).collect()  # one row
+    if not rows:
+        raise ValueError(f"{path} has no sequence")
+    return rows[0]["seq"]
 
 
 def first_records(sequences: DataFrame, n: int) -> DataFrame:
@@ -40,10 +84,9 @@ def reads(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """library, read_idx, seq of four-line records: the second line of each."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    numbered = lines.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1)
+    rows = numbered(lines(spark, path)).where(F.col("number") % 4 == 1)
     library = F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return numbered.where(F.col("k") % 4 == 1).select(library.alias("library"), F.floor(F.col("k") / 4).cast("long").alias("read_idx"), F.trim("value").alias("seq"))
+    return rows.select(library.alias("library"), F.floor(F.col("number") / 4).cast("long").alias("read_idx"), F.trim("value").alias("seq"))
 
 
 def stranded(rows: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -81,20 +124,23 @@ def valid_hits(hits: DataFrame, min_pident: float = 0.0) -> DataFrame:
     return kept.where(F.col("Pident") >= min_pident) if min_pident > 0 else kept
 
 
-def bed4(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=schemas.BED4)
+def bed4(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """Chromosome, Start, End, Reference. strict: only lines of exactly four fields."""
+    if not strict:
+        return spark.read.csv(path, sep="\t", schema=schemas.BED4)
+    fields = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") == 4)
+    return fields.select(F.col("f")[0].alias("Chromosome"), F.col("f")[1].try_cast("long").alias("Start"), F.col("f")[2].try_cast("long").alias("End"), F.col("f")[3].alias("Reference"))
 
 
 def gene_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Chromosome, Start, End, gene, order from lines of four or more fields; others are skipped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("order"), F.split(F.trim("value"), r"\s+").alias("f"))
-    return lines.where(F.size("f") >= 4).select(F.col("f")[0].alias("Chromosome"), F.col("f")[1].cast("long").alias("Start"), F.col("f")[2].cast("long").alias("End"), F.col("f")[3].alias("gene"), "order")
+    """Chromosome, Start, End, gene, order (along all files) from lines of four or more fields; others are skipped."""
+    rows = numbered(lines(spark, path), across=True).select(F.col("number").alias("order"), F.split(F.trim("value"), r"\s+").alias("f"))
+    return rows.where(F.size("f") >= 4).select(F.col("f")[0].alias("Chromosome"), F.col("f")[1].cast("long").alias("Start"), F.col("f")[2].cast("long").alias("End"), F.col("f")[3].alias("gene"), "order")
 
 
-def anchors(spark: SparkSession, path: str, start: int = 0, end: int = 1) -> DataFrame:
-    """line_no, g_start, g_end: the genes in the given fields; lines count from 0, short and blank ones too."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    fields = lines.select(F.col("line_no").cast("long").alias("line_no"), F.split(F.trim("line"), r"\s+").alias("f"))
+def anchors(spark: SparkSession, path: str | list[str], start: int = 0, end: int = 1) -> DataFrame:
+    """line_no, g_start, g_end: the genes in the given fields; a file's lines count from 0, short and blank ones too."""
+    fields = numbered(lines(spark, path)).select(F.col("number").alias("line_no"), F.split(F.trim("value"), r"\s+").alias("f"))
     return fields.where(F.size("f") >= max(4, start + 1, end + 1)).select("line_no", F.col("f")[start].alias("g_start"), F.col("f")[end].alias("g_end"))
 
 
