@@ -2,7 +2,11 @@
 
 Both write a text as bytes without a gap. Where tokens of both end at one byte the tokens before it make a group; tokens
 whose bytes overlap are linked. Between two neighbouring ends of any token lies exactly one linked pair, so that links need
-no search: with all documents' tokens in a row, they are the sorted union of both lists of ends.
+no search: they are the sorted union of both lists of ends.
+
+No token of either kind reaches over a space behind other characters, and neither tokenizer looks across it. A text is cut
+there into chunks, a word each as a rule, which are encoded and aligned by themselves; a worker remembers those it has met.
+The tests hold chunks against whole texts.
 
 A pair of ids is counted by the documents that hold it linked. The first pass aligns documents and keeps each task's pairs
 with their numbers, by shard. The distinct pairs get a minimal perfect hash; the numbers become dense vectors indexed by
@@ -12,15 +16,17 @@ and joined by shuffles, and documents meet their sums by their texts' digests.
 
 Defined results: null and empty texts, and those whose tokens' bytes aren't a space and the text (characters that a
 tokenizer rewrites), have no tokens: zeros and an empty string. A document is a row, also if its id repeats. Special
-tokens' strings are text like any other. A very long text is encoded whole, in one worker. An empty table gives an empty
-result. Further columns are not read.
+tokens' strings are text like any other. A very long text is worked on chunk by chunk, one without spaces whole. An empty
+table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,12 @@ from .tables import PART, PARTS, sent, summed
 from .tokens import encode_ordinary, fast_library
 
 PIECES = "piece_bpe_32k.model"
-#: Bytes of text aligned at once, pairs that a task holds before it adds equal ones, and pairs that are broadcast.
-SLICE, HELD, MOST_PAIRS = 1 << 20, 1 << 20, 1 << 24
+#: Pairs that a task holds before it adds equal ones, and pairs that are broadcast.
+HELD, MOST_PAIRS = 1 << 20, 1 << 24
+#: Chunks that a worker remembers, and their characters; then it begins anew.
+KNOWN, KNOWN_BYTES = 1 << 18, 1 << 24
+#: Characters of the texts looked at together, and new chunks encoded together.
+SLICE, TOGETHER = 1 << 20, 4096
 #: A pair of ids as one number: the first id above these bits.
 BITS = 16
 
@@ -62,68 +72,157 @@ def _lengths() -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(t) for t in a]), np.array([len(t) for t in b])
 
 
-def encoded(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids of both tokenizers, None without tokens."""
-    if not text:
-        return None
+#: A space with what follows, up to the next space behind other characters; white space at the end is the last chunk's.
+CHUNK = re.compile(r"(?: \s*)\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?")
+
+
+#: White space before a space: the space doesn't begin a chunk.
+_RUNS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+
+
+def chunks(text: str) -> list[str]:
+    """A space and the text, cut where neither tokenizer looks across; each chunk without the space that it begins with."""
     whole = " " + text
-    first, second = vocabularies()
-    a, b = encode_ordinary(whole), pieces().encode(text)
-    raw = whole.encode()
-    if b"".join(map(first.__getitem__, a.tolist())) != raw or b"".join(map(second.__getitem__, b)) != raw:
-        return None
-    return a.astype(np.int64), np.array(b, np.int64)
+    if not text[-1:].isspace() and not any(run in whole for run in _RUNS):
+        return text.split(" ")
+    return [c[1:] for c in CHUNK.findall(whole)] if whole.strip() else [text]
+
+
+@lru_cache(maxsize=1)
+def _written() -> np.ndarray:
+    """Each number in decimal, padded with zero bytes, before each of the separators."""
+    n = max(map(len, vocabularies()))
+    return np.array([[f"{i}{s}".encode() for i in range(n)] for s in (",", "|", ";", "")], "S7")
 
 
 @dataclass
 class Aligned:
-    """Some documents' tokens in a row: ids and ends of both, where documents end, and the links."""
-
-    rows: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-    a_ends: np.ndarray
-    b_ends: np.ndarray
-    #: Ends of the documents in bytes.
-    ends: np.ndarray
-    #: Both ids of each link as one number, and its document's place in rows.
+    """Some chunks' tokens of both, groups and links, linked pairs (both ids as one number), and their ids as _written()."""
+
+    sizes: np.ndarray
     pairs: np.ndarray
-    docs: np.ndarray
-
-
-def aligned(column: pa.Array, held: int = SLICE) -> Iterator[Aligned]:
-    """The documents of a text column that have tokens, a slice at a time."""
-    rows: list[int] = []
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    size: list[int] = []
-
-    def made() -> Aligned:
-        x, y = np.concatenate(a), np.concatenate(b)
-        x_ends, y_ends = np.cumsum(_lengths()[0][x]), np.cumsum(_lengths()[1][y])
-        ends = np.cumsum(size)
-        every = np.union1d(x_ends, y_ends)
-        pairs = (x[np.searchsorted(x_ends, every)] << BITS) | y[np.searchsorted(y_ends, every)]
-        return Aligned(np.array(rows), x, y, x_ends, y_ends, ends, pairs, np.searchsorted(ends, every))
-
-    for row, text in enumerate(column):
-        ids = encoded(text.as_py())
-        if ids is None:
-            continue
-        rows.append(row)
-        a.append(ids[0])
-        b.append(ids[1])
-        size.append(int(_lengths()[0][ids[0]].sum()))
-        if sum(size) >= held:
-            yield made()
-            rows, a, b, size = [], [], [], []
-    if rows:
-        yield made()
-
-
-def once_a_document(found: Aligned) -> np.ndarray:
-    """The pairs that each document links, each once."""
-    return np.unique((found.docs << 32) | found.pairs) & 0xFFFFFFFF
+    codes: np.ndarray
+
+
+def align(group: list[str]) -> Aligned | None:
+    """Chunks aligned as one text; None if the tokens' bytes aren't the chunks'."""
+    first, second = vocabularies()
+    whole = " " + " ".join(group)
+    a, b = encode_ordinary(whole).astype(np.int64), np.array(pieces().encode(whole[1:]), np.int64)
+    raw = whole.encode()
+    if b"".join(map(first.__getitem__, a.tolist())) != raw or b"".join(map(second.__getitem__, b.tolist())) != raw:
+        return None
+    ends = np.cumsum([len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in group])
+    a_ends, b_ends = np.cumsum(_lengths()[0][a]), np.cumsum(_lengths()[1][b])
+    every = np.concatenate([a_ends, b_ends])
+    every.sort(kind="stable")  # two runs
+    twice = every[1:] == every[:-1]
+    common, every = every[1:][twice], every[np.append(True, ~twice)]
+    pairs = (a[np.searchsorted(a_ends, every)] << BITS) | b[np.searchsorted(b_ends, every)]
+    upto = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, common, every)]
+    # a group's own tokens of the first kind come first, then those of the second
+    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    ids, sign = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+    a_at, b_at = np.arange(len(a)) + np.searchsorted(b_group, a_group), np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
+    ids[a_at], sign[a_at] = a, common[a_group] == a_ends
+    ids[b_at], sign[b_at] = b, 2 * (common[b_group] == b_ends)
+    behind = upto[0] + upto[1]
+    sign[behind - 1] = 3  # nothing behind a chunk's last
+    counts = [np.diff(u, prepend=0) for u in upto]
+    return Aligned(np.stack(counts, axis=1), pairs, (sign * len(_written()[0]) + ids).astype(np.int32))
+
+
+def _ranges(ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places from ends[n] to ends[n + 1] of each number, how many those are)."""
+    many = ends[numbers + 1] - ends[numbers]
+    upto = np.cumsum(many)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends[numbers] - upto + many, many), many
+
+
+class _Numbers(dict):
+    """Chunks with their numbers; one that is asked for and unknown gets the next."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        return number
+
+
+def _aligned(group: list[str]) -> list[Aligned | None]:
+    """The chunks in parts, None for a chunk whose tokens aren't its bytes."""
+    found = align(group) if group else None
+    if found is not None or len(group) < 2:
+        return [found] * len(group[:1])
+    half = len(group) // 2
+    return _aligned(group[:half]) + _aligned(group[half:])
+
+
+_NONE = Aligned(np.zeros((1, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+class Memory:
+    """The chunks that a worker has met, numbered, with their tokens, groups and links; none for those whose tokens aren't
+    their bytes."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.pairs, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Where each chunk's pairs and codes end, a 0 before.
+        self.ends, self.written = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = 0
+
+    def learn(self, fresh: list[str]) -> None:
+        """Align chunks that have got the next numbers."""
+        made: list[Aligned] = []
+        at = 0
+        # white space at the end looks at what follows: such chunks, the last ones of texts, stay alone
+        alone = [k for k, c in enumerate(fresh) if c[-1:].isspace() or not c]
+        for k in [*alone, len(fresh)]:
+            for part in [*(fresh[x : min(k, x + TOGETHER)] for x in range(at, k, TOGETHER)), fresh[k : k + 1]]:
+                made += [found or _NONE for found in _aligned(part)]
+            at = k + 1
+        self.held += sum(map(len, fresh))
+        self.sizes = np.concatenate([self.sizes, *[m.sizes for m in made]])
+        self.pairs = np.concatenate([self.pairs, *[m.pairs for m in made]])
+        self.codes = np.concatenate([self.codes, *[m.codes for m in made]])
+        self.ends = np.append(0, np.cumsum(self.sizes[:, 3]))
+        self.written = np.append(0, np.cumsum(self.sizes[:, 0] + self.sizes[:, 1]))
+
+    def documents(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows with tokens, the numbers of their chunks, where each row's begin and end) for slices of a text column."""
+        rows: list[int] = []
+        found: list[np.ndarray] = []
+        size = 0
+        for row, text in enumerate(column):
+            held = text.as_py()
+            if held:
+                if not found and (self.held >= KNOWN_BYTES or len(self.numbers) >= KNOWN):
+                    self.__init__()
+                cut = chunks(held)
+                rows.append(row)
+                found.append(np.fromiter(map(self.numbers.__getitem__, cut), np.int64, len(cut)))
+                size += len(held)
+            if size >= SLICE or (size and row == len(column) - 1):
+                known = len(self.sizes)
+                if len(self.numbers) > known:
+                    self.learn(list(islice(self.numbers, known, None)))
+                whole = [k for k, n in enumerate(found) if self.sizes[n, 0].all()]
+                yield np.array([rows[k] for k in whole], np.int64), np.concatenate([np.zeros(0, np.int64), *[found[k] for k in whole]]), np.cumsum([0, *[len(found[k]) for k in whole]])
+                rows, found, size = [], [], 0
+
+    def links(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the pairs that chunks link, whose they are)."""
+        at, many = _ranges(self.ends, numbers)
+        return self.pairs[at], np.repeat(np.arange(len(numbers)), many)
+
+
+def _document_pairs(memory: Memory, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document above a pair of ids, for each pair that a document links, once; how often it does)."""
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    held, n = np.unique((doc << 32) | numbers, return_counts=True)
+    pairs, of = memory.links(held & 0xFFFFFFFF)
+    keys, at = np.unique((held[of] >> 32 << 32) | pairs, return_inverse=True)
+    return keys, np.bincount(at, n[of], len(keys)).astype(np.int64)
 
 
 def _added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +239,12 @@ def counted(docs: DataFrame) -> DataFrame:
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        memory = Memory()
         for batch in batches:
-            for found in aligned(batch.column(0)):
-                some = once_a_document(found)
+            for _, numbers, ends in memory.documents(batch.column(0)):
+                some, n = np.unique(_document_pairs(memory, numbers, ends)[0] & 0xFFFFFFFF, return_counts=True)
                 pairs.append(some)
-                counts.append(np.ones(len(some), np.int64))
+                counts.append(n)
                 held += len(some)
                 if held >= HELD:
                     keys, sums = _added(pairs, counts)
@@ -191,45 +291,25 @@ def dense_counts(found: DataFrame, table: PerfectHash) -> np.ndarray:
     return summed(found.select("pairs", "counts").mapInArrow(run, PARTS), size, "<u8")[: len(table)].astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _written() -> np.ndarray:
-    """Each number in decimal, padded with zero bytes, before each of the separators."""
-    n = max(map(len, vocabularies()))
-    return np.array([[f"{i}{s}".encode() for i in range(n)] for s in (",", "|", ";", "")], "S7")
-
-
-def groups(found: Aligned) -> list[str]:
-    """`a1,a2|b1;a3|b2,b3` of each document: ids of its groups in order."""
-    common = np.intersect1d(found.a_ends, found.b_ends)
-    a_group, b_group = np.searchsorted(common, found.a_ends), np.searchsorted(common, found.b_ends)
-    # a group's own tokens of the first kind, then those of the second
-    a_at = np.arange(len(found.a)) + np.searchsorted(b_group, a_group)
-    b_at = np.arange(len(found.b)) + np.searchsorted(a_group, b_group, "right")
-    sign, ids = np.zeros(len(found.a) + len(found.b), np.int64), np.zeros(len(found.a) + len(found.b), np.int64)
-    sign[a_at], ids[a_at] = np.where(np.isin(found.a_ends, common), 1, 0), found.a
-    sign[b_at], ids[b_at] = np.where(np.isin(found.b_ends, common), np.where(np.isin(found.b_ends, found.ends), 3, 2), 0), found.b
-    heads = np.concatenate([[0], np.searchsorted(found.a_ends, found.ends, "right") + np.searchsorted(found.b_ends, found.ends, "right")])
-    text = _written()[sign, ids]
-    return [text[x:y].tobytes().replace(b"\0", b"").decode() for x, y in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
-
-
 MADE = "n_a long, n_b long, n_groups long, n_links long"
 
 
-def _sizes(found: Aligned) -> list[np.ndarray]:
-    def per_document(ends: np.ndarray) -> np.ndarray:
-        return np.diff(np.searchsorted(ends, found.ends, "right"), prepend=0)
-
-    a, b = per_document(found.a_ends), per_document(found.b_ends)
-    common = per_document(np.intersect1d(found.a_ends, found.b_ends))
-    return [a, b, common, a + b - common]
+def _summed(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows between neighbouring ends."""
+    return np.diff(np.concatenate([np.zeros((1, values.shape[1]), np.int64), np.cumsum(values, axis=0)])[ends], axis=0)
 
 
-def _spread(found: Aligned, n: int, values: list[np.ndarray]) -> list[np.ndarray]:
-    out = [np.zeros(n, np.int64) for _ in values]
-    for column, part in zip(out, values, strict=True):
-        column[found.rows] = part
-    return out
+def _described(memory: Memory, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(n_a, n_b, n_groups, n_links of each document, its groups' ids)."""
+    sizes = memory.sizes[numbers]
+    at, many = _ranges(memory.written, numbers)
+    codes, last = memory.codes[at], np.cumsum(many) - 1
+    within = np.ones(len(numbers), bool)
+    within[ends[1:] - 1] = False
+    codes[last[within]] -= _written().shape[1]  # a semicolon between chunks
+    raw = _written().reshape(-1)[codes]
+    heads = np.append(0, last + 1)[ends]
+    return _summed(sizes, ends), [raw[x:y].tobytes().replace(b"\0", b"").decode() for x, y in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
 
 
 def _looked_up(docs: DataFrame, table: PerfectHash, count: np.ndarray) -> DataFrame:
@@ -241,20 +321,22 @@ def _looked_up(docs: DataFrame, table: PerfectHash, count: np.ndarray) -> DataFr
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count, best = held.value
+        memory = Memory()
         for batch in batches:
-            n = batch.num_rows
-            total, text = [np.zeros(n, np.int64) for _ in range(6)], [""] * n
-            for found in aligned(batch.column(1)):
-                at = table.number(found.pairs)
-                if (at < 0).any():
+            total, text = np.zeros((batch.num_rows, 6), np.int64), [""] * batch.num_rows
+            for rows, numbers, ends in memory.documents(batch.column(1)):
+                # a chunk's sums are those of its links, whatever its document
+                used, at = np.unique(numbers, return_inverse=True)
+                pairs, of = memory.links(used)
+                place = table.number(pairs)
+                if (place < 0).any():
                     raise ValueError("documents have changed between the two passes")
-                links = np.searchsorted(found.docs, np.arange(len(found.rows) + 1))
-                sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[links]) for v in ((best[at >> 3] >> (7 - (at & 7)) & 1).astype(np.int64), count[at])]
-                for column, part in zip(total, _spread(found, n, [*_sizes(found), *sums]), strict=True):
-                    column += part
-                for row, written in zip(found.rows.tolist(), groups(found), strict=True):
-                    text[row] = written
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, total), pa.array(text, pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                sums = np.stack([np.bincount(of, v, len(used)) for v in (best[place >> 3] >> (7 - (place & 7)) & 1, count[place])], axis=1).astype(np.int64)
+                made, written = _described(memory, numbers, ends)
+                total[rows] = np.column_stack([made, _summed(sums[at], ends)])
+                for row, named in zip(rows.tolist(), written, strict=True):
+                    text[row] = named
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, total.T), pa.array(text, pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {MADE}, n_best long, count_sum long, groups string")
 
@@ -279,23 +361,22 @@ def _joined(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     @giving_back
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in batches:
-            for found in aligned(batch.column(1)):
-                keys, n = np.unique((found.docs << 32) | found.pairs, return_counts=True)
-                digests = batch.column(0).take(pa.array(found.rows[keys >> 32]))
-                yield pa.RecordBatch.from_arrays([digests, pa.array(keys >> BITS & ((1 << BITS) - 1)), pa.array(keys & ((1 << BITS) - 1)), pa.array(n.astype(np.int64))], names=["digest", "a_id", "b_id", "n"])
+            for rows, numbers, ends in memory.documents(batch.column(1)):
+                keys, n = _document_pairs(memory, numbers, ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keys >> 32])), pa.array(keys >> BITS & ((1 << BITS) - 1)), pa.array(keys & ((1 << BITS) - 1)), pa.array(n)], names=["digest", "a_id", "b_id", "n"])
 
     @giving_back
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in batches:
-            n = batch.num_rows
-            total, text = [np.zeros(n, np.int64) for _ in range(4)], [""] * n
-            for found in aligned(batch.column(2)):
-                for column, part in zip(total, _spread(found, n, _sizes(found)), strict=True):
-                    column += part
-                for row, written in zip(found.rows.tolist(), groups(found), strict=True):
-                    text[row] = written
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, total), pa.array(text, pa.string())], names=["doc_id", "digest", "n_a", "n_b", "n_groups", "n_links", "groups"])
+            total, text = np.zeros((batch.num_rows, 4), np.int64), [""] * batch.num_rows
+            for rows, numbers, ends in memory.documents(batch.column(2)):
+                total[rows], written = _described(memory, numbers, ends)
+                for row, named in zip(rows.tolist(), written, strict=True):
+                    text[row] = named
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, total.T), pa.array(text, pa.string())], names=["doc_id", "digest", "n_a", "n_b", "n_groups", "n_links", "groups"])
 
     each = docs.select(digest, "text").mapInArrow(links, "digest string, a_id long, b_id long, n long").groupBy("digest", "a_id", "b_id").agg(F.max("n").alias("n"))
     sums = each.join(counts, ["a_id", "b_id"]).groupBy("digest").agg(F.sum(F.col("n") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
