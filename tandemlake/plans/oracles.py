@@ -73,7 +73,9 @@ least_dist as (select id, min(d) as d from dist group by id),
 nearest as (select r.*, coalesce(l.d, -1)::bigint as dist, x.block from repeats r left join least_dist l using (id) left join dist x on x.id = r.id and x.d = l.d)"""
 SEQUENCES = """seqs as (select doc_id as seq_idx, 'seq' || cast(doc_id as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from documents)"""
 MONOMERS = """monomers as (select * from (select conv_id * 1000 + turn as seq_idx, 'seq' || cast(conv_id * 1000 + turn as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from conversations) where seq <> '')"""
-KMERS = f"""{MONOMERS}, windows as (select seq_idx, substr(seq || seq, i::int, 6) as w from monomers, lateral (select unnest(range(1, length(seq) + 1)) as i) where length(seq) >= 6),
+#: Documents with a letter, under the same name.
+DOCUMENTS = SEQUENCES.replace("seqs as (", "monomers as (select * from (") + " where seq <> '')"
+KMERS = f"""{DOCUMENTS}, windows as (select seq_idx, substr(seq || seq, i::int, 6) as w from monomers, lateral (select unnest(range(1, length(seq) + 1)) as i) where length(seq) >= 6),
 kmers as (select distinct seq_idx, least(w, reverse(translate(w, 'ACGTN', 'TGCAN'))) as kmer from windows)"""
 MOTIFS = f"""{MONOMERS}, wanted as (select translate(substr(seq, 1, 12), 'N', 'G') as m from monomers order by seq_idx limit 1),
 reads as (select source as library, doc_id as read_idx, translate(regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g'), 'N', 'G') as seq from documents),
@@ -163,15 +165,15 @@ select "Chromosome", "Start", "End", round(g + 1e-9, 6) as "GC_fraction", round(
 f as (select species, family, count(*) as far from nearest where id not in (select id from inner_ids) and dist > 1000 group by all)
 select species, family, total, outside, coalesce(far, 0) as far, round(100.0 * outside / total + 1e-9, 6) as perc_outside, round(100.0 * coalesce(far, 0) / total + 1e-9, 6) as perc_far from t left join f using (species, family)""",
     "fasta_clean": f"with {SEQUENCES} select id, seq, length(seq) as len from seqs",
-    "sequence_functions": rf"""with {MONOMERS}, r as (select *, substr(seq, (seq_idx % length(seq))::int + 1) || substr(seq, 1, (seq_idx % length(seq))::int) as rotated from monomers)
+    "sequence_functions": rf"""with {DOCUMENTS}, r as (select *, substr(seq, (seq_idx % length(seq))::int + 1) || substr(seq, 1, (seq_idx % length(seq))::int) as rotated from monomers)
 select id, reverse(translate(seq, 'ACGTN', 'TGCAN')) as revcomp, rotated, length(seq) * 3 as tandem_len, round((length(seq) - length(translate(seq, 'GC', ''))) / nullif(length(seq) - length(translate(seq, 'ACGT', '')), 0)::double + 1e-9, 6) as gc,
   hamming(seq, rotated) as shifted_differences, reverse(translate(substr(seq, 4, 12), 'ACGTN', 'TGCAN')) as minus_part, regexp_replace(id, '[^A-Za-z0-9_.-]', '_', 'g') as file, regexp_extract(id, '^([a-zA-Z]+)', 1) as code from r""",
     "circular_kmers": f"with {KMERS} select seq_idx, kmer from kmers",
-    "median_k_choice": f"""with {MONOMERS}, l as (select length(seq) as n, row_number() over (order by length(seq)) as r, count(*) over () as c from monomers), m as (select max(c) as n, min(n) as min_len, max(n) as max_len, min(n) filter (r = c // 2 + 1) as median_len from l)
+    "median_k_choice": f"""with {DOCUMENTS}, l as (select length(seq) as n, row_number() over (order by length(seq)) as r, count(*) over () as c from monomers), m as (select max(c) as n, min(n) as min_len, max(n) as max_len, min(n) filter (r = c // 2 + 1) as median_len from l)
 select *, case when median_len >= 5000 then 13 when median_len >= 2000 then 11 when median_len >= 800 then 9 else 6 end::bigint as k, case when median_len >= 5000 then 6 when median_len >= 2000 then 5 when median_len >= 800 then 4 else 3 end::bigint as min_shared from m""",
     "kmer_candidates": f"""with {KMERS}, p as (select a.seq_idx as i, b.seq_idx as j, count(*) as shared from kmers a join kmers b on a.kmer = b.kmer and b.seq_idx < a.seq_idx group by all having count(*) >= 3),
 r as (select *, row_number() over (partition by i order by shared desc, j) as n from p) select i, j, shared from r where n <= 3000""",
-    "candidate_pairs_length_pruned": f"""with {MONOMERS} select a.seq_idx as i, b.seq_idx as j, length(a.seq) as len_i, length(b.seq) as len_j from monomers a join monomers b on b.seq_idx < a.seq_idx and least(length(a.seq), length(b.seq)) >= 0.8::double * greatest(length(a.seq), length(b.seq))""",
+    "candidate_pairs_length_pruned": f"""with {DOCUMENTS} select a.seq_idx as i, b.seq_idx as j, length(a.seq) as len_i, length(b.seq) as len_j from monomers a join monomers b on b.seq_idx < a.seq_idx and least(length(a.seq), length(b.seq)) >= 0.8::double * greatest(length(a.seq), length(b.seq))""",
     "motif_scan": f"with {MOTIFS} select * from motifs",
     "motif_annotated": rf"""with {MOTIFS}, n as (select *, row_number() over (partition by library order by read_idx, "offset") as k from motifs),
 s as (select 'src' as code, n_name as species from nation where n_nationkey = 3),
@@ -185,3 +187,21 @@ for name, what in (("heatmap_bp_pivot", 'coalesce(sum("ArraySize") filter ("Refe
     ORACLE_SQL[name] = f"""with {ARRAYS}, {CHROMS} select c."Chromosome", {columns} from chroms c left join arrays a on a."Chromosome" = c."Chromosome" group by 1"""
 columns = ", ".join(f"""round(log10(coalesce(sum("ArraySize") filter ("Reference" = '{r}'), 0) + 1) + 1e-9, 6) as "{r}\"""" for r in ("AF", "AO", "NF", "NO", "RF", "RO"))
 ORACLE_SQL["heatmap_log10"] = f"""with {ARRAYS}, {CHROMS} select c."Chromosome", {columns} from chroms c left join arrays a on a."Chromosome" = c."Chromosome" group by 1"""
+
+ORACLE_SQL["circular_kmer_counts"] = f"""with {DOCUMENTS}, k as (select unnest([6, 9, 11, 13]) as k),
+w as (select distinct seq_idx, k, substr(seq || seq, i::int, k) as w from monomers, k, lateral (select unnest(range(1, length(seq) + 1)) as i) where length(seq) >= k),
+c as (select seq_idx, k, count(distinct least(w, reverse(translate(w, 'ACGTN', 'TGCAN')))) as n from w group by 1, 2)
+select seq_idx, {", ".join(f"coalesce(max(n) filter (k = {k}), 0)::bigint as k{k}" for k in (6, 9, 11, 13))} from monomers left join c using (seq_idx) group by 1"""
+ORACLE_SQL["sequences_strict_from_files"] = r"""with s as (select 'seq' || cast(doc_id as varchar) as id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGTN]', '', 'g') as seq from documents)
+select id, seq, length(seq) as len from s where seq <> ''"""
+ORACLE_SQL["sequences_wanted_from_files"] = f"""with {SEQUENCES} select id, seq, length(seq) as len from seqs join documents on doc_id = seq_idx where seq <> '' and lang = 'en'"""
+_TABLES = {
+    "adaptive_merge_distance_by_reference": "adaptive_gap_by_reference", "arrays_by_reference": "arrays_by_reference", "merged_regions_multi_satdna": "merged_regions", "satdna_nonoverlapping_segments": "nonoverlap_segments",
+    "satdna_percentage_composition_long": "composition_long", "satdna_percentage_composition_long_with_complete_genome": "composition_with_genome", "satdna_metrics_by_chromosome": "chromosome_metrics",
+    "satdna_metrics_by_chromosome_reference": "chromosome_reference_metrics", "satellitome_composition_long": "satellitome_composition", "top_2_arrays_by_reference": "top_n_arrays", "summary_by_reference": "summary_by_reference",
+}
+ORACLE_SQL["array_tables_from_files"] = " union all ".join(
+    [f"select '{name}' as name, count(*) as n from ({ORACLE_SQL[query]})" for name, query in _TABLES.items()]
+    + [f"select '{name}' as name, count(*) as n from lineitem" for name in ("raw_hits_mapped", "valid_monomers")]
+    + ["select 'sequence_name_mapping' as name, 10 as n", *[f"select '{name}' as name, 11 as n" for name in ("satellitome_total_array_bp_wide", "satellitome_percentage_composition_wide")]]
+)

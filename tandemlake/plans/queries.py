@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import arrays, composition, density, families, kmers, motifs, s
 from ..operators.graph import shared_folder, written
 from ..sources import readers, writers
 from ..sources.readers import valid_hits
-from . import views
+from . import programs, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,10 +253,15 @@ def fasta_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.sequences(spark, sf_dir).select("id", "seq", F.length("seq").cast("long").alias("len"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that have a letter, as sequences."""
+    return views.sequences(spark, sf_dir).where("seq <> ''")
+
+
 @query
 def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq, at = F.col("seq"), F.col("seq_idx")
-    return rounded(views.monomers(spark, sf_dir).select(
+    return rounded(_documents(spark, sf_dir).select(
         "id", sequences.revcomp(seq).alias("revcomp"), sequences.rotated(seq, at).alias("rotated"), F.length(sequences.tandem(seq, 3)).cast("long").alias("tandem_len"),
         sequences.gc_fraction(seq).alias("gc"), sequences.hamming(seq, sequences.rotated(seq, at)).cast("long").alias("shifted_differences"),
         sequences.subsequence(seq, F.lit(15), F.lit(4)).alias("minus_part"), names.file_safe(F.col("id")).alias("file"), names.species_code(F.col("id")).alias("code"),
@@ -264,28 +270,42 @@ def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def circular_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.monomers(spark, sf_dir).select("seq_idx", F.explode(sequences.circular_kmers(F.col("seq"), 6)).alias("kmer"))
+    return _documents(spark, sf_dir).select("seq_idx", F.explode(sequences.circular_kmers(F.col("seq"), 6)).alias("kmer"))
+
+
+@query
+def circular_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many k-mers each document has for each k that may be chosen."""
+    size = lambda k: F.size(sequences.circular_kmers(F.col("seq"), k)).cast("long").alias(f"k{k}")
+    return _documents(spark, sf_dir).select("seq_idx", *[size(k) for _, k, _ in kmers.SIZES])
 
 
 @query
 def median_k_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _choice(_documents(spark, sf_dir))
+
+
+def _choice(rows: DataFrame) -> DataFrame:
     k, least = kmers.choice(F.col("median_len"))
-    return kmers.middle_length(views.monomers(spark, sf_dir)).select("n", "min_len", "max_len", "median_len", k.cast("long").alias("k"), least.cast("long").alias("min_shared"))
+    return kmers.middle_length(rows).select("n", "min_len", "max_len", "median_len", k.cast("long").alias("k"), least.cast("long").alias("min_shared"))
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = median_k_choice(spark, sf_dir).first()
-    return kmers.shared(views.monomers(spark, sf_dir), chosen["k"], chosen["min_shared"])
+    monomers = views.monomers(spark, sf_dir)
+    chosen = _choice(monomers).first()
+    return kmers.shared(monomers, chosen["k"], chosen["min_shared"])
 
 
 @query
 def kmer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared(spark, sf_dir)
+    """Documents that share k-mers, with the k and the number that their middle length asks for."""
+    chosen = median_k_choice(spark, sf_dir).first()
+    return kmers.shared(_documents(spark, sf_dir), chosen["k"], chosen["min_shared"])
 
 
 @query
 def candidate_pairs_length_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.similar_lengths(views.monomers(spark, sf_dir), families.THRESHOLD)
+    return kmers.similar_lengths(_documents(spark, sf_dir), families.THRESHOLD)
 
 
 def _motif(spark: SparkSession, sf_dir: str) -> str:
@@ -465,6 +485,43 @@ def sequences_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.fasta(spark, path).select("id", "header", "seq", "len")
 
 
+@query
+def sequences_strict_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ASCII letters as FASTA, read in the mode that drops U."""
+    path = _scratch(spark)
+    raw = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq")).where("seq <> ''")
+    writers.fasta(raw, path)
+    return readers.fasta(spark, path, mode="strict").select("id", "seq", "len")
+
+
+@query
+def sequences_wanted_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of documents in English, read from a FASTA of all."""
+    path = _scratch(spark)
+    writers.fasta(views.sequences(spark, sf_dir).where("seq <> ''"), path)
+    wanted = views.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("id"))
+    return readers.fasta(spark, path, wanted=wanted).select("id", "seq", "len")
+
+
+@query
+def array_tables_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and headers to all array tables, in one call: the rows that each file holds when it is read again."""
+    path = _scratch(spark)
+    chromosomes = views.chromosomes(spark, sf_dir)
+    headers = chromosomes.select((F.substring("Chromosome", 4, 1).cast("long") + 1).alias("index"), F.col("Chromosome").alias("header"), F.col("ChromosomeLengthBp").alias("length"))
+    made = programs.array_tables(views.hits(spark, sf_dir), headers, path, MIN_HITS)
+    rows = [spark.read.csv(at, sep="\t", header=name != "valid_monomers").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, at in made.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def similarity_tables_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monomers to all results of their comparison, in one call: the families' table when it is read again."""
+    path = _scratch(spark)
+    programs.similarity_tables(views.monomers(spark, sf_dir), path)
+    return spark.read.csv(f"{path}/id80.families.tsv", sep="\t", header=True, schema="family_id string, family_size long, rep_id string, member_id string, member_len long")
+
+
 @query
 def genes_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes as a file of fields set apart by blanks, written and read."""
