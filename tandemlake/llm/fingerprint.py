@@ -3,7 +3,9 @@
 A text's modular prefix arrays, P[i] = sum of c[j] * BASE^j over j < i, answer the hash of any span in constant time, and
 with it whether two spans are equal; binary search over span equality finds the longest common extension of two
 positions, forward or backward. A fingerprint reads the hash of every window of the text off the prefix arrays and keeps
-the least hash in each of SLOTS classes; the share of common windows of two texts is estimated from how many slots agree.
+the least hash in each of SLOTS classes; the share of common windows of two texts is estimated from how many slots of their
+fingerprints agree. Windows have one width for texts of any length: a text is set between signs that no text has, so that
+its ends make windows of their own and one letter has WINDOW of them.
 Where slots agree, the windows behind them are anchors: their longest common extensions are spans that both texts hold,
 and the share of both texts that such spans cover is reported beside the estimate.
 
@@ -15,8 +17,7 @@ read as a stream by a task of its own; text moves once. Ranges are about RANGE_R
 that what the driver holds, some 32 bytes for each, is bounded; larger ranges are sorted by Spark, on disk where needed.
 
 Defined results: null text is empty, and an empty text's slots are all empty; two empty texts are alike (1), an empty and
-another text are not (0). A text's fingerprint takes windows of a width by its length, so fingerprints of texts of unlike
-width share nothing; likeness takes both texts at the width of the shorter. Null ids come first; rows with equal ids are
+another text are not (0). Null ids come first; rows with equal ids are
 ordered by text. With one row, the next document is the row itself. A very long text is held whole, with its prefix
 arrays, by one task. An empty table gives an empty result. Other columns, of whatever name, aren't read.
 """
@@ -36,8 +37,8 @@ from .common import mix
 #: Primes below 2^31 and bases.
 MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-#: Slots of a fingerprint and code points of a window; texts under 4 windows use shorter ones, by powers of two.
-SLOTS, WINDOW = 64, 16
+#: Slots of a fingerprint, code points of a window, and the sign at a text's ends.
+SLOTS, WINDOW, END = 64, 7, 0x110000
 #: Documents of a range, about, the most ranges, and drawn keys that place a range's bounds.
 RANGE_ROWS, MOST_RANGES, DRAWN = 8_000, 16_384, 64
 _NULL = -(2**63)
@@ -129,45 +130,31 @@ class PrefixHash:
         return low
 
 
-def window_of(length: int, window: int = WINDOW) -> int:
-    """The window's width for a text of so many code points: a power of two, a fourth of the text at most."""
-    width = window
-    while width > 1 and length < 4 * width:
-        width //= 2
-    return width
-
-
 class Print:
-    """A text with its prefix arrays and its sketches: the least window hash in each slot as 32 bits, 0 for an empty slot,
-    and where it stands."""
+    """A text between signs, with its prefix arrays and its sketch: the least window hash in each slot as 32 bits, 0 for an
+    empty slot, and where it stands. An empty text has no windows."""
 
     def __init__(self, points: np.ndarray, slots: int = SLOTS, window: int = WINDOW) -> None:
-        self.points, self.slots, self.width = points, slots, window_of(len(points), window)
-        self.hash = PrefixHash(points)
-        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def sketch(self, width: int | None = None) -> np.ndarray:
-        return self._at(width or self.width)[0]
-
-    def places(self, width: int) -> np.ndarray:
-        return self._at(width)[1]
-
-    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        if width not in self._held:
-            kept, places = np.zeros(self.slots, np.uint32), np.zeros(self.slots, np.int64)
-            if len(self.points):
-                hashes = mix(self.hash.windows(width) + np.uint64(width))
-                slot = ((hashes >> np.uint64(32)) % np.uint64(self.slots)).astype(np.int64)
-                low = np.maximum(hashes & np.uint64(0xFFFFFFFF), np.uint64(1))
-                # the least hash of a slot, and the first place of it
-                least = np.full(self.slots, 1 << 63, np.uint64)
-                if len(low) < 1 << 31:
-                    np.minimum.at(least, slot, low << np.uint64(31) | np.arange(len(low), dtype=np.uint64))
-                    seen = least < np.uint64(1 << 63)
-                    kept[seen] = (least[seen] >> np.uint64(31)).astype(np.uint32)
-                    places[seen] = (least[seen] & np.uint64((1 << 31) - 1)).astype(np.int64)
-            self._held[width] = kept, places
-        return self._held[width]
+        self.points, self.width = points, window
+        ends = np.full(window - 1, END, np.uint32)
+        self.hash = PrefixHash(np.concatenate([ends, points, ends]))
+        self.sketch, self.places = np.zeros(slots, np.uint32), np.zeros(slots, np.int64)
+        if not len(points):
+            return
+        hashes = mix(self.hash.windows(window) + np.uint64(window))
+        slot = ((hashes >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+        low = np.maximum(hashes & np.uint64(0xFFFFFFFF), np.uint64(1))
+        # the least hash of a slot, and the first place of it: places below 2^31, as texts are
+        least = np.full(slots, 1 << 63, np.uint64)
+        np.minimum.at(least, slot, low << np.uint64(31) | np.arange(len(low), dtype=np.uint64))
+        seen = least < np.uint64(1 << 63)
+        self.sketch[seen] = (least[seen] >> np.uint64(31)).astype(np.uint32)
+        self.places[seen] = (least[seen] & np.uint64((1 << 31) - 1)).astype(np.int64)
+
+    def within(self, start: int, end: int) -> tuple[int, int]:
+        """A span of the text between signs as one of the text."""
+        pad, n = self.width - 1, len(self.points)
+        return min(max(start - pad, 0), n), min(max(end - pad, 0), n)
 
 
 def as_text(kept: np.ndarray) -> str:
@@ -175,6 +162,10 @@ def as_text(kept: np.ndarray) -> str:
     return kept.astype(">u4").tobytes().hex()
 
 
+def of_text(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: the estimated share of windows that two texts have in common, twice the common ones by those of both."""
     used = (a > 0) | (b > 0)
@@ -184,16 +175,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * same / (1 + same)
 
 
-def _common_width(a: Print, b: Print) -> int:
-    return min(a.width, b.width)
-
-
 def alike(a: Print, b: Print) -> float:
-    """The likeness of two texts' fingerprints, both at the width of the shorter text."""
-    if len(a.points) == 0 or len(b.points) == 0:
-        return likeness(a.sketch(), b.sketch())
-    width = _common_width(a, b)
-    return likeness(a.sketch(width), b.sketch(width))
+    """The likeness of two texts' fingerprints."""
+    return likeness(a.sketch, b.sketch)
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:
@@ -208,17 +192,16 @@ def shared(a: Print, b: Print) -> float:
     """0 to 1: the share of both texts in the longest common spans around the windows that agree in their sketches."""
     if len(a.points) == 0 or len(b.points) == 0:
         return float(len(a.points) == len(b.points))
-    width = _common_width(a, b)
-    x, y = a.sketch(width), b.sketch(width)
-    agree = np.flatnonzero((x == y) & (x > 0))
+    width = a.width
+    agree = np.flatnonzero((a.sketch == b.sketch) & (a.sketch > 0))
     mine, others, reach = [], [], {}
-    for i, j in sorted(zip(a.places(width)[agree].tolist(), b.places(width)[agree].tolist(), strict=True)):
+    for i, j in sorted(zip(a.places[agree].tolist(), b.places[agree].tolist(), strict=True)):
         if reach.get(i - j, 0) >= i + width:
             continue  # within a span that is known
         before = a.hash.longest_common_backward(i, b.hash, j)
         after = a.hash.longest_common_extension(i, b.hash, j)
         if before + after >= width:
-            mine.append((i - before, i + after)), others.append((j - before, j + after))
+            mine.append(a.within(i - before, i + after)), others.append(b.within(j - before, j + after))
             reach[i - j] = i + after
     return (_covered(mine) + _covered(others)) / (len(a.points) + len(b.points))
 
@@ -323,7 +306,7 @@ def _compare(doc_id: int | None, own: Print, following: Print) -> tuple:
     digest = hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
     after = Print(changed)
     return (
-        doc_id, len(own.points), digest, as_text(own.sketch()), as_text(after.sketch()), alike(own, after), alike(own, following),
+        doc_id, len(own.points), digest, as_text(own.sketch), as_text(after.sketch), alike(own, after), alike(own, following),
         shared(own, after), shared(own, following),
     )
 

@@ -5,11 +5,11 @@ dictionary and gets the language whose dictionary makes it smallest. Long texts
 of them, so that the dictionary stays within reach and a text's own repetitions don't drown it. The score is the share by
 which the runner-up is larger; a prediction whose score is below the margin, or 0, is rejected, at every size alike.
 
-The dictionaries come from a bounded sample of labelled rows: SAMPLE_ROWS of each of the LANGUAGES languages with most
-rows, a passage of ROW_CHARS characters of each, chosen by hashes, so that reruns agree. Short passages of many rows keep
-what repeats across documents, and wrong labels, from filling a dictionary. The margin is learned from other labelled
-rows, about MARGIN_ROWS of a language: the score that a share of LOST of the right predictions stay below. Only that
-number reaches the driver. Both sides are lower-cased with each run of other characters than letters made one space.
+The dictionaries come from a bounded sample of labelled rows: SAMPLE_ROWS of each language that any row is labelled with, a
+passage of ROW_CHARS characters of each, chosen by hashes, so that reruns agree. Short passages of many rows keep what
+repeats across documents, and wrong labels, from filling a dictionary. The margin is learned from labelled rows beyond the
+sample, about MARGIN_ROWS of a language: the score that a share of LOST of the right predictions stay below; languages with
+fewer rows give all theirs to the dictionary, and without rows beyond the margin is 0. Only that number reaches the driver. Both sides are lower-cased with each run of other characters than letters made one space.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected; with no labelled rows
 every text is. Equal sizes are a score of 0 and are rejected; they go to the language with more labelled rows, then to the
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import giving_back
 
 UNKNOWN = "und"
-#: Languages learned, labelled rows sampled for each, characters of a row's passage, and rows for the margin (on average).
-LANGUAGES, SAMPLE_ROWS, ROW_CHARS, MARGIN_ROWS = 256, 300, 160, 400
+#: Labelled rows sampled for each language, characters of a row's passage, and rows for the margin (on average).
+SAMPLE_ROWS, ROW_CHARS, MARGIN_ROWS = 300, 160, 400
 #: The share of right predictions that may be rejected, and the bytes that are encoded at once.
 LOST, PIECE = 0.002, 16 * 1024
 #: zstandard's parameters; matches of three bytes count, as words of a language are short.
@@ -64,26 +64,27 @@ def _draw(seed: int) -> Column:
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, lost: float = LOST) -> Model:
     """The model of docs' labelled rows that aren't held out."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return Model(())
-    known = labelled.where(F.col("lang").isin(list(counts)))
-    # a fourth of the rows is kept for the margin, so that no text is judged by a dictionary that holds it
-    known, apart = known.where(_draw(2) >= 0.25), known.where(_draw(2) < 0.25)
     begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - ROW_CHARS, F.lit(1))).cast("int") + 1
-    passages = known.select("lang", _draw(0).alias("drawn"), F.substring("text", begin, ROW_CHARS).alias("text"))
+    passages = labelled.select("lang", _draw(0).alias("drawn"), F.substring("text", begin, ROW_CHARS).alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "text"))
-    chosen = passages.withColumn("place", first).where(F.col("place") <= sample_rows).select("lang", "place", F.coalesce(letters(F.col("text")), F.lit("")).alias("text"))
+    chosen = passages.withColumn("place", first).where(F.col("place") <= sample_rows).select("lang", "place", "drawn", F.coalesce(letters(F.col("text")), F.lit("")).alias("text"))
     samples: dict[str, list[str]] = {}
+    last: dict[str, float] = {}
     for r in sorted(chosen.collect(), key=lambda r: r["place"]):
         samples.setdefault(r["lang"], []).append(r["text"])
-    if not samples:
-        return Model(())
+        last[r["lang"]] = r["drawn"]
     order = sorted(samples, key=lambda lang: (-counts[lang], lang))
     model = Model(tuple((lang, " ".join(samples[lang]).encode()) for lang in order))
-    share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * MARGIN_ROWS / n)))]), F.col("lang"))
-    tried = apart.where(_draw(1) < share).select("lang", predictions(F.col("text"), model, docs).alias("p"))
+    # rows behind the last one sampled: no text is judged by a dictionary that holds it
+    beyond = [(lang, last[lang], min(1.0, MARGIN_ROWS / (counts[lang] - sample_rows))) for lang in order if counts[lang] > sample_rows]
+    if not beyond:
+        return model
+    table = docs.sparkSession.createDataFrame(beyond, "lang string, last double, share double")
+    apart = labelled.join(F.broadcast(table), "lang").where((_draw(0) > F.col("last")) & (_draw(1) < F.col("share")))
+    tried = apart.select("lang", predictions(F.col("text"), model, docs).alias("p"))
     right = tried.where(F.col("p.lang_pred") == F.col("lang"))
     (margin,) = right.agg(F.percentile("p.score", F.lit(lost))).first()
     return Model(model.dictionaries, float(margin or 0.0))

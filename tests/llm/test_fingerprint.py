@@ -77,7 +77,59 @@ def test_one_row_and_none(spark):
 
 
 def windows(text, width):
-    return {text[i : i + width] for i in range(len(text) - width + 1)}
+    """Of a text between signs, as code points."""
+    points = [fp.END] * (width - 1) + [ord(c) for c in text] + [fp.END] * (width - 1)
+    return {tuple(points[i : i + width]) for i in range(len(points) - width + 1)} if text else set()
+
+
+def plain_hash(window):
+    out = 0
+    for base, prime in zip(fp.BASES, fp.MODULI, strict=True):
+        out = out << 31 | sum((c + 1) * pow(base, k, prime) for k, c in enumerate(window)) % prime
+    return out
+
+
+def plain_mix(x):
+    """The 64-bit finaliser in whole numbers."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_print(text):
+    slots = [0] * fp.SLOTS
+    for window in windows(text, fp.WINDOW):
+        h = plain_mix((plain_hash(window) + fp.WINDOW) % 2**64)
+        slot, low = (h >> 32) % fp.SLOTS, max(1, h & 0xFFFFFFFF)
+        slots[slot] = min(slots[slot] or low, low)
+    return "".join(f"{x:08x}" for x in slots)
+
+
+def plain_likeness(a, b):
+    pairs = [(a[k : k + 8], b[k : k + 8]) for k in range(0, len(a), 8)]
+    used = [p for p in pairs if p != ("0" * 8, "0" * 8)]
+    same = sum(x == y for x, y in used) / len(used) if used else 1.0
+    return 2 * same / (1 + same)
+
+
+def test_whole_result_by_brute_force(spark):
+    """Fingerprints made of windows one by one, and likeness by the returned strings alone."""
+    base = "of all the windows in this text of one hundred code points some must stay when its end is cut away!!"
+    data = [(1, base), (2, "abc"), (3, None), (4, ""), (5, "x"), (6, base[:64]), (7, base[:63]), (8, base[:31]), (9, "Ünïcode 漢字 text " * 9), (10, "ab"), (11, "ab"), (12, base + " and more"), (None, base)]
+    found = {r.doc_id: r for r in fp.edited(docs(spark, data).repartition(3)).collect()}
+    order = sorted(data, key=lambda d: (d[0] is not None, d[0] or 0))
+    for k, (i, text) in enumerate(order):
+        own, following = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(own) // 2
+        edited = own[: len(own) - cut] + following[:cut]
+        r = found[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(own), plain_print(edited))
+        assert abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - plain_likeness(r.fingerprint, found[order[(k + 1) % len(order)][0]].fingerprint)) < 1e-12
+        assert fp.as_text(fp.of_text(r.fingerprint)) == r.fingerprint
+    assert found[1].near_edited > 0.3 and found[5].near_edited == 1.0
 
 
 def test_likeness_by_brute_force():
@@ -89,7 +141,7 @@ def test_likeness_by_brute_force():
         for _ in range(6):
             passage, tail, other = word(common), word(2000 - common), word(2000 - common)
             a, b = word(40) + passage + tail, passage + other
-            x, y = windows(a, 16), windows(b, 16)
+            x, y = windows(a, fp.WINDOW), windows(b, fp.WINDOW)
             want = 2 * len(x & y) / (len(x) + len(y))
             p, q = fp.Print(fp.code_points(a)), fp.Print(fp.code_points(b))
             errors.append(abs(fp.alike(p, q) - want))

@@ -208,3 +208,59 @@ def test_cross_entropy_difference(spark, block, bucket):
 def test_cross_entropy_of_odd_rows(spark):
     found = lm_scoring.difference(docs(spark, ODD), spark.createDataFrame([], "doc_id long")).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == sorted((i or 0, len((t or "").split())) for i, t in ODD)
+
+
+# --- languages that few rows are labelled with ---------------------------------------------------------------------
+
+
+def test_no_labelled_language_is_lost(spark):
+    """Three German rows beside four hundred English ones, whatever their draw."""
+    english = [(i, f"the house of the people and a number of other things that were said {i}", "en", "s") for i in range(1000)]
+    german = [(2000 + i, f"das Haus der Leute und eine Anzahl anderer Dinge, die gesagt wurden {i}", "de", "s") for i in range(400)]
+    drawn = spark.createDataFrame([(r[0],) for r in german], "doc_id long").select("doc_id", language_id._draw(2).alias("d"), language_id.held_out(F.col("doc_id")).alias("h"))
+    low = [r.doc_id for r in drawn.where("not h").orderBy("d").limit(3).collect()]
+    frame = docs(spark, english[:530] + [r for r in german if r[0] in low])
+    assert {lang for lang, _ in language_id.learn(frame).dictionaries} == {"en", "de"}
+    found = language_id.identify(frame.unionByName(docs(spark, [(9000, "Die Leute und andere Dinge wurden gesagt", None, None)]))).collect()
+    assert {r.doc_id: r.lang_pred for r in found}[9000] == "de"
+
+
+def test_one_labelled_row_names_every_text(spark):
+    frame = docs(spark, [(0, "some text", "en", "s"), (4, "anything", None, None), (5, "123", None, None), (6, None, None, None)])
+    assert frame.where(~language_id.held_out(F.col("doc_id"))).where("lang is not null").count() == 1
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(frame).collect()} == {0: ("en", 1.0), 4: ("en", 1.0), 5: ("und", 0.0), 6: ("und", 0.0)}
+
+
+def test_predictions_by_brute_force(spark):
+    """Every text compressed anew with every dictionary, the letters picked one by one."""
+    import unicodedata
+
+    import zstandard
+
+    words = {"en": "the of and to in that was he it for on are as with his they at be this from", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als", "xx": "la le et les des en un du une que est pour qui dans a par plus pas au sur"}
+    data = [(k, " ".join(words[lang].split()[(k * 7 + j * j) % 20] for j in range(5 + k % 30)) + (". 12!" if k % 3 else "\n"), lang if k % 5 else None, "s") for k, lang in enumerate(list(words) * 60)] + ODD_TEXTS
+    frame = docs(spark, data)
+    model = language_id.learn(frame, sample_rows=20)
+    how = zstandard.ZstdCompressionParameters.from_level(3, **language_id.PARAMETERS, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def plain(text):
+        runs = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            return "und", 0.0, True
+        while "  " in runs:
+            runs = runs.replace("  ", " ")
+        raw = runs.encode()
+        sizes = []
+        for place, (lang, content) in enumerate(model.dictionaries):
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress(raw[i : i + language_id.PIECE])) for i in range(0, len(raw), language_id.PIECE)), place, lang))
+        best, second = sorted(sizes)[:2]
+        score = (second[0] - best[0]) / max(1, second[0])
+        return best[2], score, score == 0 or score < model.margin
+
+    want = sorted(((i, *plain(t)) for i, t, *_ in data), key=repr)
+    assert sorted(((r.doc_id, r.lang_pred, r.score, r.rejected) for r in language_id.identify(frame, sample_rows=20).collect()), key=repr) == want
+    assert {w[1] for w in want} == {*words, "und"}
+
+
+ODD_TEXTS = [(1000, None, None, None), (1001, "", None, None), (1002, "123 !", None, None), (1003, "der die und " * 3000, None, None), (1004, "É\u0301 à l\u2019été", None, None)]
