@@ -5,12 +5,14 @@ templates' words; other words weigh as unseen. Units are
 
 - headers: each line, each paragraph without its comment marks, and each run of up to SENTENCES sentences of a paragraph,
   so that licences declared over several wrapped lines, or inside a longer paragraph, are seen as a whole;
-- the whole text, and its opening: the first one, two, and so on up to OPENING lines that aren't blank, which are compared
-  with the titles that long licences begin with.
+- each run of up to LINES neighbouring lines that aren't blank, wherever in the text, which are compared with the titles
+  of long licences;
+- the whole text.
 
-A file's own licence is its best unit's. A file whose whole text matches a template, or whose opening matches a title, is
-a licence file: a file without a licence of its own takes that of the nearest directory above it that has a licence file.
-Directories, not files, are resolved against the directories above them.
+A file's own licence is its best unit's. A file whose whole text matches a template is a licence file, and so is one that
+holds a long licence's title and a passage of its terms beside it: a title alone may be a mention. A file without a licence
+of its own takes that of the nearest directory above it that has a licence file. Directories, not files, are resolved
+against the directories above them.
 
 Only units that hold an anchor are compared: a template's anchors are its rarest words, as many as it takes that what is
 left of the template cannot reach the threshold, so that no unit is missed.
@@ -26,6 +28,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 THRESHOLD = 0.8
-SENTENCES, OPENING = 3, 4
+SENTENCES, LINES = 3, 3
+#: The cosine that templates of a name alone have to reach: their words, and no others.
+EXACT = 0.999
 #: Up to so many directories (some 100 bytes each) are broadcast to their files; more are joined by shuffle.
 BROADCAST_DIRECTORIES = 100_000
 #: Sentences and texts by which licences are declared.
@@ -74,10 +80,34 @@ TITLES = (
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
+#: Passages of long licences' terms.
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+TERMS = (
+    ("Apache-2.0", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", _VERBATIM),
+    ("GPL-3.0", _VERBATIM),
+    ("LGPL-3.0", _VERBATIM),
+    ("MPL-2.0", '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+)
+#: Identifiers by which a line names a licence.
+NAMED = tuple((name, f"SPDX-License-Identifier: {tag}") for name, tags in (("Apache-2.0", ("",)), ("BSD-2-Clause", ("",)), ("BSD-3-Clause", ("",)), ("CC-BY-4.0", ("",)), ("CC-BY-NC-4.0", ("",)), ("CC-BY-SA-4.0", ("",)), ("GPL-2.0", ("", "-only", "-or-later")), ("GPL-3.0", ("", "-only", "-or-later")), ("ISC", ("",)), ("LGPL-3.0", ("", "-only", "-or-later")), ("MIT", ("",)), ("MPL-2.0", ("",))) for tag in (name + t for t in tags))
 #: Unit kinds.
 HEADER, WHOLE, TITLE = 0, 1, 2
 
 
+@dataclass(frozen=True)
+class Texts:
+    """What units are compared with, as (licence, text): headers and whole texts, titles, terms, names."""
+
+    templates: tuple[tuple[str, str], ...] = TEMPLATES
+    titles: tuple[tuple[str, str], ...] = TITLES
+    terms: tuple[tuple[str, str], ...] = TERMS
+    named: tuple[tuple[str, str], ...] = NAMED
+
+    def all(self) -> tuple[tuple[str, str], ...]:
+        return (*self.templates, *self.titles, *self.terms, *self.named)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -147,41 +177,45 @@ def units_of(text: Column) -> Column:
         sentences = F.transform(whole, lambda p: _bound(F.split(p, r"(?<=[.;:!?])\s+"), lambda parts: _runs(parts, SENTENCES)))
         return F.concat(whole, F.flatten(sentences))
 
-    def openings(lines: Column) -> Column:
-        return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, F.lit(1), i + 1), " "))
-
     def units(lines: Column) -> Column:
-        opening = F.slice(F.filter(lines, lambda line: F.trim(line) != ""), 1, OPENING)
+        full = F.filter(lines, lambda line: F.trim(line) != "")
         every = F.array_distinct(F.concat(lines, _bound(paragraphs(text), headers)))
-        return F.concat(as_kind(HEADER, every), as_kind(WHOLE, F.array(text)), as_kind(TITLE, _bound(opening, openings)))
+        return F.concat(as_kind(HEADER, every), as_kind(WHOLE, F.array(text)), as_kind(TITLE, _bound(full, lambda held: _runs(held, LINES))))
 
     return _bound(F.split(text, r"\r?\n"), units)
 
 
-def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, templates, titles) -> DataFrame:
-    """path, kind, best: struct of score and licence of each unit (path, kind, unit) that reaches the threshold.
+def scores(units: DataFrame, n: int, df: dict[str, int], threshold: float, texts: Texts) -> DataFrame:
+    """path, kind, best, terms: struct of score and licence of each unit (path, kind, unit) that reaches the threshold, null
+    for units that only hold terms, and the licences whose terms it holds.
 
     Units of a path are told apart by their hash: what is equal is compared once.
     """
-    made, named = vectors(n, df, templates), vectors(n, df, titles)
-    held = set().union(*(anchors(t, threshold, df) for t in made + named))
+    order = vectors(n, df, texts.all())
+    least = [threshold] * len(texts.templates + texts.titles + texts.terms) + [EXACT] * len(texts.named)
+    held = set().union(*(anchors(t, x, df) for t, x in zip(order, least, strict=True)))
     near = units.where(F.arrays_overlap(words(F.col("unit")), F.lit(sorted(held)))).withColumn("same", F.xxhash64("unit")).dropDuplicates(["path", "kind", "same"])
     key = ["path", "kind", "same"]
     counted = near.select(*key, F.explode(words(F.col("unit"))).alias("word")).groupBy(*key, "word").agg(F.count("*").cast("double").alias("tf"))
     unseen = math.log(n + 1) + 1
     # for each of the templates' words its rarity and its weight in every template: a table of their size
-    order = made + named
     weights = [(w, [math.log((n + 1) / (df[w] + 1)) + 1, *(float(t[1].get(w, 0.0)) for t in order)]) for w in df]
     table = units.sparkSession.createDataFrame(weights, "word string, held array<double>")
     counted = counted.join(F.broadcast(table), "word", "left")
     weight = F.col("tf") * F.coalesce(F.get("held", F.lit(0)), F.lit(unseen))
     dots = [F.sum(F.coalesce(weight * F.get("held", F.lit(i + 1)), F.lit(0.0))).alias(f"dot{i}") for i in range(len(order))]
     unit = counted.groupBy(*key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"), *dots)
-    cosine = lambda i, t: F.struct((F.col(f"dot{i}") / (F.col("norm") * F.lit(t[2]))).alias("score"), F.lit(t[0]).alias("license"))
-    of_text = F.array(*[cosine(i, t) for i, t in enumerate(made)])
-    of_title = F.array(*[cosine(i + len(made), t) for i, t in enumerate(named)])
-    best = F.array_max(F.when(F.col("kind") == TITLE, of_title).otherwise(of_text))
-    return unit.select("path", "kind", best.alias("best")).where(F.col("best.score") >= threshold)
+
+    def reached(begin: int, size: int) -> Column:
+        """Scores and licences of those of the texts that the unit is near enough to."""
+        cosine = lambda i: F.struct((F.col(f"dot{i}") / (F.col("norm") * F.lit(order[i][2]))).alias("score"), F.lit(order[i][0]).alias("license"))
+        return F.array_compact(F.array(*[F.when(cosine(i)["score"] >= least[i], cosine(i)) for i in range(begin, begin + size)]))
+
+    ends = [0, *accumulate(map(len, (texts.templates, texts.titles, texts.terms, texts.named)))]
+    of_text, of_title, of_terms, of_name = (reached(x, y - x) for x, y in pairwise(ends))
+    best = F.array_max(F.when(F.col("kind") == TITLE, of_title).otherwise(F.concat(of_text, of_name)))
+    terms = F.when(F.col("kind") == HEADER, F.transform(of_terms, lambda t: t["license"])).otherwise(F.array().cast("array<string>"))
+    return unit.select("path", "kind", best.alias("best"), terms.alias("terms")).where(F.col("best").isNotNull() | (F.size("terms") > 0))
 
 
 def parent(path: Column) -> Column:
@@ -195,20 +229,23 @@ def ancestors(directory: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))))
 
 
-def scanned(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, titles=TITLES) -> DataFrame:
+def scanned(files: DataFrame, threshold: float = THRESHOLD, texts: Texts = Texts()) -> DataFrame:
     """path, license, score, origin (header or inherited), license_dir for each row of files (path, text)."""
     files = files.select("path", "text")
-    n, df = frequencies(files, (*templates, *titles))
-    held = set().union(*(anchors(t, threshold, df) for t in vectors(n, df, (*templates, *titles))))
+    n, df = frequencies(files, texts.all())
+    held = set().union(*(anchors(t, threshold, df) for t in vectors(n, df, texts.all())))
     near = files.where("path is not null").where(F.arrays_overlap(words(F.col("text")), F.lit(sorted(held))))
     units = near.select("path", F.explode(units_of(F.col("text"))).alias("u")).select("path", "u.kind", "u.unit")
     # read twice, of the size of the licences found
-    found = checkpointed(scores(units, n, df, threshold, templates, titles))
-    own = found.groupBy("path").agg(F.max("best").alias("own"))
-    texts = found.where(F.col("kind") != HEADER).groupBy(parent(F.col("path")).alias("held")).agg(F.max("best").alias("of_dir"))
+    found = checkpointed(scores(units, n, df, threshold, texts))
+    own = found.where("best is not null").groupBy("path").agg(F.max("best").alias("own"))
+    terms = found.select("path", F.explode("terms").alias("of")).distinct()
+    titled = found.where((F.col("kind") == TITLE) & F.col("best").isNotNull()).join(terms.withColumnRenamed("path", "at"), (F.col("path") == F.col("at")) & (F.col("best.license") == F.col("of")), "left_semi")
+    licences = found.where((F.col("kind") == WHOLE) & F.col("best").isNotNull()).select("path", "best").unionByName(titled.select("path", "best"))
+    licences = licences.groupBy(parent(F.col("path")).alias("held")).agg(F.max("best").alias("of_dir"))
     directories = files.where("path is not null").select(parent(F.col("path")).alias("dir")).distinct()
     above = directories.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("depth", "held"))
-    nearest = above.join(texts, "held").groupBy("dir").agg(F.max(F.struct("depth", "held", "of_dir")).alias("from")).select(F.col("dir").alias("of"), "from")
+    nearest = above.join(licences, "held").groupBy("dir").agg(F.max(F.struct("depth", "held", "of_dir")).alias("from")).select(F.col("dir").alias("of"), "from")
     nearest = checkpointed(nearest)
     if nearest.count() <= BROADCAST_DIRECTORIES:
         nearest = F.broadcast(nearest)

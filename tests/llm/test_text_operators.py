@@ -115,7 +115,7 @@ def test_licenses(spark):
 
 MIT_FILE = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n".join(re.findall(r".{1,70}(?:\s|$)", license_scan._MIT_GRANT)) + "\n\n" + "\n".join(re.findall(r".{1,70}(?:\s|$)", license_scan._MIT_REST)) + "\n"
 APACHE_FILE = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n" + LONG
-GPL_FILE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + LONG
+GPL_FILE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + LONG
 HEADERS = {
     "Apache-2.0": "/*\n * Copyright 2021 The Authors\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\ncode();\n",
     "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport this\n",
@@ -136,7 +136,7 @@ def test_whole_licences_and_wrapped_headers(spark):
 
 def test_cosines_by_brute_force(spark):
     texts = ["Released under the MIT License.", "Released under the MIT licence by us all", HEADERS["GPL-3.0"], MIT_FILE, "Licensed under CC BY 4.0. So it is.", "the license the license version", "This work is licensed, and not under a public license"]
-    everything = (*license_scan.TEMPLATES, *license_scan.TITLES)
+    everything = license_scan.Texts().all()
     bags = [Counter(license_scan._words(t)) for t in texts]
     vocabulary = {w for _, t in everything for w in license_scan._words(t)}
     idf = {w: math.log((len(texts) + 1) / (sum(w in b for b in bags) + 1)) + 1 for w in vocabulary}
@@ -148,21 +148,40 @@ def test_cosines_by_brute_force(spark):
     for i in range(len(texts)):
         best = (0.0, "")
         for kind, unit in units[f"{i}/x"]:
-            for name, template in license_scan.TITLES if kind == license_scan.TITLE else license_scan.TEMPLATES:
+            for name, template in license_scan.TITLES if kind == license_scan.TITLE else (*license_scan.TEMPLATES, *license_scan.NAMED):
                 a, b = weigh(unit), weigh(template)
                 if a:
-                    best = max(best, (round(sum(x * b.get(w, 0.0) for w, x in a.items()) / norm(a) / norm(b), 6), name))
+                    found = sum(x * b.get(w, 0.0) for w, x in a.items()) / norm(a) / norm(b)
+                    if (name, template) not in license_scan.NAMED or found >= license_scan.EXACT:
+                        best = max(best, (round(found, 6), name))
         assert got[f"{i}/x"] == ((best[1], pytest.approx(best[0], abs=1e-6)) if best[0] >= 0.8 else (None, None)), texts[i]
 
 
 def test_anchors_lose_nothing():
     n, df = 1000, defaultdict(lambda: 3, {"the": 900, "of": 800, "under": 50, "license": 40})
-    everything = (*license_scan.TEMPLATES, *license_scan.TITLES)
+    everything = license_scan.Texts().all()
     df = {w: df[w] for _, text in everything for w in license_scan._words(text)}
     for template in license_scan.vectors(n, df, everything):
-        held = license_scan.anchors(template, 0.8)
-        rest = math.sqrt(sum(x * x for w, x in template[1].items() if w not in held))
-        assert rest < 0.8 * template[2]
+        for rarity in (None, df):
+            held = license_scan.anchors(template, 0.8, rarity)
+            rest = math.sqrt(sum(x * x for w, x in template[1].items() if w not in held))
+            assert rest < 0.8 * template[2]
+
+
+def test_long_licences_wherever_they_begin(spark):
+    """A preamble before the title; a title that is only a mention; names of licences."""
+    preamble = "The Project\n===========\nA tool for all\nsorts of things\nand of uses\n\n"
+    files = [
+        ("gpl/LICENSE", preamble + GPL_FILE), ("gpl/a.c", "code of its own"), ("apache/LICENSE", preamble + APACHE_FILE), ("apache/x/a.c", "code of its own"),
+        ("mpl/NOTE", "Mozilla Public License Version 2.0\nsee the other folder"), ("mpl/a.c", "code of its own"),
+        ("spdx/a.c", "// SPDX-License-Identifier: MIT\ncode"), ("spdx/b.py", "# SPDX-License-Identifier: GPL-2.0-or-later\ncode"), ("spdx/c.py", "# SPDX-License-Identifier: Unheard-Of\ncode"), ("spdx/d.py", "# SPDX-License-Identifier: GPL-1.0\ncode"), ("spdx/e.c", "code of its own"),
+    ]
+    got = {(r.path, r.license, r.origin) for r in license_scan.scanned(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        ("gpl/LICENSE", "GPL-3.0", "header"), ("gpl/a.c", "GPL-3.0", "inherited"), ("apache/LICENSE", "Apache-2.0", "header"), ("apache/x/a.c", "Apache-2.0", "inherited"),
+        ("mpl/NOTE", "MPL-2.0", "header"), ("mpl/a.c", None, None),
+        ("spdx/a.c", "MIT", "header"), ("spdx/b.py", "GPL-2.0", "header"), ("spdx/c.py", None, None), ("spdx/d.py", None, None), ("spdx/e.c", None, None),
+    }
 
 
 def brute_scores(texts, target, smoothing):
