@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .running import TILE, running
 from .selection import percentiles
 
 MERGE_GAP, BIN, TOP = 2_000, 100_000, 10
+#: The angle left free behind a chromosome in a circular plot.
+GAP_ANGLE = math.radians(2.0)
 
 
 def merged_runs(hits: DataFrame, gap: int = MERGE_GAP, tile: int = TILE) -> DataFrame:
@@ -110,7 +114,20 @@ def plot_track(track: DataFrame) -> DataFrame:
     return filled.select("Chromosome", "Start", "End", "GC_fraction", F.greatest(F.least(F.coalesce(scaled, F.lit(0.5)), F.lit(1.0)), F.lit(0.0)).alias("GC_plot"))
 
 
-def offsets(chromosomes: DataFrame) -> DataFrame:
-    """Where each chromosome begins in a plot of all, in their order: index, Chromosome, ChromosomeLengthBp, Offset."""
-    before = Window.orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-    return chromosomes.select("index", "Chromosome", "ChromosomeLengthBp", F.coalesce(F.sum("ChromosomeLengthBp").over(before), F.lit(0)).alias("Offset"))
+def offsets(chromosomes: DataFrame, gap: float = GAP_ANGLE, tile: int = TILE) -> DataFrame:
+    """Where each chromosome (index, Chromosome, ChromosomeLengthBp) begins in a plot of all, in their order: with Offset in
+    bases, and StartTheta and EndTheta on a circle, of which each chromosome takes its share and a gap behind it."""
+    length = F.col("ChromosomeLengthBp").cast("double")
+    placed = running(chromosomes.select("index", "Chromosome", "ChromosomeLengthBp"), [], "index", ["index"], {"Offset": ("sum", F.col("ChromosomeLengthBp")), "__earlier": ("sum", F.lit(1))}, tile)
+    whole = chromosomes.agg(F.sum(length).alias("__total"), F.count("*").alias("__n"))
+    out = placed.crossJoin(F.broadcast(whole))  # one row
+    free, total = F.greatest(F.lit(2 * math.pi) - F.lit(gap) * F.col("__n"), F.lit(0.0)), F.when(F.col("__total") > 0, F.col("__total")).otherwise(F.lit(1.0))
+    start = F.col("Offset") / total * free + F.lit(gap) * F.col("__earlier")
+    return out.select("index", "Chromosome", "ChromosomeLengthBp", "Offset", start.alias("StartTheta"), (start + length / total * free).alias("EndTheta"))
+
+
+def bin_angles(track: DataFrame, offsets: DataFrame) -> DataFrame:
+    """track (Chromosome, Start, End and more) with the angles of each row's ends, linear along its chromosome."""
+    placed = track.join(offsets.select("Chromosome", "ChromosomeLengthBp", "StartTheta", "EndTheta"), "Chromosome")
+    at = lambda pos: F.col("StartTheta") + F.col(pos) / F.nullif(F.col("ChromosomeLengthBp"), F.lit(0)) * (F.col("EndTheta") - F.col("StartTheta"))
+    return placed.select(*track.columns, at("Start").alias("StartAngle"), at("End").alias("EndAngle"))

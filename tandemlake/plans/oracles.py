@@ -73,6 +73,9 @@ least_dist as (select id, min(d) as d from dist group by id),
 nearest as (select r.*, coalesce(l.d, -1)::bigint as dist, x.block from repeats r left join least_dist l using (id) left join dist x on x.id = r.id and x.d = l.d)"""
 SEQUENCES = """seqs as (select doc_id as seq_idx, 'seq' || cast(doc_id as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from documents)"""
 MONOMERS = """monomers as (select * from (select conv_id * 1000 + turn as seq_idx, 'seq' || cast(conv_id * 1000 + turn as varchar) as id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGTN]', '', 'g') as seq from conversations) where seq <> '')"""
+OFFSETS = """lengths as (select seq_idx as index, id as "Chromosome", length(seq) as "ChromosomeLengthBp" from seqs),
+summed as (select *, coalesce(sum("ChromosomeLengthBp") over (order by index rows between unbounded preceding and 1 preceding), 0)::bigint as "Offset", sum("ChromosomeLengthBp") over () as total from lengths),
+offsets as (select index, "Chromosome", "ChromosomeLengthBp", "Offset", "Offset" / total::double * 2 * pi() as s, ("Offset" + "ChromosomeLengthBp") / total::double * 2 * pi() as e from summed)"""
 #: Documents with a letter, under the same name.
 DOCUMENTS = SEQUENCES.replace("seqs as (", "monomers as (select * from (") + " where seq <> '')"
 KMERS = f"""{DOCUMENTS}, windows as (select seq_idx, substr(seq || seq, i::int, 6) as w from monomers, lateral (select unnest(range(1, length(seq) + 1)) as i) where length(seq) >= 6),
@@ -115,8 +118,7 @@ select "Chromosome", min("Start") as "Start", max("End") as "End", string_agg(di
     "top_n_arrays": f"""with {ARRAYS}, r as (select "Reference", "Chromosome", "Start", "End", "ArraySize", row_number() over (partition by "Reference" order by "ArraySize" desc, "Chromosome", "Start", "End") as "Rank" from arrays) select * from r where "Rank" <= 2""",
     "display_intervals": f"""with {ARRAYS}, {CHROMS}, w as (select a.*, c."ChromosomeLengthBp"::double as n, (a."Start" + a."End") / 2.0::double as mid, greatest(a."End" - a."Start", 5000) / 2.0::double as half from arrays a join chroms c using ("Chromosome"))
 select "Chromosome", "Reference", "Start", "End", round(greatest(mid - half, 0) + 1e-9, 6) as display_start, round(least(mid + half, n) + 1e-9, 6) as display_end from w""",
-    "chromosome_offsets": f"""with {SEQUENCES}, b as (select seq_idx // 1000 as index, 'block' || seq_idx // 1000 as "Chromosome", sum(length(seq))::bigint as "ChromosomeLengthBp" from seqs group by all)
-select index, "Chromosome", "ChromosomeLengthBp", coalesce(sum("ChromosomeLengthBp") over (order by index rows between unbounded preceding and 1 preceding), 0)::bigint as "Offset" from b""",
+    "chromosome_offsets": f"""with {SEQUENCES}, {OFFSETS} select index, "Chromosome", "ChromosomeLengthBp", "Offset", round(s + 1e-9, 6) as "StartTheta", round(e + 1e-9, 6) as "EndTheta" from offsets""",
     "nonoverlap_segments": f"with {SEGMENTS} select * from segments",
     "composition_long": f"with {COMPOSITION} {rounded('composition', 'PercentChromosome')}",
     "composition_with_genome": f"""with {COMPOSITION}, total as (select sum("ChromosomeLengthBp")::bigint as n from chroms),
@@ -205,3 +207,5 @@ ORACLE_SQL["array_tables_from_files"] = " union all ".join(
     + [f"select '{name}' as name, count(*) as n from lineitem" for name in ("raw_hits_mapped", "valid_monomers")]
     + ["select 'sequence_name_mapping' as name, 10 as n", *[f"select '{name}' as name, 11 as n" for name in ("satellitome_total_array_bp_wide", "satellitome_percentage_composition_wide")]]
 )
+ORACLE_SQL["gc_track_angles"] = f"""with t as ({ORACLE_SQL["gc_track"]}), {SEQUENCES}, {OFFSETS}
+select t."Chromosome", t."Start", t."End", t."GC_fraction", round(s + t."Start" / "ChromosomeLengthBp"::double * (e - s) + 1e-9, 6) as "StartAngle", round(s + t."End" / "ChromosomeLengthBp"::double * (e - s) + 1e-9, 6) as "EndAngle" from t join offsets using ("Chromosome")"""

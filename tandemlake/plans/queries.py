@@ -98,11 +98,22 @@ def display_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shown.select("Chromosome", "Reference", "Start", "End", "display_start", "display_end"))
 
 
+def _contig_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = views.sequences(spark, sf_dir).select(F.col("seq_idx").alias("index"), F.col("id").alias("Chromosome"), F.length("seq").cast("long").alias("ChromosomeLengthBp"))
+    return density.offsets(contigs, gap=0.0)
+
+
 @query
 def chromosome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each sequence would begin in a plot of all, in blocks of a thousand sequences."""
-    lengths = views.sequences(spark, sf_dir).groupBy(F.floor(F.col("seq_idx") / 1000).alias("index")).agg(F.sum(F.length("seq")).alias("ChromosomeLengthBp"))
-    return density.offsets(lengths.withColumn("Chromosome", F.concat(F.lit("block"), F.col("index").cast("string"))))
+    """Where each sequence begins in a plot of all, in bases and on a circle."""
+    return rounded(_contig_offsets(spark, sf_dir))
+
+
+@query
+def gc_track_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GC bins on the circle of all sequences."""
+    contigs = views.sequences(spark, sf_dir).select(F.col("id").alias("Chromosome"), "seq")
+    return rounded(density.bin_angles(density.gc_track(contigs, 100), _contig_offsets(spark, sf_dir)))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What keeps large groups, long intervals and long files from being one task's work, against plain versions."""
 
+import math
 import random
 
 import numpy as np
@@ -63,3 +64,15 @@ def test_runs_over_tiles(spark, tile):
     frame = spark.createDataFrame([(c, s, e, r) for c, s, r, e in hits], "Chromosome string, Start long, End long, Reference string")
     got = density.merged_runs(frame, 4, tile)
     assert sorted(map(tuple, got.select("Chromosome", "Start", "End", "Reference").collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 1])
+def test_angles_around_a_circle(spark, tile):
+    frame = spark.createDataFrame([(0, "a", 30), (1, "b", 0), (2, "c", 10)], "index long, Chromosome string, ChromosomeLengthBp long")
+    gap, free = math.radians(2), 2 * math.pi - 3 * math.radians(2)
+    placed = density.offsets(frame, tile=tile)
+    got = {r.Chromosome: (r.Offset, r.StartTheta, r.EndTheta) for r in placed.collect()}
+    want = {"a": (0, 0.0, 0.75 * free), "b": (30, 0.75 * free + gap, 0.75 * free + gap), "c": (30, 0.75 * free + 2 * gap, free + 2 * gap)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    track = spark.createDataFrame([("c", 0, 5), ("c", 5, 10)], "Chromosome string, Start long, End long")
+    assert sorted((r.Start, round(r.EndAngle - r.StartAngle, 9)) for r in density.bin_angles(track, placed).collect()) == [(0, round(0.125 * free, 9)), (5, round(0.125 * free, 9))]
