@@ -3,8 +3,8 @@
 Documents are tokenised in order, each followed by an end id, into one stream for each input partition. A sequence is a
 window of the stream. Windows may end at document ends, at sentence ends (a token that ends with a full stop, a question
 or exclamation mark or a line end) and, in stretches without either, at every STEP-th token; a run of 2, 4 or 8 windows
-may be cut anywhere within. The cuts minimise padding plus penalties, in tokens: SENTENCE_CUT at a sentence end, INNER_CUT
-within one. With c the position and f the cost of a cut,
+may be cut anywhere within, where sentences are so long that ending at one would cost more. The cuts minimise padding plus
+penalties, in tokens: SENTENCE_CUT at a sentence end, INNER_CUT within one. With c the position and f the cost of a cut,
 
     f(i) = penalty(i) - c(i) + min over m in RUNS of m * length + (m - 1) * INNER_CUT + min f(j) + c(j)
            over the j with c(i) - m * length <= c(j) < c(i) - (m - 1) * length
@@ -37,7 +37,7 @@ from . import tokens
 from .common import giving_back
 
 LENGTH, END_ID = 1024, 0
-SENTENCE_CUT, INNER_CUT, STEP, RUNS = 1, 12, 64, (1, 2, 4, 8)
+SENTENCE_CUT, INNER_CUT, STEP, RUNS = 1, 64, 64, (1, 2, 4, 8)
 CHUNK, TAIL_PADDING = 1 << 18, 16
 #: One sequence id: the partition's number above, the sequence's number in it below.
 PARTITION_BITS = 36
@@ -123,7 +123,7 @@ def tail(start: int, end: int, how: Packing) -> list[int]:
     return out
 
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, cut string"
 
 
 class _Stream:
@@ -161,6 +161,8 @@ class _Stream:
         doc_begins = doc_ends - np.array([len(d[2]) for d in self.docs])
         held_from = np.array([d[1] for d in self.docs])
         raw = ids.astype("<u4").tobytes()
+        at_end = sentence_ends()[np.minimum(ids[stops - 1], len(sentence_ends()) - 1)]
+        cut = np.where(np.isin(stops, doc_ends), "document", np.where(at_end, "sentence", "inner"))
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array([self.docs[k][0] for k in doc.tolist()], pa.int64()),
@@ -170,6 +172,7 @@ class _Stream:
                 pa.array(window + self.sequence),
                 pa.array(begins - windows[window]),
                 pa.array([raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)], pa.binary()),
+                pa.array(cut.tolist(), pa.string()),
             ],
             names=[c.split()[0] for c in PIECES.split(", ")],
         )
@@ -184,9 +187,9 @@ class _Stream:
 
 
 def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
-    """The pieces of all documents' token streams: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+    """The pieces of all documents' token streams: doc_id, start, length, doc_tokens, sequence_id, offset, ids, cut.
 
-    ids are little-endian unsigned 32-bit numbers. A sequence's pieces follow one another from offset 0 without a gap.
+    ids are little-endian unsigned 32-bit numbers; cut tells where a piece ends: with its document, a sentence, or inside. A sequence's pieces follow one another from offset 0 without a gap.
     """
 
     @giving_back

@@ -67,6 +67,24 @@ def test_packing_round_trip(spark, chunk):
         assert all(r.doc_tokens * 4 == len(ids) and bytes(r.ids) == ids[4 * r.start : 4 * (r.start + r.length)] for r in found if r.doc_id == doc_id)
 
 
+def test_most_sequences_end_with_a_document_or_sentence(spark):
+    words = "the river ran along a wide valley and under old bridges where people of every village met to trade".split()
+    text = lambda i: " ".join(" ".join(words[(i * 7 + k * k + j) % len(words)] for j in range(5 + (i + k) % 23)) + "." for k in range(3 + i % 80))
+    frame = docs(spark, [(i, text(i)) for i in range(400)]).coalesce(1)
+    found = packing.packed(frame).orderBy("sequence_id", "offset").collect()
+    last = {r.sequence_id: r for r in found}
+    size = {}
+    for r in found:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert len(last) > 100
+    assert sum(r.cut != "inner" for r in last.values()) >= 0.85 * len(last)
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in size.values()) <= 0.015 * sum(size.values())
+    ends = packing.sentence_ends()
+    for r in found:
+        at_end = ends[min(int.from_bytes(r.ids[-4:], "little"), len(ends) - 1)]
+        assert r.cut == ("document" if r.start + r.length == r.doc_tokens else "sentence" if at_end else "inner")
+
+
 def brute(places, penalty, how):
     best = [0] + [None] * (len(places) - 1)
     for i in range(1, len(places)):
