@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tandemlake.operators import alignment, families, graph, kmers, reports
+from tandemlake.operators import alignment, families, graph, kmers, motifs, reports
 from tandemlake.sources import readers, writers
 
 
@@ -129,6 +129,16 @@ def test_family_folders(spark, clustered, tmp_path):
         assert summary[1][4:] == ["forward", "0", "1.000000", "1.000000", str(len(seq)), str(len(seq)), "representative_first_sequence"]
 
 
+def test_alignment_summary(spark, clustered):
+    rows, frame, _, held, _ = clustered
+    frames = {r.seq_idx: r for r in families.frames(frame, held).collect()}
+    got = {(r.family_rank, r.family_id, r.representative, r.member): r for r in families.alignment_summary(spark.createDataFrame(list(frames.values()), families.FRAMES), held, frame).collect()}
+    assert got.keys() == {(1, "z/0", "z/0", n) for n in ("z/0", "m2", "m5")} | {(2, "m1", "m1", n) for n in ("m1", "m3")}
+    own, other = got[1, "z/0", "z/0", "z/0"], got[2, "m1", "m1", "m3"]
+    assert tuple(own)[4:] == ("forward", 0, 1.0, 1.0, 140, 140, "representative_first_sequence")
+    assert (other.orientation, other.frame_identity, other.note[:6]) == ("reverse-complement", frames[3].frame_identity, "member")
+
+
 def test_reports_and_counters(spark, clustered, tmp_path):
     rows, frame, scores, held, ranks = clustered
     counters = reports.Counters()
@@ -153,3 +163,17 @@ def test_reports_and_counters(spark, clustered, tmp_path):
     assert text[1:5] == ["SuperfamilyGroup-1 (families=3):", "  Family rep: a (size=1)", "  Family rep: b (size=2)", "  Family rep: c (size=3)"]
     assert text[6] == "  b  <->  c | best one-way=95.0% (dir=B_in_A, orient=forward) | ex: p -> q" and text[7] == "  (stopped after 1 links)"
     assert text[9] == "SuperfamilyGroup-2 (families=2):"
+
+
+def test_motif_files(spark, tmp_path):
+    reads = spark.createDataFrame([("lib1", k, "AAAA" * (k % 4) + "C" * k) for k in range(14)] + [("other2", 0, "AAAATAAA")], "library string, read_idx long, seq string").repartition(4)
+    found = motifs.numbered(motifs.scan(reads, "AAAA"))
+    species = spark.createDataFrame([("lib", "One")], "code string, species string")
+    writers.motif_files(found, motifs.annotated(found, species), str(tmp_path / "m"))
+    rows = sorted(tuple(r) for r in found.select("library", "motif_no", "motif_id", "motif").collect())
+    assert read(tmp_path / "m" / "final.fasta") == "".join(f">{i}\n{m}\n" for _, _, i, m in rows)
+    for library in ("lib1", "other2"):
+        assert read(tmp_path / "m" / "libraries" / f"library={library}") == "".join(f">{i}\n{m}\n" for k, _, i, m in rows if k == library)
+    table = [x.split("\t") for x in read(tmp_path / "m" / "output.tsv").splitlines() if not x.startswith("Sequence")]
+    assert table == [[i, "One" if k == "lib1" else "Unknown"] for k, _, i, _ in rows]
+    assert len(rows) > 15
