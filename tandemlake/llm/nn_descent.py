@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from ..operators.graph import written
+from .common import components
 
 THRESHOLD = 0.93
 NEIGHBOURS, TABLES, BITS, NEAR = 12, 6, 30, 32
@@ -150,7 +151,7 @@ def placed(classes: DataFrame, how: Descent) -> DataFrame:
 
     order = ["space", "code", "id"]
     rows = signs(classes, replace(how, tables=1), 0).repartitionByRange(*order).sortWithinPartitions(*order)
-    return checkpointed(rows.select("id", "space", "raw").mapInArrow(deal, "id long, space string, raw binary, block long"))
+    return written(rows.select("id", "space", "raw").mapInArrow(deal, "id long, space string, raw binary, block long"))
 
 
 def sorted_lists(classes: DataFrame, how: Descent, seed: int) -> DataFrame:
@@ -251,7 +252,7 @@ def descended(graph: DataFrame, nodes: DataFrame, widths: DataFrame | None, how:
     for _ in range(how.rounds):
         added = local_join(graph, nodes, widths, how)
         known = graph.withColumn("fresh", F.lit(False))
-        graph = checkpointed(_within(_ranked(known.unionByName(added)), widths, how))
+        graph = written(_within(_ranked(known.unionByName(added)), widths, how))
         changed, size = graph.agg(F.count_if("fresh"), F.count("*")).first()
         if changed <= SETTLED * size:
             break
@@ -267,13 +268,13 @@ def _full(graph: DataFrame, widths: DataFrame | None, how: Descent) -> DataFrame
 
 def neighbour_graph(edges: DataFrame, nodes: DataFrame, how: Descent) -> tuple[DataFrame, DataFrame | None]:
     """The neighbour graph from some edges, and the widths of enlarged lists."""
-    graph = descended(checkpointed(_within(_ranked(edges), None, how)), nodes, None, how)
+    graph = descended(written(_within(_ranked(edges), None, how)), nodes, None, how)
     widths = None
     for _ in range(how.enlarged):
-        wider = checkpointed(_full(graph, widths, how).select("a", (2 * F.col("width")).cast("int").alias("width")))
+        wider = written(_full(graph, widths, how).select("a", (2 * F.col("width")).cast("int").alias("width")))
         if wider.isEmpty():
             break
-        widths = wider if widths is None else checkpointed(widths.join(wider, "a", "left_anti").unionByName(wider))
+        widths = wider if widths is None else written(widths.join(wider, "a", "left_anti").unionByName(wider))
         # the lists that have room now meet once more, as if they were new
         again = graph.join(wider.withColumnRenamed("width", "now"), "a", "left").select("a", "b", "cosine", F.col("now").isNotNull().alias("fresh"))
         graph = descended(again, nodes, widths, replace(how, rounds=1))
@@ -293,7 +294,7 @@ def in_blocks(members: DataFrame, how: Descent) -> DataFrame:
 
 def bridges(members: DataFrame, how: Descent) -> DataFrame:
     """a, b: the pairs of components between which there is a link; members has component, node, space, raw."""
-    members = checkpointed(in_blocks(members, how).select("component", "own", "node", "space", "raw"))
+    members = written(in_blocks(members, how).select("component", "own", "node", "space", "raw"))
     reach = float(np.arccos(how.threshold)) + SLACK
 
     def ball(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +305,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
         radius = float(np.arccos(np.clip(points @ centre, -1, 1)).max())
         yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int64(), pa.int32()), strict=True)] + [pa.array([centre.astype(np.float64).tobytes()], pa.binary()), pa.array([radius])], names=["space", "component", "own", "raw", "radius"])
 
-    balls = checkpointed(members.groupBy("space", "component", "own").applyInArrow(ball, "space string, component long, own int, raw binary, radius double"))
+    balls = written(members.groupBy("space", "component", "own").applyInArrow(ball, "space string, component long, own int, raw binary, radius double"))
     tiles = balls.groupBy("space").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     spread = balls.join(tiles, "space").withColumn("tile", F.pmod(F.xxhash64("component", "own"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.select("space", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "component", "own", "raw", "radius")
@@ -324,7 +325,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(component[i]), pa.array(own[i]), pa.array(component[j]), pa.array(own[j])], names=["a", "own_a", "b", "own_b"])
 
     pair = ["a", "own_a", "b", "own_b"]
-    pairs = checkpointed(spread.groupBy("space", "low", "high").applyInArrow(near, "a long, own_a int, b long, own_b int"))
+    pairs = written(spread.groupBy("space", "low", "high").applyInArrow(near, "a long, own_a int, b long, own_b int"))
     sides = [pairs.join(members.select(F.col("component").alias(c), F.col("own").alias(f"own_{c}"), "raw"), [c, f"own_{c}"]).select(*pair, F.lit(c == "a").alias("first"), "raw") for c in ("a", "b")]
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +334,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
         if (points[first] @ points[~first].T >= how.threshold).any():
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int64())], names=["a", "b"])
 
-    return checkpointed(sides[0].unionByName(sides[1]).groupBy(*pair).applyInArrow(meet, "a long, b long").distinct())
+    return written(sides[0].unionByName(sides[1]).groupBy(*pair).applyInArrow(meet, "a long, b long").distinct())
 
 
 def bridged(groups: DataFrame, held: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
@@ -343,7 +344,7 @@ def bridged(groups: DataFrame, held: DataFrame, classes: DataFrame, how: Descent
     if found.isEmpty():
         return groups
     merged = components(found).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    return checkpointed(groups.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+    return written(groups.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
 
 def enlarged(held: DataFrame, groups: DataFrame, classes: DataFrame, how: Descent) -> DataFrame:
@@ -390,7 +391,7 @@ def audit(graph: DataFrame, held: DataFrame, groups: DataFrame, classes: DataFra
                     i, j = np.nonzero((matrix(part.column(2), how.kind) @ points.T >= how.threshold) & (mine[:, None] != ids[None, :]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(mine[i])], names=["a", "b"])
 
-    true = checkpointed(classes.select("id", "space", "raw").mapInArrow(compare, "a long, b long"))
+    true = written(classes.select("id", "space", "raw").mapInArrow(compare, "a long, b long"))
     links = graph.where(F.col("cosine") >= how.threshold).select("a", "b")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     one = groups.select(F.col("node").alias("a"), F.col("component").alias("x"))
@@ -405,9 +406,9 @@ def audit(graph: DataFrame, held: DataFrame, groups: DataFrame, classes: DataFra
 def linked(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
     """vec_id, n_links, component_id, kept, recall for each row of vectors; recall is the audit's share of links found."""
     how = replace(how, kind=_kind(vectors))
-    rows = checkpointed(prepared(vectors))
+    rows = written(prepared(vectors))
     members = rows.where("space is not null").select("vec_id", "same", "space", "raw").dropDuplicates(["vec_id", "same"])
-    classes = checkpointed(members.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("raw").alias("raw")))
+    classes = written(members.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("raw").alias("raw")))
     nodes = placed(classes, how)
     graph = None
     for attempt in range(ATTEMPTS):
@@ -415,20 +416,20 @@ def linked(vectors: DataFrame, how: Descent = Descent()) -> DataFrame:
         edges = edges if graph is None else edges.unionByName(graph.withColumn("fresh", F.lit(False)))
         graph, widths = neighbour_graph(edges, nodes, how)
         links = graph.where(F.col("cosine") >= how.threshold).select("a", "b")
-        groups = checkpointed(components(links))
+        groups = written(components(links))
         groups = bridged(groups, saturated(graph, widths, groups, how), classes, how)
-        held = checkpointed(saturated(graph, widths, groups, how))
+        held = written(saturated(graph, widths, groups, how))
         recall = audit(graph, held, groups, classes, how)
         if recall >= how.recall:
             break
     else:
         alone = classes.select(F.col("id").alias("node"), F.col("id").alias("component")).join(groups, "node", "left_anti")
-        groups = checkpointed(groups.unionByName(alone))
+        groups = written(groups.unionByName(alone))
         groups = bridged(groups, groups.select("component").distinct(), classes, how)
         held, recall = groups.select("component").distinct(), 1.0
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     listed = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("listed")).withColumnRenamed("a", "id")
-    counted = checkpointed(enlarged(held, groups, classes, how))
+    counted = written(enlarged(held, groups, classes, how))
     known = classes.select("same", "id", "copies").join(listed, "id", "left").join(counted, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("same", (F.coalesce("links", "listed", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("least"))
     out = rows.select("vec_id", F.when(F.col("space").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")
