@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from urllib.parse import urlsplit
 
@@ -283,3 +284,48 @@ def test_predictions_by_brute_force(spark):
 
 
 ODD_TEXTS = [(1000, None, None, None), (1001, "", None, None), (1002, "123 !", None, None), (1003, "der die und " * 3000, None, None), (1004, "É\u0301 à l\u2019été", None, None)]
+
+
+def test_dictionaries_and_margin_come_from_every_labelled_row(spark, monkeypatch):
+    """Words counted and scores taken one by one, over more rows than a sample of 300 of each language; some labels are wrong."""
+    random = np.random.default_rng(7)
+    data = [(i, f"{prose(lang, i, 3 + i % 40)} {lang}{'abcdefghij'[i // 3 % 10]} {lang}x{'abcdefghij'[i % 7]}{'abcdefghij'[i // 7 % 10]}", lang if random.random() > 0.05 else "en", "s") for i in range(1500) for lang in [("en", "de", "fr")[i % 3]]]
+    data += [(2000, "12 345", "de", None), (2001, None, "de", None), (2002, "only here", None, None), (None, "nor this", "de", None)]
+    frame = docs(spark, data)
+    learned = [(t, lang) for i, t, lang, _ in data if i is not None and t and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    number = Counter(lang for _, lang in learned)
+    count = Counter((lang, w) for t, lang in learned for w in set(re.sub(r"[^\w]|\d", " ", t.lower()).split()))
+
+    def words(size):
+        out = {}
+        for lang in number:
+            own = [(n, w) for (of, w), n in count.items() if of == lang and n > 1 and n / number[lang] >= 0.25 * max(count[m, w] / number[m] for m in number)]
+            held, upto = [], 0
+            for n, w in sorted(own, key=lambda x: (-x[0], x[1])):
+                upto += len(w.encode()) + 1
+                if upto > size:
+                    break
+                held.append((n, w))
+            out[lang] = " ".join(w for _, w in sorted(held)).encode()
+        return tuple((lang, out[lang]) for lang in sorted(out, key=lambda x: (-number[x], x)))
+
+    model = language_id.learn(frame)
+    assert min(number.values()) > 300 and model.dictionaries == words(language_id.DICTIONARY)
+    labelled = frame.where(language_id._learned_from())
+    whole = language_id.word_rows(labelled)
+    assert rows(language_id.word_rows(labelled, table=50)) == rows(whole)
+    for size in (40, 90, 150):  # the border falls among words of equal counts
+        held = defaultdict(list)
+        for r in sorted(language_id.chosen_words(whole, size).collect(), key=lambda r: (r.n, r.word)):
+            held[r.lang].append(r.word)
+        assert {lang: " ".join(w).encode() for lang, w in held.items()} == dict(words(size))
+    plain = [language_id.judge(re.sub(r"([^\w]|\d)+", " ", t.lower()) if re.search(r"[^\W\d]", t) else None, model) for t, _ in learned]
+    right = sorted(score for (lang, score, _), (_, label) in zip(plain, learned, strict=True) if lang == label)
+    assert len(right) > 900
+    margin = max(k for k in range(language_id.STEPS + 1) if k <= right[-1] * language_id.STEPS and sum(s < k / language_id.STEPS for s in right) <= language_id.LOST * len(right))
+    # steps without a score in them change nothing
+    assert {s for s in right if s < model.margin} == {s for s in right if s < margin / language_id.STEPS} and sum(s < model.margin for s in right) >= 1
+    kept = rows(language_id.accepted(frame))
+    monkeypatch.setattr(language_id, "BROADCAST_TEXTS", -1)
+    assert rows(language_id.accepted(frame)) == kept
+    assert Counter(r[0] for r in kept) == Counter(r.doc_id for r in language_id.identify(frame).collect() if not r.rejected)
