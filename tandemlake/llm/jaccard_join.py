@@ -86,16 +86,13 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
 
     @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one byte a counter in the end: what a task sees more than 255 times is frequent anyhow
-        table, held = np.zeros(bins, np.uint16), 0
+        # one byte a counter: what a task sees more than 255 times is frequent anyhow
+        table = np.zeros(bins, np.uint8)
         for batch in batches:
             for _, found in shingle_sets(batch.column(0), how.width):
-                np.add.at(table, found & np.uint64(bins - 1), 1)
-                held += 1
-                if held == 65_000:
-                    np.minimum(table, 255, out=table)
-                    held = 0
-        yield from tables.sent(np.minimum(table, 255, out=table).astype(np.uint8))
+                at = (found & np.uint64(bins - 1)).astype(np.int64)
+                table[at] = np.minimum(table[at], 254) + 1
+        yield from tables.sent(table)
 
     return tables.summed(docs.select("text").mapInArrow(count, tables.PARTS), bins, "u1", lambda counts: np.log2(counts + 1.0).astype(np.uint8))
 
@@ -106,7 +103,8 @@ def prefixes(docs: DataFrame, rare: np.ndarray, how: Join) -> DataFrame:
     part is 0 but for hot tokens, whose entries are dealt to parts from 1 on by their sets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rare)
-    mean = float(np.exp2(rare.astype(np.float64)).mean()) if len(rare) else 1.0
+    # by parts: as doubles the whole table would take the driver 16 times its size
+    mean = sum(float(np.exp2(rare[i : i + tables.PART].astype(np.float64)).sum()) for i in range(0, len(rare), tables.PART)) / max(1, len(rare))
     hot = max(how.hot, math.ceil(math.log2(max(1.0, mean))) + how.apart)
 
     @giving_back

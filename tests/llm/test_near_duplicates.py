@@ -245,3 +245,44 @@ def test_pipeline(spark, tmp_path):
     for i, ids in held.items():
         once = np.append(tokens.encode(text[i]), 0).astype("<u4").tobytes()
         assert ids == once * (len(ids) // len(once)) and len(ids) // len(once) in (1, 2)
+
+
+def test_the_frequency_table_stays_small(spark, monkeypatch):
+    """A task counts into a byte a counter, and the driver plans from such a table: neither holds it in wider numbers."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tandemlake.llm import tables
+
+    frame = docs(spark, [(i, f"a shared line of seven plain words {'and more ' * (i % 3)}") for i in range(300)])
+    batches = frame.select("text").toArrow().to_batches()
+    how = jaccard_join.Join()
+
+    class Counted:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter(batches)))
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(tables, "sent", lambda table: iter([table]))
+    monkeypatch.setattr(tables, "summed", lambda parts, *_: parts)
+    jaccard_join.rarity(Counted(), how)  # what is kept for later texts is made once
+    (table,), most = peak(lambda: jaccard_join.rarity(Counted(), how)[:1])
+    slots = defaultdict(int)
+    for batch in batches:
+        for _, found in common.shingle_sets(batch.column(0), how.width):
+            for at in {int(x) % how.bins for x in found}:
+                slots[at] += 1
+    assert {int(k): int(table[k]) for k in np.flatnonzero(table)} == {k: min(n, 255) for k, n in slots.items()} and max(slots.values()) == 300
+    assert most < 2 * how.bins
+    _, most = peak(lambda: jaccard_join.prefixes(frame, np.zeros(how.bins, np.uint8), how))
+    assert most < 5 * how.bins
